@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import class_lm, host_rules, language_id, near_dedup, packing, secret_scan, url_filter
+from . import class_lm, host_rules, language_id, near_dedup, packing, secret_scan, toxicity, url_filter
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_class_lm": class_lm.op5_class_lm,
     "op6_packing": packing.op6_packing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_host_rules": host_rules.op10_host_rules,

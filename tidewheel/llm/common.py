@@ -83,6 +83,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+_MARKS = b".,;:!?#$%&*|()[]{}<>\"'`~_=+/\\-"
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-cased words without ASCII punctuation."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split() if text else []
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(31))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import class_lm, host_rules, language_id, near_dedup, packing, secret_scan, toxicity, url_filter
+from . import class_lm, decontaminate, host_rules, language_id, near_dedup, packing, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": language_id.op2_language_id,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_class_lm": class_lm.op5_class_lm,

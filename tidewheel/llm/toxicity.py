@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, id_and_text, remainder
+from .common import by_batch, id_and_text, plain_words, remainder
 
 #: Labelled rows of each class that the models are fitted on, at most; chosen by a hash.
 MAX_PER_CLASS = 4000
@@ -27,15 +27,10 @@ DISCOUNT = 1.2
 DEPTH = 32
 CUTOFF = 0.3
 CACHED_WORDS = 300_000
-_MARKS = b".,;:!?#$%&*|()[]{}<>\"'`~_=+/\\-"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(DEPTH + 2, _B, np.uint64))
 
 
-def toxicity_words(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(None, _MARKS).split() if text else []
-
-
 def prefix_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, depths, words' places) of every beginning of every word, an end mark being its last byte."""
     cut = [w[:DEPTH] + b"\0" for w in words]
@@ -111,7 +106,7 @@ class Values(dict):
 
     def features(self, texts: list[str | None]) -> Iterator[tuple[float, float, float]]:
         for at in range(0, len(texts), 64):
-            words = [toxicity_words(t) for t in texts[at : at + 64]]
+            words = [plain_words(t) for t in texts[at : at + 64]]
             new = list(set().union(*words).difference(self))
             if len(self) + len(new) > CACHED_WORDS:
                 self.clear()
@@ -162,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [list(set(toxicity_words(t))) for t in b.column("text").to_pylist()]
+            own = [list(set(plain_words(t))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("fold"), pa.array(own, pa.list_(pa.binary()))], ["y", "fold", "words"])
 
     counted = by_batch(rows.select("y", "fold", "text"), words, "y int, fold int, words array<binary>").select("y", "fold", F.explode("words").alias("word"))

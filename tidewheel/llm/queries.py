@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, host_rules, language_id, near_dedup, packing, secret_scan, toxicity, url_filter
+from . import class_lm, decontaminate, host_rules, language_id, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language_id": language_id.op2_language_id,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_class_lm": class_lm.op5_class_lm,
     "op6_packing": packing.op6_packing,

@@ -5,13 +5,15 @@ Built from DataFrame functions alone. Windows are compared inside each row, so t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE
-
 WINDOW = 5
 MIN_WORDS = 10
+#: Repeated windows of a text that are looked up one by one; more are found by sorting.
+FEW = 32
 MAX_REPEAT_PERCENT = 20
 #: A host goes if its shrunk failure rate is above this.
 MAX_HOST_RATE = 0.5
@@ -20,40 +22,74 @@ MIN_HOST_DOCS = 5
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words that repeated windows cover: windows sorted by (hash, place), those with an equal neighbour, then their union."""
-    ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # Neighbours by zipping three shifts of one sorted array.
-    same = F.filter(
-        F.arrays_zip(ranked.alias("r"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), ranked).alias("p"), F.slice(ranked, 2, F.size(ranked)).alias("n")),
-        lambda x: x["r"].isNotNull() & ((x["r"]["h"] == x["p"]["h"]) | (x["r"]["h"] == x["n"]["h"])),
-    )
-    places = F.sort_array(F.transform(same, lambda x: x["r"]["i"]))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: an element bound by a lambda is not copied into the places that use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _covered(places: Column) -> Column:
+    """Words that windows at these sorted places cover."""
     gaps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
 
-def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def _sorted_places(hashes: Column) -> Column:
+    """Places of repeated windows, by sorting (hash, place) and keeping those with an equal neighbour."""
+
+    def of_ranked(ranked: Column) -> Column:
+        n = F.size(ranked)
+        is_same = lambda x, i: ((i > 0) & (F.get(ranked, i - 1)["h"] == x["h"])) | ((i < n - 1) & (F.get(ranked, i + 1)["h"] == x["h"]))
+        return F.sort_array(F.transform(F.filter(ranked, is_same), lambda x: x["i"]))
+
+    return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_ranked)
+
+
+def _places(hashes: Column, twice: Column) -> Column:
+    """Places of windows whose hash is among twice: looked up where those are few, else by sorting."""
+    few = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+    return F.when(F.size(twice) <= FEW, few).otherwise(_sorted_places(hashes))
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words that repeated windows cover."""
+    twice = lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + 1)))
+    return _let(F.sort_array(hashes), lambda s: _let(twice(s), lambda t: _let(_places(hashes, t), _covered)))
+
+
+def _windows(h: Column) -> Column:
+    """Hashes of the 5-word windows from those of words: by pairs of words, then pairs of pairs, then the fifth."""
+    pair = lambda a, b: F.xxhash64(a, b)
+    n = F.size(h)
+    two = F.zip_with(h, F.slice(h, 2, n), pair)
+    four = lambda x: F.zip_with(x, F.slice(x, 3, n), pair)
+    return _let(two, lambda x: F.slice(F.zip_with(four(x), F.slice(h, 5, n), pair), 1, n - WINDOW + 1))
+
+
+def _of_words(words: Column) -> Column:
+    """(n, chars, repeats) of an array of words."""
+
+    def of_hashes(h: Column) -> Column:
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_repeat_words(h))
+
+    n = F.size(words)
+    repeats = F.when(n < WINDOW, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda w: _let(_windows(w), of_hashes)))
+    return F.struct(n.cast("long").alias("n"), F.length(F.array_join(words, "")).cast("long").alias("chars"), repeats.cast("long").alias("repeats"))
+
+
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and base_failed.
 
     A null or empty text has no words, so it fails. Existing columns of these names are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, _SPACES), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    out = docs.withColumn("_words", words).withColumn("_lines", lines)
-    n = F.size("_words")
-    at = lambda i, k: F.get("_words", i + k)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW)))))
-    out = out.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_hashes": hashes,
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+    out = docs.withColumns({
+        "_w": _let(words, _of_words),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    repeats = F.when(F.col("_hashes").isNull() | (F.size(F.array_distinct("_hashes")) == F.size("_hashes")), F.lit(0)).otherwise(_repeat_words(F.col("_hashes")))
-    out = out.withColumn("n_repeat_words", repeats.cast("long")).drop("_words", "_lines", "_hashes")
+    out = out.withColumns({"n_words": F.col("_w")["n"], "word_chars": F.col("_w")["chars"], "n_repeat_words": F.col("_w")["repeats"]}).drop("_w")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 

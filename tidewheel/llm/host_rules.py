@@ -56,23 +56,25 @@ def _repeat_words(hashes: Column) -> Column:
     return _let(F.sort_array(hashes), lambda s: _let(twice(s), lambda t: _let(_places(hashes, t), _covered)))
 
 
-def _windows(h: Column) -> Column:
-    """Hashes of the 5-word windows from those of words: by pairs of words, then pairs of pairs, then the fifth."""
+def _repeats(h: Column) -> Column:
+    """Words that repeated 5-word windows cover, from the words' hashes.
+
+    Hashes of pairs, then of pairs of pairs; only where four words repeat is the fifth taken in.
+    """
     pair = lambda a, b: F.xxhash64(a, b)
     n = F.size(h)
-    two = F.zip_with(h, F.slice(h, 2, n), pair)
-    four = lambda x: F.zip_with(x, F.slice(x, 3, n), pair)
-    return _let(two, lambda x: F.slice(F.zip_with(four(x), F.slice(h, 5, n), pair), 1, n - WINDOW + 1))
+    fours = lambda two: F.slice(F.zip_with(two, F.slice(two, 3, n), pair), 1, n - WINDOW + 2)
+    fives = lambda four: F.slice(F.zip_with(four, F.slice(h, 5, n), pair), 1, n - WINDOW + 1)
+    differ = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    of_fives = lambda x: F.when(differ(x), F.lit(0)).otherwise(_repeat_words(x))
+    of_fours = lambda x: F.when(differ(x), F.lit(0)).otherwise(_let(fives(x), of_fives))
+    return _let(F.zip_with(h, F.slice(h, 2, n), pair), lambda two: _let(fours(two), of_fours))
 
 
 def _of_words(words: Column) -> Column:
     """(n, chars, repeats) of an array of words."""
-
-    def of_hashes(h: Column) -> Column:
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_repeat_words(h))
-
     n = F.size(words)
-    repeats = F.when(n < WINDOW, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), lambda w: _let(_windows(w), of_hashes)))
+    repeats = F.when(n < WINDOW, F.lit(0)).otherwise(_let(F.transform(words, lambda w: F.xxhash64(w)), _repeats))
     return F.struct(n.cast("long").alias("n"), F.length(F.array_join(words, "")).cast("long").alias("chars"), repeats.cast("long").alias("repeats"))
 
 

@@ -24,7 +24,7 @@ STEP = 8
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Rows of one rank group, about; larger groups of equal length are split by a hash.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4_000
 CACHED_WORDS = 250_000
 
 

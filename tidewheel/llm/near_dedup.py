@@ -2,14 +2,16 @@
 
 Documents with equal shingle sets are one class, stood for by its smallest id. Each class has PERMUTATIONS
 MinHash values. BANDS groups of them are bucket keys; all of them folded by parity into BITS bits are its odd
-sketch, whose XOR population count with another's estimates their similarity. Candidates are searched twice:
+sketch, whose XOR population count with another's estimates their similarity. Candidates come in rounds, each
+only for what the one before has left apart:
 
-1. In each bucket every class is held against the bucket's smallest class. That is linear in a bucket's size
-   and joins large groups of near copies.
-2. In buckets whose classes are still in several components, classes of different components and of fitting
-   sizes are compared by sketch inside the join; only pairs that the sketches call similar come out.
+1. Each class is held against the class that leads (is the smallest of) most of its buckets. That is one pair
+   a class and joins large groups of near copies.
+2. In buckets that still hold several components, each class is held against the bucket's leader.
+3. In buckets that still hold several components, classes of different components and of fitting sizes are
+   compared by sketch inside the join; only pairs that the sketches call similar come out.
 
-Every candidate of both rounds is confirmed on full sets, so links are exact. A pair at the threshold shares
+Every candidate is confirmed on full sets, so links are exact. A pair at the threshold shares
 no bucket with probability (1 - 0.75^ROWS)^BANDS, 5e-6; more similar pairs less.
 """
 
@@ -143,8 +145,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return by_batch(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long, both long, either long")
 
 
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links). rows: (doc_id, n_shingles, class_id) for each input row; links between classes: (a, b, both, either).
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, roots). rows: (doc_id, n_shingles, class_id) for each input row; links between classes: (a, b, both, either);
+    roots: (node, root) of classes with links.
 
     Rows of one id are one node. Null ids, null texts and texts without words have a null class.
     """
@@ -163,22 +166,41 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = written(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     sketches = reps.select("class_id", "n_shingles", "sketch")
     side = lambda x: sketches.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-
-    first = shared.where("class_id > least").select(F.col("least").alias("a"), F.col("class_id").alias("b")).distinct()
-    first = first.join(side("b"), "b").join(side("a"), "a").where(fitting(F.col("n_a"), F.col("n_b")) & similar(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b").distinct()
-    links = written(confirmed(first, texts), "links")
-
-    roots = components(links)
-    rooted = shared.select("key", "class_id").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_rows = written(rooted.join(split, "key", "left_semi").join(sketches, "class_id"), "open")
-    half = lambda x: open_rows.select("key", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    apart = (F.col("root_a") < F.col("root_b")) & fitting(F.col("n_a"), F.col("n_b")) & similar(F.col("sketch_a"), F.col("sketch_b"))
-    second = half("a").join(half("b"), "key").where(apart).select("a", "b").distinct()
-    more = written(confirmed(second, texts), "links")
+    near = fitting(F.col("n_a"), F.col("n_b")) & similar(F.col("sketch_a"), F.col("sketch_b"))
+    weeded = lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
+
+    # Round 1: each class and the class that leads most of its buckets.
+    led = shared.where("class_id > least").groupBy("class_id", "least").agg(F.count("*").alias("n"))
+    lead = led.groupBy("class_id").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a"))
+    links = written(confirmed(weeded(lead.select("a", F.col("class_id").alias("b"))), texts), "links")
+    roots = written(components(links), "roots")
+
+    # Round 2: in buckets of several components, each class and the bucket's leader if they are still apart.
+    open_rows = written(_open(shared, roots), "open")
+    second = open_rows.where("root <> least_root").select(F.col("least").alias("a"), F.col("class_id").alias("b")).distinct()
+    more = written(confirmed(weeded(second), texts), "links")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = written(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b"))), "roots")
+        open_rows = written(_open(open_rows.select("key", "class_id", "least"), roots), "open")
+
+    # Round 3: in buckets of several components, all classes that are apart and whose sketches are near.
+    half = lambda x: open_rows.select("key", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}")).join(side(x), x)
+    third = half("a").join(half("b"), "key").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
+    more = written(confirmed(third, texts), "links")
+    if not more.isEmpty():
+        links = links.unionAll(more)
+        roots = written(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b"))), "roots")
     for t in (texts, shared, open_rows):
         drop_written(t)
-    return rows, links.unionAll(more)
+    return rows, links, roots
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (key, class_id, least) of buckets that hold several components, with root and the root of the bucket's leader."""
+    rooted = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    by = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("class_id") == F.col("least"), F.col("root"))).alias("least_root")).where("lo < hi")
+    return rooted.join(by.select("key", "least_root"), "key").select("key", "class_id", "least", "root", "least_root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,8 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id that links reach, the own id without a class; kept where both are equal.
     A null id has a null component and is kept, as nothing stands for it. An empty table stays empty.
     """
-    rows, links = link_classes(docs, id_col, text_col)
-    roots = components(links)
+    rows, _, roots = link_classes(docs, id_col, text_col)
     found = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     component = F.coalesce("root", "class_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"), "class_id")

@@ -1,5 +1,3 @@
 """Registered queries of the rhythm operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .queries import FLAGSHIP, ORACLES, QUERIES  # noqa: F401

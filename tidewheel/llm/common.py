@@ -57,8 +57,19 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Rows that an operator's Python sees at once; a worker's memory follows the texts of so many rows.
+SLICE = 1000
+
+
+def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int | None = SLICE) -> DataFrame:
+    """mapInArrow over slices of at most `rows` rows; None leaves Spark's batches as they are."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
+    return df.mapInArrow((lambda batches: f(sliced(batches))) if rows else f, schema)
 
 
 class WordHashes(dict):

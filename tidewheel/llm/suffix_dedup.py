@@ -267,7 +267,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     pairs = by_batch(some.select("row", "text"), _pairs, "anchor long, row long")
     many = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
     shared = written(pairs.join(many, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared")), "anchors")
-    settled = written(by_batch(some.dropDuplicates(["row"]).join(shared, "row").select("row", "doc_id", "text", "shared"), _settle, _OUT_SCHEMA), "settled")
+    settled = written(by_batch(some.dropDuplicates(["row"]).join(shared, "row").select("row", "doc_id", "text", "shared"), _settle, _OUT_SCHEMA, 4000), "settled")
     drop_written(shared)
     records = settled.where("kind = 1")
     buckets = records.count() // BUCKET + 1

@@ -34,7 +34,7 @@ def residuals(series: DataFrame, columns: list[str], keys: list[str]) -> DataFra
 
 def scan(series: DataFrame, lo: int = 2, hi: int = 21, cycles: int = 4) -> DataFrame:
     """(series, period, explained, amplitude, phase) for each period of which the series' length holds enough cycles."""
-    each = series.withColumn("period", F.explode(F.sequence(F.lit(lo), F.lit(hi)))).where(F.col("n") >= cycles * F.col("period"))
+    each = series.withColumn("period", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))).where(F.col("n") >= cycles * F.col("period"))
     angle = F.unix_date("day") * (2 * math.pi) / F.col("period")
     r = residuals(each.withColumns({"s": F.sin(angle), "c": F.cos(angle)}), ["y", "s", "c"], ["series", "period"])
     m = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(a + b)

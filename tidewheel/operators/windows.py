@@ -57,9 +57,21 @@ def extra_sleep(windowed: DataFrame) -> DataFrame:
 
 
 def features(windowed: DataFrame) -> DataFrame:
-    """Valid days of each window with f0..f8: clock terms, nap, then clipped metric terms (0 without value or scale)."""
-    rows = windowed.where("valid").join(scales(windowed), KEY).join(extra_sleep(windowed).select(*KEY, "nap_eligible"), KEY)
+    """Valid days of each window with f0..f8: clock terms, nap, then clipped metric terms (0 without value or scale).
+
+    All statistics are window aggregates over (person, window_end), so one shuffle serves them and what follows.
+    """
+    w = Window.partitionBy(*KEY)
+    n = F.count("*").over(w)
+    rows = windowed.where("valid")
+    terms = []
+    for i, (m, floor, weight) in enumerate(METRICS):
+        q = F.percentile(m, F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))).over(w)
+        rows = rows.withColumns({f"q_{m}": q, f"n_{m}": F.count(m).over(w)})
+        scale = F.greatest(F.lit(floor), (F.col(f"q_{m}")[2] - F.col(f"q_{m}")[0]) / 1.28)
+        enough = F.col(f"n_{m}") >= F.greatest(F.lit(6), F.ceil(F.col("n") * 0.5))
+        terms.append(F.when(enough & F.col(m).isNotNull(), clamp((F.col(m) - F.col(f"q_{m}")[1]) / scale, -2.5, 2.5) * weight).otherwise(0.0).alias(f"f{4 + i}"))
+    rows = rows.withColumns({"n": n, "naps": F.count_if("nap").over(w), "nap_weeks": F.size(F.collect_set(F.when(F.col("nap"), monday(F.col("day")))).over(w))})
+    eligible = (F.col("naps") >= 3) & (F.col("naps") / F.col("n") >= 0.1) & (F.col("nap_weeks") >= 2)
     clock = [((F.col(c) - m) / s).alias(f"f{i}") for i, (c, m, s) in enumerate(CLOCK)]
-    nap = F.when(F.col("nap") & F.col("nap_eligible"), 0.8).otherwise(0.0).alias("f3")
-    terms = [F.coalesce(clamp((F.col(m) - F.col(f"{m}_center")) / F.col(f"{m}_scale"), -2.5, 2.5) * w, F.lit(0.0)).alias(f"f{4 + i}") for i, (m, _, w) in enumerate(METRICS)]
-    return rows.select(*KEY, "day", "bed", "quality", *clock, nap, *terms)
+    return rows.select(*KEY, "day", "bed", "quality", *clock, F.when(F.col("nap") & eligible, 0.8).otherwise(0.0).alias("f3"), *terms)

@@ -23,7 +23,7 @@ ex AS (SELECT person, window_end, naps::BIGINT AS naps, naps / n AS nap_share, n
          naps >= greatest(3, ceil(n * 0.2)) AND naps / n >= 0.2 AND nap_weeks >= 2 AS nap_defining FROM ex0)"""
 
 _CLOCK = ", ".join(f"({c} - {m}) / {s} AS f{i}" for i, (c, m, s) in enumerate(CLOCK))
-_TERMS = ", ".join(f"coalesce(least(greatest(({m} - {m}_center) / {m}_scale, -2.5), 2.5) * {w}, 0) AS f{4 + i}" for i, (m, _, w) in enumerate(METRICS))
+_TERMS = ", ".join(f"CASE WHEN {m} IS NULL OR {m}_center IS NULL THEN 0.0 ELSE least(greatest(({m} - {m}_center) / {m}_scale, -2.5), 2.5) * {w} END AS f{4 + i}" for i, (m, _, w) in enumerate(METRICS))
 FEATURED = f"ft AS (SELECT person, window_end, day, bed, quality, {_CLOCK}, CASE WHEN nap AND nap_eligible THEN 0.8 ELSE 0.0 END AS f3, {_TERMS} FROM wd JOIN sc USING (person, window_end) JOIN ex USING (person, window_end) WHERE valid)"
 
 
@@ -59,7 +59,7 @@ ev AS (SELECT *, quality * weight AS w FROM me WHERE membership <> 'unassigned')
 sh AS (SELECT * FROM (SELECT *, count_if(membership = 'core') OVER (PARTITION BY {_K}) AS cores FROM ev) WHERE cores < 2 OR membership = 'core'),
 cm AS (SELECT {_K}, {means('m_')} FROM sh GROUP BY {_K}),
 tc AS (SELECT {_K}, median(x) AS q50, quantile_cont(x, 0.8) AS q80 FROM (SELECT {_K}, {_distance('sh.', 'cm.m_')} AS x FROM sh JOIN cm USING ({_K})) GROUP BY {_K}),
-mm AS (SELECT {_K}, count(*) AS days, count_if(membership = 'core') AS core_days, least(sum(w) ** 2 / greatest(1e-6, sum(w * w)), sum(w)) AS n_eff, median(bed) AS median_bed FROM ev GROUP BY {_K}),
+mm AS (SELECT {_K}, count(*) AS days, count_if(membership = 'core')::BIGINT AS core_days, least(sum(w) ** 2 / greatest(1e-6, sum(w * w)), sum(w)) AS n_eff, median(bed) AS median_bed FROM ev GROUP BY {_K}),
 bw AS (SELECT {_K}, sum(w) AS week_mass FROM (SELECT {_K}, floor((day - window_start) / 7) AS week, max(weight) AS w FROM ev JOIN sp USING (person, window_end) GROUP BY ALL) GROUP BY {_K}),
 rc AS (SELECT {_K}, sum(CASE WHEN day >= window_end - 13 THEN weight ELSE 0 END) AS recent, sum(CASE WHEN day >= window_end - 13 THEN 0 ELSE weight END) AS prior FROM ev GROUP BY {_K}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY day) AS a, row_number() OVER (PARTITION BY {_K} ORDER BY day DESC) AS b, count(*) OVER (PARTITION BY {_K}) AS size FROM sh),

@@ -15,11 +15,11 @@ FLAGSHIP = "emg1_patterns"
 _METRICS = ["bed", "wake", "duration", "quality", "deep", "median_bpm"]
 
 
-def _rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _rounds(columns: list[str], digits: int = 6) -> str:
+def _rounds(columns: list[str], digits: int = 9) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
@@ -82,7 +82,7 @@ def srt3_top_associations(spark: SparkSession, d: str) -> DataFrame:
 
     found = associations.associations(_windowed(spark, d), _members(spark, d)).where("shown")
     w = Window.partitionBy(*KEY, "cluster").orderBy(F.desc(F.round(F.col("confidence") * F.col("strength"), 9)), "definition")
-    return found.withColumn("place", F.row_number().over(w)).where("place <= 3").select(*KEY, "cluster", "definition", "place")
+    return found.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select(*KEY, "cluster", "definition", "place")
 
 
 def res4_fits(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def agg4_heart_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def agg7_settling(spark: SparkSession, d: str) -> DataFrame:
     joined = ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d))
-    return _rounded(ingest.settling(joined), ["first_coverage", "opening_delta", "high_share"])
+    return _rounded(ingest.settling(joined).withColumn("settling_minutes", F.col("settling_minutes").cast("double")), ["first_coverage", "opening_delta", "high_share"])
 
 
 def join2_exercise(spark: SparkSession, d: str) -> DataFrame:
@@ -176,11 +176,11 @@ core AS (SELECT person, window_end, cluster, day FROM me WHERE membership = 'cor
 cp AS (SELECT person, window_end, cluster, count(*) AS core_days FROM core GROUP BY ALL),
 sd AS (SELECT cp.*, df.day, definition, source, coalesce(exposed, false) AS exposed, core.day IS NOT NULL AS own, CASE WHEN source = 'calendar' THEN NULL ELSE rest END AS stratum
        FROM cp JOIN df USING (person, window_end) LEFT JOIN core ON cp.person = core.person AND cp.window_end = core.window_end AND cp.cluster = core.cluster AND df.day = core.day WHERE coalesce(observed, false)),
-st AS (SELECT person, window_end, cluster, core_days, definition, source, stratum, count_if(own AND exposed) AS a, count_if(own AND NOT exposed) AS b, count_if(NOT own AND exposed) AS c, count_if(NOT own AND NOT exposed) AS d FROM sd GROUP BY ALL),
-st2 AS (SELECT *, a + b > 0 AND c + d > 0 AS ok, max(CASE WHEN a + b > 0 AND c + d > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY person, window_end, cluster, definition) = 1 AS some FROM st),
-su AS (SELECT person, window_end, cluster, core_days, definition, source, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d, sum((a + 0.5) * (d + 0.5) / (a + b + c + d + 2)) AS up, sum((b + 0.5) * (c + 0.5) / (a + b + c + d + 2)) AS down, any_value(some) AS some
-       FROM st2 WHERE ok OR NOT some OR source = 'calendar' GROUP BY person, window_end, cluster, core_days, definition, source),
-lo AS (SELECT *, CASE WHEN source = 'calendar' OR NOT some THEN ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) ELSE ln(up / greatest(1e-6, down)) END AS x FROM su),
+st AS (SELECT person, window_end, cluster, core_days, definition, source, stratum, count_if(own AND exposed)::BIGINT AS a, count_if(own AND NOT exposed)::BIGINT AS b, count_if(NOT own AND exposed)::BIGINT AS c, count_if(NOT own AND NOT exposed)::BIGINT AS d FROM sd GROUP BY ALL),
+st2 AS (SELECT *, a + b > 0 AND c + d > 0 AS ok, max(CASE WHEN a + b > 0 AND c + d > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY person, window_end, cluster, definition) = 1 AS both_seen FROM st),
+su AS (SELECT person, window_end, cluster, core_days, definition, source, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d, sum((a + 0.5) * (d + 0.5) / (a + b + c + d + 2)) AS up, sum((b + 0.5) * (c + 0.5) / (a + b + c + d + 2)) AS down, any_value(both_seen) AS both_seen
+       FROM st2 WHERE ok OR NOT both_seen OR source = 'calendar' GROUP BY person, window_end, cluster, core_days, definition, source),
+lo AS (SELECT *, CASE WHEN source = 'calendar' OR NOT both_seen THEN ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) ELSE ln(up / greatest(1e-6, down)) END AS x FROM su),
 tu AS (SELECT person, window_end, cluster, core_days, CASE WHEN t THEN 'before_inferred_work_day' ELSE definition END AS definition, source, CASE WHEN t THEN b ELSE a END AS a, CASE WHEN t THEN a ELSE b END AS b, CASE WHEN t THEN d ELSE c END AS c, CASE WHEN t THEN c ELSE d END AS d, CASE WHEN t THEN -x ELSE x END AS log_odds
        FROM (SELECT *, source = 'calendar' AND x < 0 AS t FROM lo)),
 sg AS (SELECT *, tanh(abs(log_odds) / 2) AS strength, (a + b) / core_days AS coverage, CASE WHEN log_odds >= 0 THEN a ELSE b END AS support, c + d AS comparison FROM tu),
@@ -226,7 +226,7 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "src_days": sql("SELECT * EXCLUDE (bed, wake, duration, quality, deep, light, rem, median_bpm, low_bpm, resting_bpm), " + _rounds(["bed", "wake", "duration", "quality", "deep", "light", "rem", "median_bpm", "low_bpm", "resting_bpm"]) + " FROM days", *upto("days")),
-    "win1_rolling_counts": sql("SELECT person, day AS window_end, count(*) OVER w AS available, count_if(valid) OVER w AS valid_days FROM days WINDOW w AS (PARTITION BY person ORDER BY day RANGE BETWEEN INTERVAL 41 DAYS PRECEDING AND CURRENT ROW)", *upto("days")),
+    "win1_rolling_counts": sql("SELECT person, day AS window_end, count(*) OVER w AS available, (count_if(valid) OVER w)::BIGINT AS valid_days FROM days WINDOW w AS (PARTITION BY person ORDER BY day RANGE BETWEEN INTERVAL 41 DAYS PRECEDING AND CURRENT ROW)", *upto("days")),
     "agg13_scales": sql("SELECT person, window_end, valid_days, " + _rounds([f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")]) + " FROM sc", *upto("scales")),
     "agg14_extra_sleep": sql("SELECT person, window_end, naps, round(nap_share, 6) AS nap_share, nap_weeks, nap_eligible, nap_defining FROM ex", *upto("extra")),
     "prj7_features": sql("SELECT person, window_end, day, " + _rounds(FEATURES) + " FROM ft", *upto("featured")),
@@ -245,7 +245,7 @@ ORACLES = {
     "win10_discovery_control": "WITH o AS (SELECT o_custkey, count_if(o_totalprice > 150000) / (count(*) + 1.0) AS p FROM orders GROUP BY 1), r AS (SELECT *, o_custkey % 7 AS family, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY p) AS k, count(*) OVER (PARTITION BY o_custkey % 7) AS m FROM o) SELECT o_custkey, family, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r",
     "join1_samples_in_nights": sql("SELECT person, event_id, night, bpm FROM jn", _N, _S, _J),
     "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 6) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 6) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _S, _J),
-    "agg7_settling": sql("""SELECT person, night, round(observed / 90, 6) AS first_coverage, CASE WHEN observed / 90 >= 0.6 THEN m END AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 6) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 6) END AS high_share
+    "agg7_settling": sql("""SELECT person, night, round(observed / 90, 6) AS first_coverage, (CASE WHEN observed / 90 >= 0.6 THEN m END)::DOUBLE AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 6) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 6) END AS high_share
         FROM (SELECT person, night, any_value(baseline) AS baseline, any_value(observed) AS observed, coalesce(min(CASE WHEN minute <= 70 AND seen >= 12 AND calm >= 0.8 * seen THEN minute END), 90) AS m, median(CASE WHEN minute < 15 THEN bpm END) AS opening, avg(CASE WHEN bpm IS NOT NULL THEN CASE WHEN bpm > baseline + 3 THEN 1.0 ELSE 0.0 END END) AS high FROM fr GROUP BY person, night)""", _N, _S, _J,
         "mi AS (SELECT person, night, floor(epoch(ts - start_ts) / 60)::BIGINT AS minute, median(bpm) AS bpm FROM jn GROUP BY ALL), ba AS (SELECT person, night, quantile_cont(bpm, 0.25) AS baseline, count_if(minute < 90) AS observed FROM mi GROUP BY ALL), sn AS (SELECT ba.*, unnest(range(0, 90)) AS minute FROM ba), sj AS (SELECT sn.*, mi.bpm FROM sn LEFT JOIN mi ON sn.person = mi.person AND sn.night = mi.night AND sn.minute = mi.minute), fr AS (SELECT *, count(bpm) OVER w AS seen, count_if(bpm <= baseline + 3) OVER w AS calm FROM sj WINDOW w AS (PARTITION BY person, night ORDER BY minute ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"),
     "join2_exercise": sql("""SELECT person, night, count(*) AS n, round(sum(minutes), 6) AS minutes, round(sum(CASE WHEN recent THEN minutes ELSE 0 END), 6) AS recent_minutes, 'click' AS kinds, sum(CASE WHEN recent THEN minutes ELSE 0 END) >= 15 AS evening, sum(minutes) >= 60 AS high_load

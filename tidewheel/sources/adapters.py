@@ -39,7 +39,7 @@ g AS (
     max(CASE WHEN event_type = 'view' AND hour(ts) >= 18 THEN 1 ELSE 0 END) AS late_view,
     sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors
   FROM e GROUP BY person, day),
-s AS (SELECT person, cast(at AS date) AS day FROM (SELECT person, {calendar} AS at FROM (SELECT person, min(day) AS first_day, max(day) AS last_day FROM g GROUP BY person) b) c),
+s AS (SELECT person, cast(on_day AS date) AS day FROM (SELECT person, {calendar} AS on_day FROM (SELECT person, min(day) AS first_day, max(day) AS last_day FROM g GROUP BY person) b) c),
 v AS (SELECT s.person, s.day, coalesce(fh < 3, false) AS valid, g.n, fh, seen, deep, light, rem, awake, signups, p50, p10, least, error_hour, changes, minutes, recent, clicks, purchases, dear, late_view, errors
       FROM s LEFT JOIN g ON s.person = g.person AND s.day = g.day)
 SELECT person, day, valid,

@@ -111,7 +111,7 @@ def per4_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clu1_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clustering.cluster(windows.features(_windowed(spark, d))).select(*KEY, "day", "cluster", "selected_k", F.round("stability", 6).alias("stability"))
+    return clustering.cluster(windows.features(_windowed(spark, d))).select(*KEY, "day", "cluster", "selected_k", F.round("stability", 9).alias("stability"))
 
 
 def wnd1_clustered_patterns(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +148,7 @@ def fn_labels(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("value") / 7
     return e.select(
         "event_id", fn.clock_label(h).alias("clock"), fn.duration_label(h).alias("length"), fn.monday(F.col("ts")).alias("monday"), fn.is_rest_day(F.col("ts")).alias("rest_day"),
-        F.round(fn.extended_hour(F.col("ts")), 6).alias("extended_hour"), fn.half_up(-h).alias("half_up"), fn.pairs_of(F.col("event_id") % 100).alias("pairs"), F.date_format("ts", "MMM d").alias("short_date"),
+        F.round(fn.extended_hour(F.col("ts")), 9).alias("extended_hour"), fn.half_up(-h).alias("half_up"), fn.pairs_of(F.col("event_id") % 100).alias("pairs"), F.date_format("ts", "MMM d").alias("short_date"),
     )
 
 
@@ -228,7 +228,7 @@ ORACLES = {
     "src_days": sql("SELECT * EXCLUDE (bed, wake, duration, quality, deep, light, rem, median_bpm, low_bpm, resting_bpm), " + _rounds(["bed", "wake", "duration", "quality", "deep", "light", "rem", "median_bpm", "low_bpm", "resting_bpm"]) + " FROM days", *upto("days")),
     "win1_rolling_counts": sql("SELECT person, day AS window_end, count(*) OVER w AS available, (count_if(valid) OVER w)::BIGINT AS valid_days FROM days WINDOW w AS (PARTITION BY person ORDER BY day RANGE BETWEEN INTERVAL 41 DAYS PRECEDING AND CURRENT ROW)", *upto("days")),
     "agg13_scales": sql("SELECT person, window_end, valid_days, " + _rounds([f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")]) + " FROM sc", *upto("scales")),
-    "agg14_extra_sleep": sql("SELECT person, window_end, naps, round(nap_share, 6) AS nap_share, nap_weeks, nap_eligible, nap_defining FROM ex", *upto("extra")),
+    "agg14_extra_sleep": sql("SELECT person, window_end, naps, round(nap_share, 9) AS nap_share, nap_weeks, nap_eligible, nap_defining FROM ex", *upto("extra")),
     "prj7_features": sql("SELECT person, window_end, day, " + _rounds(FEATURES) + " FROM ft", *upto("featured")),
     "mem1_membership": sql("SELECT person, window_end, day, cluster, membership, " + _rounds(["d", "clarity", "weight"]) + " FROM me", *upto("members")),
     "emg1_patterns": sql("SELECT person, window_end, cluster, days, core_days, shape_days, emergence, confidence, status, shown, rank, " + _rounds(["n_eff", "median_bed", "support", "recurrence", "compactness", "separation", "temporal_stability", "recent_continuity"]) + " FROM pb", *upto("published")),
@@ -242,17 +242,17 @@ ORACLES = {
         floor(0.6 * confidence + 0.25 * floor(100 * reliability + 0.5) + 15 * coalesce(quality, 0.8) + 0.5)::BIGINT AS sure
         FROM (SELECT *, coalesce(score - second, 100) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM fits WINDOW w AS (PARTITION BY person, day ORDER BY score DESC, cluster)) WHERE r = 1)""", *upto("published"), _REFS, _FITS),
     "per3_scan": sql("SELECT series, period, round(CASE WHEN yy > 1e-12 THEN least(1.0, greatest(0.0, (sy * (sy * cc - cy * sc) / det + cy * (cy * ss - sy * sc) / det) / yy)) ELSE 0 END, 5) AS explained FROM e6", *upto("days"), _SCAN),
-    "win10_discovery_control": "WITH o AS (SELECT o_custkey, count_if(o_totalprice > 150000) / (count(*) + 1.0) AS p FROM orders GROUP BY 1), r AS (SELECT *, o_custkey % 7 AS family, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY p) AS k, count(*) OVER (PARTITION BY o_custkey % 7) AS m FROM o) SELECT o_custkey, family, round(p, 6) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r",
+    "win10_discovery_control": "WITH o AS (SELECT o_custkey, count_if(o_totalprice > 150000) / (count(*) + 1.0) AS p FROM orders GROUP BY 1), r AS (SELECT *, o_custkey % 7 AS family, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY p) AS k, count(*) OVER (PARTITION BY o_custkey % 7) AS m FROM o) SELECT o_custkey, family, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r",
     "join1_samples_in_nights": sql("SELECT person, event_id, night, bpm FROM jn", _N, _S, _J),
-    "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 6) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 6) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _S, _J),
-    "agg7_settling": sql("""SELECT person, night, round(observed / 90, 6) AS first_coverage, (CASE WHEN observed / 90 >= 0.6 THEN m END)::DOUBLE AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 6) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 6) END AS high_share
+    "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 9) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 9) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _S, _J),
+    "agg7_settling": sql("""SELECT person, night, round(observed / 90, 9) AS first_coverage, (CASE WHEN observed / 90 >= 0.6 THEN m END)::DOUBLE AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 9) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 9) END AS high_share
         FROM (SELECT person, night, any_value(baseline) AS baseline, any_value(observed) AS observed, coalesce(min(CASE WHEN minute <= 70 AND seen >= 12 AND calm >= 0.8 * seen THEN minute END), 90) AS m, median(CASE WHEN minute < 15 THEN bpm END) AS opening, avg(CASE WHEN bpm IS NOT NULL THEN CASE WHEN bpm > baseline + 3 THEN 1.0 ELSE 0.0 END END) AS high FROM fr GROUP BY person, night)""", _N, _S, _J,
         "mi AS (SELECT person, night, floor(epoch(ts - start_ts) / 60)::BIGINT AS minute, median(bpm) AS bpm FROM jn GROUP BY ALL), ba AS (SELECT person, night, quantile_cont(bpm, 0.25) AS baseline, count_if(minute < 90) AS observed FROM mi GROUP BY ALL), sn AS (SELECT ba.*, unnest(range(0, 90)) AS minute FROM ba), sj AS (SELECT sn.*, mi.bpm FROM sn LEFT JOIN mi ON sn.person = mi.person AND sn.night = mi.night AND sn.minute = mi.minute), fr AS (SELECT *, count(bpm) OVER w AS seen, count_if(bpm <= baseline + 3) OVER w AS calm FROM sj WINDOW w AS (PARTITION BY person, night ORDER BY minute ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"),
-    "join2_exercise": sql("""SELECT person, night, count(*) AS n, round(sum(minutes), 6) AS minutes, round(sum(CASE WHEN recent THEN minutes ELSE 0 END), 6) AS recent_minutes, 'click' AS kinds, sum(CASE WHEN recent THEN minutes ELSE 0 END) >= 15 AS evening, sum(minutes) >= 60 AS high_load
+    "join2_exercise": sql("""SELECT person, night, count(*) AS n, round(sum(minutes), 9) AS minutes, round(sum(CASE WHEN recent THEN minutes ELSE 0 END), 9) AS recent_minutes, 'click' AS kinds, sum(CASE WHEN recent THEN minutes ELSE 0 END) >= 15 AS evening, sum(minutes) >= 60 AS high_load
         FROM (SELECT n.person, n.night, x.minutes, epoch(x.start_ts)::BIGINT + floor(x.minutes * 60) >= epoch(n.start_ts) - 21600 AS recent FROM nights n JOIN x ON n.person = x.person AND x.start_ts < n.start_ts AND x.start_ts >= n.start_ts - INTERVAL 18 HOURS) GROUP BY person, night""", _N, f"x AS ({adapters.EXERCISE.format(events='events')})"),
     "fn_labels": """SELECT event_id, concat(CASE WHEN (floor(t / 60) % 12) = 0 THEN 12 ELSE (floor(t / 60) % 12)::INT END, ':', lpad((t % 60)::INT::VARCHAR, 2, '0'), CASE WHEN floor(t / 60) < 12 THEN ' AM' ELSE ' PM' END) AS clock,
         concat(floor(r / 60)::INT, 'h ', lpad((r % 60)::INT::VARCHAR, 2, '0'), 'm') AS length, date_trunc('week', ts)::DATE AS monday, dayofweek(ts) IN (0, 6) AS rest_day,
-        round(CASE WHEN h < 18 THEN h + 24 ELSE h END, 6) AS extended_hour, floor(-value / 7 + 0.5)::BIGINT AS half_up, (event_id % 100) * (event_id % 100 - 1) / 2 AS pairs, strftime(ts, '%b %-d') AS short_date
+        round(CASE WHEN h < 18 THEN h + 24 ELSE h END, 9) AS extended_hour, floor(-value / 7 + 0.5)::BIGINT AS half_up, (event_id % 100) * (event_id % 100 - 1) / 2 AS pairs, strftime(ts, '%b %-d') AS short_date
         FROM (SELECT *, floor(value / 7 * 60 + 0.5) AS r, floor(value / 7 * 60 + 0.5) % 1440 AS t, hour(ts) + minute(ts) / 60 + second(ts) / 3600 AS h FROM events)""",
     "fn20_text_seed": """WITH RECURSIVE k AS (SELECT DISTINCT event_type FROM events), s AS (SELECT event_type, 0 AS i, 2166136261::HUGEINT AS a, xor(2166136261::BIGINT, 7919::BIGINT)::HUGEINT AS b FROM k
         UNION ALL SELECT event_type, i + 1, xor(a::BIGINT, ascii(substr(event_type, i + 1, 1))::BIGINT)::HUGEINT * 16777619 % 4294967296, xor(b::BIGINT, ascii(substr(event_type, i + 1, 1))::BIGINT)::HUGEINT * 16777619 % 4294967296 FROM s WHERE i < length(event_type))

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 5
 MIN_WORDS = 10
 #: Repeated windows of a text that are looked up one by one; more are found by sorting.
@@ -119,7 +121,8 @@ def host_verdicts(judged: DataFrame, host: str, failed: str = "base_failed", max
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """A row for each row of docs: id, features, base_failed, host_rate and kept. Repeated rows stay repeated."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
-    judged = features(own).drop("text")
+    # Counted once: hosts and documents both read this table of numbers.
+    judged = written(features(own).drop("text"), "judged")
     verdicts = host_verdicts(judged, "host", max_rate=max_rate).select("host", F.col("rate").alias("host_rate"), "host_ok")
     return judged.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -46,6 +46,28 @@ def resample(profile: Column, points: int = 36) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at)
 
 
+#: Points at which profiles are compared.
+POINTS = 36
+
+
+def landscape(profiles: DataFrame, members: DataFrame) -> DataFrame:
+    """(person, window_end, day, cluster, landscape): each night's profile against the medians of the core days of the patterns of the day before.
+
+    profiles: (person, day, profile), depths from 0 to 3. Levels weigh 0.78 and changes 0.22. The medians of a pattern
+    are one aggregation of its core days; nights without a profile, and patterns without one, have no row.
+    """
+    own = profiles.where(F.size("profile") > 0).select("person", "day", resample(F.col("profile"), POINTS).alias("own"))
+    core = members.where("membership = 'core'").select(*KEY, "day", "cluster")
+    middle = F.array(*(F.percentile(F.get("own", F.lit(i)), 0.5) for i in range(POINTS))).alias("middle")
+    shapes = core.join(own, ["person", "day"]).groupBy(*KEY, "cluster").agg(middle)
+    rows = own.withColumn("window_end", F.date_sub("day", 1)).join(shapes, KEY)
+    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.abs(x) / 3) / n
+    gaps = F.zip_with("own", "middle", lambda x, y: x - y)
+    changes = F.transform(F.sequence(F.lit(1), F.lit(POINTS - 1)), lambda i: F.get("gaps", i) - F.get("gaps", i - 1))
+    rows = rows.withColumn("gaps", gaps)
+    return rows.select(*KEY, "day", "cluster", clamp(1 - (mean(F.col("gaps"), POINTS) * 0.78 + mean(changes, POINTS - 1) * 0.22)).alias("landscape"))
+
+
 def fits(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame | None = None) -> DataFrame:
     """Each valid night against each pattern of the window that ended the day before: breakdown, raw and shrunk score.
 

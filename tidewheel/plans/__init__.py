@@ -1,3 +1,7 @@
 """Registered queries of the rhythm operators and their SQL."""
 
-from .queries import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
+from . import context, queries
+from .queries import FLAGSHIP  # noqa: F401
+
+QUERIES = {**queries.QUERIES, **context.QUERIES}
+ORACLES = {**queries.ORACLES, **context.ORACLES}

@@ -22,16 +22,18 @@ def _stars(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _hang_on_roots(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lesser node at most, and those that edges go to have none: then b is the root of a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ups = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.max("down").alias("down"))
+    return not ups.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("down") > 0)))).first()[0]
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root), root the least node reachable, for each node of a link. Null ends and loops are no links."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = written(links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen or not now[0]:
-            break
-        seen = tuple(now)
+    while not _hang_on_roots(edges):
         mid = written(_stars(edges, True), "edges")
         drop_written(edges)
         edges = written(_stars(mid, False), "edges")

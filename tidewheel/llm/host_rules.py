@@ -21,6 +21,8 @@ MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
 #: Hosts with fewer documents say nothing about the prior's spread.
 MIN_HOST_DOCS = 5
+#: Copies of a host's verdict.
+SALTS = 16
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -123,8 +125,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     # Counted once: hosts and documents both read this table of numbers.
     judged = written(features(own).drop("text"), "judged")
-    verdicts = host_verdicts(judged, "host", max_rate=max_rate).select("host", F.col("rate").alias("host_rate"), "host_ok")
-    return judged.join(verdicts, "host", "left").select(
+    # A host's documents meet its verdict in SALTS places, so that no host's documents are all in one task.
+    verdicts = host_verdicts(judged, "host", max_rate=max_rate).select("host", F.col("rate").alias("host_rate"), "host_ok", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("long")
+    return judged.withColumn("salt", salt).join(verdicts, ["host", "salt"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host", F.round("host_rate", 9).alias("host_rate"),
     )

@@ -203,3 +203,10 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i for i, _ in clean}
+
+
+def test_decontamination_holds_many_items(spark):
+    items = [(i, prose(30, 5000 + i, 3000)) for i in range(600)]
+    texts = [(i, prose(60, i, 3000) + " " + t + " " + prose(60, 900 + i, 3000)) for i, t in items]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, _ in items}

@@ -5,8 +5,10 @@
    documents keeps its rare words.
 2. Documents are cut into overlapping passages of the sizes that the benchmark's items need. A passage stays
    if enough of its squared TF-IDF mass lies on rare words of the benchmark, as any near an item does.
-3. A randomised SVD of the TF-IDF rows of items and passages, by power iterations whose sums Spark adds up.
-4. Cosines in the latent space give the candidates of each passage, all above a threshold.
+3. A randomised SVD of the TF-IDF rows of items and passages, by power iterations whose sums Spark adds up. The
+   space is widened by what it misses of the items, so that it holds every item whole.
+4. Cosines in the latent space give the candidates of each passage, all above a threshold that lies under the
+   cosine of any match.
 5. Longest common subsequences of words and of the item's answer confirm a candidate, so paraphrases that
    replace or drop words are found and passages that merely share a subject are not.
 """
@@ -26,13 +28,17 @@ from .common import WordHashes, by_batch, drop_written, id_and_text, mixed, plai
 #: Hashed words.
 BUCKETS = 1 << 18
 #: Items searched at once; larger benchmarks go in blocks, each over all documents.
-BLOCK = 2000
+BLOCK = 256
 RANK, OVERSAMPLE, POWERS = 128, 16, 1
 #: Share of a passage's squared TF-IDF mass on words of the benchmark that are in at most RARE of the documents.
 MIN_SHARE, RARE, RARE_DOCS = 0.25, 0.02, 5
 #: Words of the copied runs that document frequencies leave out; their hashes fill a table of 1 << GRAM_BITS flags.
 GRAM, GRAM_BITS = 4, 22
-MIN_COSINE = 0.35
+#: Least IDF as a share of the greatest. It bounds how little the words that a match shares can weigh.
+LEAST_IDF = 0.5
+#: With weights of 1 to 2 and words that occur once, a share of 0.6 of an item's words gives a cosine of 0.107 at
+#: least: 2 of 3 words of weight 1, all other words of item and 16-word passage of weight 2.
+MIN_COSINE = 0.1
 #: Shares of the item's and of the answer's words in the longest common subsequence.
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 
@@ -131,7 +137,7 @@ class Space:
     """TF-IDF rows over the words of the benchmark, scaled by a passage's whole norm."""
 
     def __init__(self, items: list[tuple[int, str]], df: np.ndarray, n: int):
-        self.idf = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
+        self.idf = np.maximum(np.log((n + 1) / (df + 1)), LEAST_IDF * np.log(n + 1))
         self.squares = self.idf**2
         self.rare = df <= max(RARE * n, RARE_DOCS)
         hashes = WordHashes()
@@ -223,9 +229,10 @@ def _times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
 
 
 def latent_space(rows: DataFrame, space: Space, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of items and passages stacked, by randomised subspace iteration.
+    """Right singular vectors of items and passages stacked, by randomised subspace iteration, and the items' residuals.
 
     The items' rows are weighted to the mass of all passages, so that a few hundred items are not lost among them.
+    What the singular vectors miss of them follows as further directions, len(items) at most.
     """
     n = len(space.words)
     k = min(rank + OVERSAMPLE, n)
@@ -240,7 +247,10 @@ def latent_space(rows: DataFrame, space: Space, rank: int = RANK) -> np.ndarray:
     small = q.T @ (_times(rows, q) + weight * (items.T @ (items @ q)))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:rank]
-    return (q @ vectors[:, order]).astype(np.float32)
+    right = q @ vectors[:, order]
+    rest = items - (items @ right) @ right.T
+    _, lengths, more = np.linalg.svd(rest, full_matrices=False)
+    return np.hstack([right, more[lengths > 1e-6].T]).astype(np.float32)
 
 
 def matches(rows: DataFrame, space: Space, right: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> DataFrame:
@@ -257,7 +267,8 @@ def matches(rows: DataFrame, space: Space, right: np.ndarray, min_cosine: float
         for b in batches:
             out: list[tuple] = []
             for doc, start, size, at, x, words in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "size", "at", "x", "words")), strict=True):
-                cosine = vectors @ (np.frombuffer(x, np.float32) @ v[np.frombuffer(at, np.int32)])
+                latent = np.frombuffer(x, np.float32) @ v[np.frombuffer(at, np.int32)]
+                cosine = vectors @ (latent / max(float(np.linalg.norm(latent)), 1e-9))
                 around = None
                 for j in np.flatnonzero((cosine >= min_cosine) & (sizes == size)).tolist():
                     item, n, bits, n_answer, answer = texts[j]

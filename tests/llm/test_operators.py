@@ -210,3 +210,42 @@ def test_decontamination_holds_many_items(spark):
     texts = [(i, prose(60, i, 3000) + " " + t + " " + prose(60, 900 + i, 3000)) for i, t in items]
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def matches_by_brute_force(texts, items):
+    """Pairs whose item's and answer's words are in some passage's common subsequence, for all passages and items."""
+    ids = lambda t: decontaminate.word_ids(decontaminate.plain_words(t), decontaminate.WordHashes()).tolist()
+    every = [(i, ids(t), ids(decontaminate.answer_of(t))) for i, t in items]
+    out = set()
+    for doc, text in texts:
+        words = ids(text)
+        for i, item, answer in every:
+            size, item_bits, answer_bits = decontaminate.size_of(len(item)), decontaminate.bits_of(item), decontaminate.bits_of(answer)
+            for a in range(0, max(1, len(words) - size // 2), size // 2):
+                around = words[max(0, a - size // 4) : a + size + size // 4]
+                if decontaminate.lcs(item_bits, len(item), around) >= 0.6 * len(item) and decontaminate.lcs(answer_bits, len(answer), around) >= 0.5 * len(answer):
+                    out.add((doc, i))
+                    break
+    return out
+
+
+def test_decontamination_finds_hot_and_common_items(spark):
+    common = prose(60, 1, 60).split()
+    r = random.Random(8)
+    every = [(i, " ".join(r.choice(common) for _ in range(30))) for i in range(30)] + [(30 + i, prose(30, 700 + i, 3000)) for i in range(5)]
+    hot = every[30][1].split()
+    hot[3::4] = [f"other{k}" for k in range(len(hot[3::4]))]
+    texts = []
+    for i in range(150):
+        words = [r.choice(common) if r.random() < 0.5 else f"w{r.randrange(3000)}" for _ in range(90)]
+        k = r.randrange(60)
+        if i % 3 == 0:
+            words[k:k] = hot
+        elif i % 3 == 1:
+            words[k:k] = [w for w in every[i % 29][1].split() if r.random() < 0.85]
+        texts.append((i, " ".join(words)))
+    texts.append((150, prose(40, 5, 3000) + " " + every[30][1]))
+    expected = matches_by_brute_force(texts, every)
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(every, "item_id long, text string")).collect()}
+    assert {(i, 30) for i in range(0, 151, 3)} <= expected and len(expected) > 90
+    assert got == expected

@@ -1,10 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Texts become 32-bit word hashes, a table that all later steps read. Document frequencies are counted on the
-   way, without words that stand in a copied GRAM words of an item: an item that leaked into a third of the
-   documents keeps its rare words.
+   way. They only weigh words, by 1 to 2: no word is too common to find an item by.
 2. Documents are cut into overlapping passages of the sizes that the benchmark's items need. A passage stays
-   if enough of its squared TF-IDF mass lies on rare words of the benchmark, as any near an item does.
+   if it holds as many words of some item as a match has to share with it, whatever their order.
 3. A randomised SVD of the TF-IDF rows of items and passages, by power iterations whose sums Spark adds up. The
    space is widened by what it misses of the items, so that it holds every item whole.
 4. Cosines in the latent space give the candidates of each passage, all above a threshold that lies under the
@@ -27,13 +26,11 @@ from .common import WordHashes, by_batch, drop_written, id_and_text, mixed, plai
 
 #: Hashed words.
 BUCKETS = 1 << 18
-#: Items searched at once; larger benchmarks go in blocks, each over all documents.
-BLOCK = 256
+#: Items searched at once, fewer if they hold more than ITEM_WORDS words each; larger benchmarks go in blocks, each over all documents.
+BLOCK, ITEM_WORDS = 256, 64
 RANK, OVERSAMPLE, POWERS = 128, 16, 1
-#: Share of a passage's squared TF-IDF mass on words of the benchmark that are in at most RARE of the documents.
-MIN_SHARE, RARE, RARE_DOCS = 0.25, 0.02, 5
-#: Words of the copied runs that document frequencies leave out; their hashes fill a table of 1 << GRAM_BITS flags.
-GRAM, GRAM_BITS = 4, 22
+#: Words whose passages are looked at together; a worker's memory follows SPAN * BLOCK.
+SPAN = 1 << 13
 #: Least IDF as a share of the greatest. It bounds how little the words that a match shares can weigh.
 LEAST_IDF = 0.5
 #: With weights of 1 to 2 and words that occur once, a share of 0.6 of an item's words gives a cosine of 0.107 at
@@ -43,51 +40,25 @@ MIN_COSINE = 0.1
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 
 
-def grams(ids: np.ndarray) -> np.ndarray:
-    """Places of the GRAM-word runs in a table of flags."""
-    ids = ids.astype(np.uint64)
-    h = ids[: len(ids) - GRAM + 1]
-    for k in range(1, GRAM):
-        h = mixed(h + np.uint64(k)) + ids[k : len(ids) - GRAM + 1 + k]
-    return (mixed(h) >> np.uint64(64 - GRAM_BITS)).astype(np.intp)
-
-
-def uncopied(ids: np.ndarray, copied: np.ndarray) -> np.ndarray:
-    """ids without those in a flagged run."""
-    hit = np.flatnonzero(copied[grams(ids)]) if len(ids) >= GRAM else ()
-    if not len(hit):
-        return ids
-    keep = np.ones(len(ids), np.bool_)
-    for k in range(GRAM):
-        keep[hit + k] = False
-    return ids[keep]
-
-
 def word_ids(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     """32-bit hashes of words; their low bits are the words' buckets."""
     return (hashes.of(words) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def hashed_texts(docs: DataFrame, items: list[str]) -> tuple[DataFrame, np.ndarray, int]:
-    """(table of (doc_id, ids), documents that hold each bucket outside runs copied from items, all documents).
+def hashed_texts(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(table of (doc_id, ids), documents that hold each bucket, all documents).
 
     The table also holds the counts of each task, BUCKETS rows at most, under a null doc_id.
     """
-    copied, hashes = np.zeros(1 << GRAM_BITS, np.bool_), WordHashes()
-    for item in items:
-        if len(ids := word_ids(plain_words(item), hashes)) >= GRAM:
-            copied[grams(ids)] = True
-    own = docs.sparkSession.sparkContext.broadcast(np.packbits(copied))
     names, kinds = ["doc_id", "ids", "word", "df"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(own.value).view(np.bool_)
         hashes, df, n = WordHashes(), np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
                 ids = word_ids(plain_words(text), hashes)
-                df[np.unique(uncopied(ids, flags) & np.uint32(BUCKETS - 1))] += 1
+                df[np.unique(ids & np.uint32(BUCKETS - 1))] += 1
                 out.append(ids.tobytes())
             n += len(out)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], names)
@@ -136,22 +107,30 @@ def bits_of(words: list[int]) -> dict[int, int]:
 class Space:
     """TF-IDF rows over the words of the benchmark, scaled by a passage's whole norm."""
 
-    def __init__(self, items: list[tuple[int, str]], df: np.ndarray, n: int):
+    def __init__(self, items: list[tuple[int, str]], df: np.ndarray, n: int, min_lcs: float = MIN_LCS):
         self.idf = np.maximum(np.log((n + 1) / (df + 1)), LEAST_IDF * np.log(n + 1))
-        self.squares = self.idf**2
-        self.rare = df <= max(RARE * n, RARE_DOCS)
         hashes = WordHashes()
         self.items = []
         for item, text in items:
             ids = word_ids(plain_words(text), hashes)
             if len(ids):
                 self.items.append((item, ids, word_ids(plain_words(answer_of(text)), hashes)))
+        self.items.sort(key=lambda i: size_of(len(i[1])))  # a size's items are neighbours
         own = [ids & np.uint32(BUCKETS - 1) for _, ids, _ in self.items]
         self.words = np.unique(np.concatenate(own)) if own else np.zeros(0, np.intp)
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[self.words] = np.arange(len(self.words))
         self.rows = [self.row(i) for i in own]
-        self.sizes = sorted({size_of(len(w)) for _, w, _ in self.items})
+        self.size_of = np.array([size_of(len(w)) for _, w, _ in self.items], np.int64)
+        self.sizes = sorted(set(self.size_of.tolist()))
+        self.of_size = {z: slice(*np.searchsorted(self.size_of, (z, z + 1)).tolist()) for z in self.sizes}
+        self.need = np.ceil(np.array([len(w) for _, w, _ in self.items]) * min_lcs - 1e-6).astype(np.int64)
+        self.least = {z: int(self.need[o].min()) for z, o in self.of_size.items()}
+        #: Times that each item holds each word.
+        self.times = np.zeros((len(self.words), len(self.items)), np.uint32)
+        for j, i in enumerate(own):
+            np.add.at(self.times[:, j], self.place[i], 1)
+        self.has = (self.times > 0).astype(np.uint8)
 
     def row(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word, tf = np.unique(ids, return_counts=True)
@@ -162,38 +141,69 @@ class Space:
         return at[own], (x[own] / norm).astype(np.float32)
 
 
-def passages(hashed: DataFrame, space: Space, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, start, size, at, x, words): passages with enough mass on the benchmark, their sparse rows, and the words around."""
+def near_passages(docs: list[np.ndarray], space: Space) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(document's place, start, size, end, items) of the passages which, with the words around, hold `need` words of those items.
+
+    Two counts bound the common subsequence from above, so none that is long enough is missed: the passage's words
+    that the item has, and the item's words that the passage has. Documents are laid out in a row, at multiples of
+    all steps and so far apart that no passage meets two.
+    """
+    unit = int(np.lcm.reduce([z // 2 for z in space.sizes]))
+    room = [-(-(len(ids) + 2 * space.sizes[-1]) // unit) * unit for ids in docs]
+    n, offset = sum(room), np.cumsum([0, *room])[:-1]
+    row = np.full(n, -1, np.int32)
+    for ids, o in zip(docs, offset.tolist(), strict=True):
+        row[o : o + len(ids)] = space.place[ids & np.uint32(BUCKETS - 1)]
+    span = max(SPAN, 4 * space.sizes[-1])
+    kind = np.uint16 if space.sizes[-1] <= SPAN else np.uint32  # sums may wrap, as differences stay below the type's range
+    for low in range(0, n, span):
+        first, last = max(0, low - space.sizes[-1]), min(n, low + span + 2 * space.sizes[-1])
+        place = row[first:last]
+        at = np.flatnonzero(place >= 0)
+        place, at = place[at], at + first
+        if len(at) < space.need.min():
+            continue
+        held = np.zeros((len(at) + 1, len(space.items)), kind)
+        np.cumsum(space.has[place], axis=0, dtype=kind, out=held[1:])
+        for size in space.sizes:
+            own, step = space.of_size[size], size // 2
+            start = np.arange(-(-low // step) * step, min(low + span, n), step)
+            a, e = np.searchsorted(at, start - size // 4), np.searchsorted(at, start + size + size // 4)
+            some = np.flatnonzero(e - a >= space.least[size])
+            if not len(some):
+                continue
+            sums = held[:, own]
+            near = (sums[e[some]] - sums[a[some]]) >= space.need[own].astype(kind)
+            window, item = np.divmod(np.flatnonzero(near), near.shape[1])
+            for k in sorted(set(window.tolist())):
+                w, items = some[k], item[window == k] + own.start
+                doc = int(np.searchsorted(offset, start[w], "right")) - 1
+                begin, length = int(start[w] - offset[doc]), len(docs[doc])
+                if begin >= max(1, length - step):
+                    continue
+                items = items[space.times[np.unique(place[a[w] : e[w]])][:, items].sum(axis=0) >= space.need[items]]
+                if len(items):
+                    yield doc, begin, size, min(begin + size, length), items
+
+
+def passages(hashed: DataFrame, space: Space) -> DataFrame:
+    """(doc_id, start, size, at, x, words, items): passages that may hold items, their sparse rows, the words around, and those items."""
     own = hashed.sparkSession.sparkContext.broadcast(space)  # BUCKETS numbers and a block of items
+    names = ["doc_id", "start", "size", "at", "x", "words", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = own.value
-        inside = np.where((s.place >= 0) & s.rare, s.squares, 0.0)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for b in batches:
             out: list[tuple] = []
-            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(data, np.uint32)
-                n = len(ids)
-                if not n:
-                    continue
-                word = ids & np.uint32(BUCKETS - 1)
-                hits = inside[word]
-                if not hits.any():
-                    continue
-                mass, hit = np.zeros(n + 1), np.zeros(n + 1)
-                np.cumsum(s.squares[word], out=mass[1:])
-                np.cumsum(hits, out=hit[1:])
-                for size in s.sizes:
-                    start = np.arange(0, max(1, n - size // 2), size // 2)
-                    end = np.minimum(start + size, n)
-                    near = np.flatnonzero((hit[end] - hit[start]) >= min_share * (mass[end] - mass[start]))
-                    for a, e in zip(start[near].tolist(), end[near].tolist(), strict=True):
-                        at, x = s.row(word[a:e])
-                        out.append((doc, a, size, at.tobytes(), x.tobytes(), ids[max(0, a - size // 4) : e + size // 4].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc_id", "start", "size", "at", "x", "words"])
+            names_of, texts = b.column("doc_id").to_pylist(), [np.frombuffer(data, np.uint32) for data in b.column("ids").to_pylist()]
+            for doc, a, size, e, items in near_passages(texts, s):
+                ids = texts[doc]
+                at, x = s.row(ids[a:e] & np.uint32(BUCKETS - 1))
+                out.append((names_of[doc], a, size, at.tobytes(), x.tobytes(), ids[max(0, a - size // 4) : e + size // 4].tobytes(), items.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
-    return by_batch(hashed.where("doc_id IS NOT NULL").select("doc_id", "ids"), run, "doc_id long, start long, size int, at binary, x binary, words binary")
+    return by_batch(hashed.where("doc_id IS NOT NULL").select("doc_id", "ids"), run, "doc_id long, start long, size int, at binary, x binary, words binary, items binary")
 
 
 def _times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
@@ -259,25 +269,26 @@ def matches(rows: DataFrame, space: Space, right: np.ndarray, min_cosine: float
     for j, (at, x) in enumerate(space.rows):
         items[j] = x @ right[at]
     norms = np.linalg.norm(items, axis=1, keepdims=True)
-    own = rows.sparkSession.sparkContext.broadcast((right, items / np.maximum(norms, 1e-9), np.array([size_of(len(w)) for _, w, _ in space.items]), [(i, len(w), bits_of(w.tolist()), len(a), bits_of(a.tolist())) for i, w, a in space.items]))
+    own = rows.sparkSession.sparkContext.broadcast((right, items / np.maximum(norms, 1e-9), [(i, len(w), bits_of(w.tolist()), len(a), bits_of(a.tolist())) for i, w, a in space.items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, vectors, sizes, texts = own.value
+        v, vectors, texts = own.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
         for b in batches:
             out: list[tuple] = []
-            for doc, start, size, at, x, words in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "size", "at", "x", "words")), strict=True):
+            for doc, start, size, at, x, words, near in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "size", "at", "x", "words", "items")), strict=True):
+                near = np.frombuffer(near, np.int32)
                 latent = np.frombuffer(x, np.float32) @ v[np.frombuffer(at, np.int32)]
-                cosine = vectors @ (latent / max(float(np.linalg.norm(latent)), 1e-9))
+                cosine = vectors[near] @ (latent / max(float(np.linalg.norm(latent)), 1e-9))
                 around = None
-                for j in np.flatnonzero((cosine >= min_cosine) & (sizes == size)).tolist():
-                    item, n, bits, n_answer, answer = texts[j]
+                for k in np.flatnonzero(cosine >= min_cosine).tolist():
+                    item, n, bits, n_answer, answer = texts[near[k]]
                     around = np.frombuffer(words, np.uint32).tolist() if around is None else around
                     share = lcs(bits, n, around) / n
                     if share >= min_lcs:
                         own_answer = lcs(answer, n_answer, around) / n_answer if n_answer else 1.0
                         if own_answer >= min_answer:
-                            out.append((doc, item, start, size, float(cosine[j]), share, own_answer))
+                            out.append((doc, item, start, size, float(cosine[k]), share, own_answer))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["doc_id", "item_id", "start", "size", "cosine", "lcs_share", "answer_share"])
 
     return by_batch(rows, run, "doc_id long, item_id long, start long, size int, cosine double, lcs_share double, answer_share double")
@@ -292,22 +303,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     own = id_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    blocks = -(-items.count() // block)
+    n_items, n_words = items.agg(F.count("*"), F.sum(F.size(F.split("text", r"\s+")))).first()
+    blocks = max(-(-n_items // block), -(-(n_words or 0) // (block * ITEM_WORDS)))
     schema = "doc_id long, item_id long, start long, size int, cosine double, lcs_share double, answer_share double"
     found = spark.createDataFrame([], schema)
+    if not blocks:
+        return found
+    hashed, df, n = hashed_texts(own)
     for k in range(blocks):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toArrow()
         pairs = sorted(zip(some.column("item_id").to_pylist(), some.column("text").to_pylist(), strict=True))
-        hashed, df, n = hashed_texts(own, [t for _, t in pairs])
         space = Space(pairs, df, n)
         if not space.items:
-            drop_written(hashed)
             continue
         rows = written(passages(hashed, space), "passages")
-        drop_written(hashed)
         hits = written(matches(rows, space, latent_space(rows, space)), "matches")
         drop_written(rows)
         found = found.unionAll(hits)
+    drop_written(hashed)
     best = F.max_by(F.struct("start", "size", "cosine", "lcs_share", "answer_share"), F.struct("lcs_share", "cosine", -F.col("start"), -F.col("size"))).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
 

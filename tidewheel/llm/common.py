@@ -57,6 +57,25 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: A key of more rows than this, or than a thousandth of all, is dealt over several tasks.
+HOT_ROWS = 200
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of many with few, few having one row (or a few) for a key, where one key may hold most rows of many.
+
+    The rows of hot keys are dealt by a hash of column `by` over as many tasks as they need, and what few has for
+    them goes to each. Hot keys are under a thousand whatever the input, so their list is broadcast. counted is what the
+    keys are counted on (many, if not given): a written table, as it is read once more.
+    """
+    counted = many if counted is None else counted
+    most = max(HOT_ROWS, counted.count() // 1000)
+    hot = F.broadcast(counted.groupBy(on).count().where(F.col("count") > most).select(F.col(on), F.ceil(F.col("count") / most).cast("int").alias("_parts")))
+    dealt = many.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = few.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")
+
+
 #: Rows that an operator's Python sees at once; a worker's memory follows the texts of so many rows.
 SLICE = 1000
 

@@ -2,39 +2,43 @@
 
 Documents with equal shingle sets are one class, stood for by its smallest id. Each class has PERMUTATIONS
 MinHash values. BANDS groups of them are bucket keys; all of them folded by parity into BITS bits are its odd
-sketch, whose XOR population count with another's estimates their similarity. Candidates come in rounds, each
-only for what the one before has left apart:
+sketch, whose XOR population count with another's estimates their similarity. A bucket is led by its most central
+class, the one whose buckets hold the most rows. Candidates come in rounds, each only for what the one before has
+left apart; none of them forms the pairs of a group:
 
-1. Each class is held against the class that leads (is the smallest of) most of its buckets. That is one pair
-   a class and joins large groups of near copies.
+1. Each class is held against the class that leads most of its buckets. That is one pair a class.
 2. In buckets that still hold several components, each class is held against the bucket's leader.
-3. In buckets that still hold several components, classes of different components and of fitting sizes are
-   compared by sketch inside the join; only pairs that the sketches call similar come out.
+3. In buckets that still hold several components, classes meet by what they have unlike the bucket's leader L.
+   Sets A and B reach the threshold exactly if ``|A ^ B| <= (|A| + |B|) / 7`` (symmetric difference), so with
+   ``x(A) = |A ^ L| - |A| / 7`` the differences A ^ L and B ^ L must share ``(x(A) + x(B)) / 2`` shingles. Each set
+   therefore shows only the rarest of its differences, as many as such an overlap can't avoid (a prefix filter);
+   differences that no other set of that leader has are shown to nobody. Neither independent edits of one text
+   nor a passage that many texts hold make pairs.
 
 Every candidate is confirmed on full sets, so links are exact. A pair at the threshold shares
-no bucket with probability (1 - 0.75^ROWS)^BANDS, 5e-6; more similar pairs less.
+no bucket with probability (1 - 0.75^ROWS)^BANDS, 4e-6; more similar pairs less.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, drop_written, id_and_text, mixed, words_of, written
+from .common import WordHashes, by_batch, drop_written, id_and_text, mixed, salted_join, words_of, written
 from .components import components
 
 SHINGLE = 5
-ROWS, BANDS = 4, 32
+ROWS, BANDS = 6, 64
 PERMUTATIONS = ROWS * BANDS
-BITS = 1024
+BITS = 2048
 #: Percent of the union that the intersection must reach.
 PERCENT = 75
 #: Sketches below this estimate are weeded: five standard deviations under the threshold.
-LEAST_ESTIMATE = 0.56
+LEAST_ESTIMATE = 0.63
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
@@ -64,8 +68,11 @@ def minhashes(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    v = low.reshape(BANDS, ROWS).astype(np.uint64)
-    return mixed(mixed((v[:, 0] << np.uint64(32)) | v[:, 1]) + ((v[:, 2] << np.uint64(32)) | v[:, 3]) * _MULTIPLIERS[0] + _BAND).view(np.int64)
+    v = low.reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
+    key = _BAND
+    for k in range(ROWS // 2):
+        key = mixed(key + ((v[:, k, 0] << np.uint64(32)) | v[:, k, 1]) * _MULTIPLIERS[k])
+    return key.view(np.int64)
 
 
 def odd_sketch(low: np.ndarray) -> np.ndarray:
@@ -121,28 +128,137 @@ def fitting(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b) with text_a and text_b. pairs is a written table; an end of many pairs is dealt over several tasks."""
+    one = salted_join(pairs.select("a", "b"), texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a", "b")
+    return salted_join(one, texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", "a", pairs)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, set of a, set of b) of rows with texts. Sets of a few texts are kept, as leaders come again and again."""
+    hashes, kept = WordHashes(), {}
+    for batch in batches:
+        for a, b, *both in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+            sets = []
+            for text in both:
+                if (s := kept.get(text)) is None:
+                    if len(kept) > 200:
+                        kept.clear()
+                    kept[text] = s = shingle_set(text, hashes)
+                sets.append(s)
+            yield a, b, *sets
+
+
+def _tables(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """rows as batches that hold about a million values at most."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += 4 + sum(len(x) for x in row if isinstance(x, np.ndarray))
+        if size > 1 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole texts' sets reach PERCENT, with both counts: (a, b, both, either)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = WordHashes(), {}
-        for batch in batches:
-            out: list[tuple] = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if (s := kept.get(x)) is None:
-                    if len(kept) > 200:
-                        kept.clear()
-                    kept[x] = s = shingle_set(x, hashes)
-                t = shingle_set(y, hashes)
+        def links() -> Iterator[tuple]:
+            for a, b, s, t in _sets(batches):
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 either = len(s) + len(t) - both
                 if 100 * both >= PERCENT * either:
-                    out.append((a, b, both, either))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["a", "b", "both", "either"])
+                    yield a, b, both, either
+
+        yield from _tables(links(), [pa.int64()] * 4, ["a", "b", "both", "either"])
+
+    return by_batch(_with_texts(pairs, texts), run, "a long, b long, both long, either long")
+
+
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, apart): the sizes of both shingle sets and the shingles that only one of them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((a, b, len(s), len(t), np.setxor1d(s, t, assume_unique=True).view(np.int64)) for a, b, s, t in _sets(batches))
+        yield from _tables(rows, [pa.int64()] * 4 + [pa.list_(pa.int64())], ["a", "b", "n_a", "n_b", "apart"])
+
+    return by_batch(_with_texts(pairs, texts), run, "a long, b long, n_a long, n_b long, apart array<long>")
+
 
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return by_batch(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long, both long, either long")
+def _led(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets that hold several classes: (key, class_id, leader), and the leader (class_id, a) that most buckets of a class have.
+
+    A bucket's leader is first its most central class, then the one that leads most buckets of that, so that the
+    buckets of a group have few leaders; it need not be in the bucket.
+    """
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    held = written(salted_join(banded, sizes, "key", "class_id"), "held")
+    central = held.groupBy("class_id").agg(F.sum("size").alias("weight"))
+    leaders = held.join(central, "class_id").groupBy("key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("leader"))
+    rows = written(salted_join(held.select("key", "class_id"), leaders, "key", "class_id"), "led")
+    by = rows.groupBy("class_id", "leader").agg(F.count("*").alias("n"))
+    lead = written(by.groupBy("class_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")), "lead")
+    over = salted_join(rows, lead.select(F.col("class_id").alias("leader"), F.col("a").alias("over")), "leader", "class_id")
+    shared = written(over.select("key", "class_id", F.col("over").alias("leader")), "shared")
+    drop_written(held)
+    drop_written(rows)
+    return shared, lead
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (key, class_id, leader) of buckets that hold several components, with root and the root of the bucket's leader."""
+    own = lambda x, root: roots.select(F.col("node").alias(x), F.col("root").alias(root))
+    rooted = rows.select("key", "class_id", "leader").join(own("class_id", "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    by = rooted.groupBy("key", "leader").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    by = by.join(own("leader", "leader_root"), "leader", "left").select("key", F.coalesce("leader_root", "leader").alias("leader_root"))
+    return written(salted_join(rooted, by, "key", "class_id", rows), "open")
+
+
+def _shown(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(leader, h, class_id, root, inside, short, rest, need): the differences to its leaders by which a class is to be found.
+
+    inside: in the leader's component, so that a partner is outside and has x > |L| / 7. A class outside may meet
+    one inside (x >= -|L| / 7) by any of its shown differences, one outside by those marked short. rest: the
+    differences that come after h; need: 7 x.
+    """
+    stars = open_rows.where("class_id <> leader").groupBy("leader", "class_id").agg(F.first("root").alias("root"), F.first("leader_root").alias("leader_root"))
+    stars = written(stars, "stars")
+    pairs = written(stars.select(F.col("leader").alias("a"), F.col("class_id").alias("b")), "pairs")
+    apart = written(differences(pairs, texts).withColumnsRenamed({"a": "leader", "b": "class_id"}), "apart")
+    each = written(apart.select("leader", "class_id", F.explode("apart").alias("h")), "each")
+    often = each.groupBy("leader", "h").agg(F.count("*").alias("df")).where("df > 1")
+    common = salted_join(each.withColumn("at", F.struct("leader", "h")), often.select(F.struct("leader", "h").alias("at"), "df"), "at", "class_id")
+    by = Window.partitionBy("leader", "class_id")
+    ranked = common.select("leader", "class_id", "h", F.row_number().over(by.orderBy("df", "h")).alias("rank"), F.count("*").over(by).alias("common"))
+    facts = apart.join(stars, ["leader", "class_id"]).select("leader", "class_id", "root", (F.col("root") == F.col("leader_root")).alias("inside"), F.size("apart").alias("size"), "n_a", "n_b", (7 * F.size("apart") - F.col("n_b")).alias("need"))
+    # Twice the overlap at least, in sevenths: 7 |A ^ L| - |A| + |L| with a partner outside, - |L| with one inside.
+    twice = lambda sign: F.col("need") + sign * F.col("n_a")
+    most = lambda sign: F.col("size") - F.ceil(F.greatest(twice(sign), F.lit(0)) / 14) + 1
+    placed = ranked.join(facts, ["leader", "class_id"]).withColumn("place", F.col("size") - F.col("common") + F.col("rank"))
+    short = F.col("place") <= most(1)
+    shown = placed.where(short | (~F.col("inside") & (F.col("place") <= most(-1))))
+    out = written(shown.select("leader", "h", "class_id", "root", "inside", short.alias("short"), (F.col("size") - F.col("place")).alias("rest"), "need"), "shown")
+    for t in (stars, pairs, apart, each):
+        drop_written(t)
+    return out
+
+
+def _met(shown: DataFrame, side: Callable[[str], DataFrame], near: Column) -> DataFrame:
+    """(a, b): classes of different components that show one difference to one leader, where near holds.
+
+    In each group one side leaves out the largest component, so that its classes don't meet each other.
+    """
+    many = shown.groupBy("leader", "h", "root").agg(F.count("*").alias("n")).groupBy("leader", "h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    groups = written(shown.join(many.where("roots > 1").select("leader", "h", "main"), ["leader", "h"]), "groups")
+    half = lambda x, rows: rows.select("leader", "h", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("inside").alias(f"inside_{x}"), F.col("short").alias(f"short_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("need").alias(f"need_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}")).join(side(x), x)
+    allowed = (F.col("inside_a") != F.col("inside_b")) | (F.col("short_a") & F.col("short_b"))
+    # At the first difference that both show, what follows it must hold the rest of the overlap.
+    allowed = allowed & (14 * (1 + F.least("rest_a", "rest_b")) >= F.col("need_a") + F.col("need_b"))
+    once = F.col("main_b") | (F.col("root_a") < F.col("root_b"))
+    return half("a", groups.where("root <> main")).join(half("b", groups), ["leader", "h"]).where((F.col("root_a") != F.col("root_b")) & once & allowed & near).select("a", "b").distinct()
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -154,55 +270,47 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = id_and_text(docs, id_col, text_col)
     every = written(features(own), "features")
     can = every.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
-    classes = can.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    classes = written(can.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "prints")
     stands = F.col("doc_id") == F.col("class_id")
-    reps = written(can.join(classes, "fingerprint").where(stands).dropDuplicates(["class_id", "fingerprint"]).select("class_id", "n_shingles", "bands", "sketch"), "classes")
-    rows = every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint")).join(classes, "fingerprint", "left").select("doc_id", "n_shingles", "class_id")
-
-    banded = reps.select("class_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most")
-    shared = written(banded.join(buckets.select("key", "least"), "key").select("key", "class_id", "least"), "shared")
+    named = written(salted_join(every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint")).where("fingerprint is not null"), classes, "fingerprint", "doc_id"), "rows")
+    rows = named.select("doc_id", "n_shingles", "class_id").unionAll(every.where(F.col("doc_id").isNull() | F.col("fingerprint").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long")))
+    first = named.where(stands).select(F.col("doc_id").alias("class_id"), "fingerprint").distinct()
+    reps = written(can.withColumnRenamed("doc_id", "class_id").join(first, ["class_id", "fingerprint"], "left_semi").dropDuplicates(["class_id", "fingerprint"]).select("class_id", "n_shingles", "bands", "sketch"), "classes")
+
+    banded = written(reps.select("class_id", F.explode("bands").alias("key")).distinct(), "bands")
+    shared, lead = _led(banded)
+    drop_written(banded)
     ids = shared.select(F.col("class_id").alias("doc_id")).distinct()
     texts = written(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     sketches = reps.select("class_id", "n_shingles", "sketch")
     side = lambda x: sketches.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     near = fitting(F.col("n_a"), F.col("n_b")) & similar(F.col("sketch_a"), F.col("sketch_b"))
-    weeded = lambda pairs: pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b")
-
-    # Round 1: each class and the class that leads most of its buckets.
-    led = shared.where("class_id > least").groupBy("class_id", "least").agg(F.count("*").alias("n"))
-    lead = led.groupBy("class_id").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("a"))
-    links = written(confirmed(weeded(lead.select("a", F.col("class_id").alias("b"))), texts), "links")
-    roots = written(components(links), "roots")
-
-    # Round 2: in buckets of several components, each class and the bucket's leader if they are still apart.
-    open_rows = written(_open(shared, roots), "open")
-    second = open_rows.where("root <> least_root").select(F.col("least").alias("a"), F.col("class_id").alias("b")).distinct()
-    more = written(confirmed(weeded(second), texts), "links")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = written(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b"))), "roots")
-        open_rows = written(_open(open_rows.select("key", "class_id", "least"), roots), "open")
-
-    # Round 3: in buckets of several components, all classes that are apart and whose sketches are near.
-    half = lambda x: open_rows.select("key", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}")).join(side(x), x)
-    third = half("a").join(half("b"), "key").where((F.col("root_a") < F.col("root_b")) & near).select("a", "b").distinct()
-    more = written(confirmed(third, texts), "links")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        roots = written(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b"))), "roots")
-    for t in (texts, shared, open_rows):
+    weeded = lambda pairs: written(pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"), "pairs")
+    links = roots = None
+
+    def found(pairs: DataFrame) -> bool:
+        nonlocal links, roots
+        more = written(confirmed(pairs, texts), "links")
+        drop_written(pairs)
+        if links is not None and more.isEmpty():
+            return False
+        known = more.select("a", "b") if links is None else roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(more.select("a", "b"))
+        links = more if links is None else links.unionAll(more)
+        roots = written(components(known), "roots")
+        return True
+
+    found(weeded(lead.where("a <> class_id").select("a", F.col("class_id").alias("b"))))
+    open_rows = _open(shared, roots)
+    second = open_rows.where("root <> leader_root").select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct()
+    if found(weeded(second)):
+        open_rows = _open(open_rows, roots)
+    shown = _shown(open_rows, texts)
+    found(written(_met(shown, side, near), "pairs"))
+    for t in (texts, shared, lead, open_rows, shown):
         drop_written(t)
     return rows, links, roots
 
 
-def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (key, class_id, least) of buckets that hold several components, with root and the root of the bucket's leader."""
-    rooted = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    by = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("class_id") == F.col("least"), F.col("root"))).alias("least_root")).where("lo < hi")
-    return rooted.join(by.select("key", "least_root"), "key").select("key", "class_id", "least", "root", "least_root")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id), a row for each input row.
 

@@ -194,8 +194,8 @@ def _led(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
     A bucket's leader is first its most central class, then the one that leads most buckets of that, so that the
     buckets of a group have few leaders; it need not be in the bucket.
     """
-    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = written(salted_join(banded, sizes, "key", "class_id"), "held")
+    sizes = written(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    held = written(salted_join(banded, sizes.select("key", F.col("n").alias("size")), "key", "class_id", sizes=sizes).distinct(), "held")
     central = held.groupBy("class_id").agg(F.sum("size").alias("weight"))
     leaders = held.join(central, "class_id").groupBy("key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("leader"))
     rows = written(salted_join(held.select("key", "class_id"), leaders, "key", "class_id"), "led")
@@ -203,8 +203,8 @@ def _led(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead = written(by.groupBy("class_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")), "lead")
     over = salted_join(rows, lead.select(F.col("class_id").alias("leader"), F.col("a").alias("over")), "leader", "class_id")
     shared = written(over.select("key", "class_id", F.col("over").alias("leader")), "shared")
-    drop_written(held)
-    drop_written(rows)
+    for t in (sizes, held, rows):
+        drop_written(t)
     return shared, lead
 
 
@@ -277,9 +277,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = named.where(stands).select(F.col("doc_id").alias("class_id"), "fingerprint").distinct()
     reps = written(can.withColumnRenamed("doc_id", "class_id").join(first, ["class_id", "fingerprint"], "left_semi").dropDuplicates(["class_id", "fingerprint"]).select("class_id", "n_shingles", "bands", "sketch"), "classes")
 
-    banded = written(reps.select("class_id", F.explode("bands").alias("key")).distinct(), "bands")
-    shared, lead = _led(banded)
-    drop_written(banded)
+    # Nearly all keys are a class's own: they are counted as they are read, and only shared ones become a table.
+    shared, lead = _led(reps.select("class_id", F.explode("bands").alias("key")))
     ids = shared.select(F.col("class_id").alias("doc_id")).distinct()
     texts = written(own.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
     sketches = reps.select("class_id", "n_shingles", "sketch")

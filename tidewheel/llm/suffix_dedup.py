@@ -3,11 +3,12 @@
 A suffix array of every byte would be as many strings as bytes. Equal 100-byte strings hold equal anchors, the
 least hash of the K-byte strings in them, so only suffixes at anchors are sorted, about one in forty:
 
-1. Anchors of all texts are counted by their K bytes; those that occur once in the corpus can't lie in a
+1. Of equal whole texts only the first is looked at: every string of the others starts earlier in it.
+2. Anchors of all texts are counted by their K bytes; those that occur once in the corpus can't lie in a
    repeated string and go.
-2. Each batch of texts sorts the suffixes of its remaining anchors, and likewise what stands before them, and
-   settles strings that repeat inside the batch. That leaves one string of a kind for each batch.
-3. What is left meets by anchor, a bounded bucket at a time, and is sorted and settled in the same way.
+3. Some texts at a time sort the suffixes of their remaining anchors, and likewise what stands before them, and
+   settle strings that repeat among them. That leaves one string of a kind.
+4. What is left meets by anchor, a bounded bucket at a time, and is sorted and settled in the same way.
    Anchors of more than HOT places don't meet: their strings are compared one by one by 128-bit hashes, which
    Spark aggregates in part before the shuffle.
 
@@ -22,12 +23,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_written, id_and_text, mixed, written
+from .common import by_batch, drop_written, id_and_text, mixed, salted_join, written
 
 LENGTH = 100
 K = 24
@@ -37,6 +39,8 @@ SHALLOW = 4
 HOT = 4096
 #: Records of a bucket, about.
 BUCKET = 60_000
+#: Anchors that are settled together, at most.
+TOGETHER = 150_000
 PIECE = 1 << 19
 _LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
@@ -171,9 +175,10 @@ def repeated(keys: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray
             continue
         r_class[r_order] = np.cumsum(r_common < LENGTH - o)
         l_class[l_order] = np.cumsum(l_common < o)
-        kind = r_class[rows] * (n + 1) + l_class[rows]
-        _, first, at = np.unique(kind, return_index=True, return_inverse=True)
-        out[rows, o] = place[rows] > place[rows[first[at]]]
+        kind, _ = pd.factorize(r_class[rows] * (n + 1) + l_class[rows])  # numbered as they first come
+        first = np.flatnonzero(kind > np.maximum.accumulate(np.append(-1, kind[:-1])))
+        at = place[rows]
+        out[rows, o] = at > at[first[kind]]
     return out
 
 
@@ -192,14 +197,16 @@ def _ranks(docs: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(np.append(True, (docs[1:] != docs[:-1]) | (q[1:] != q[:-1])))
 
 
-def _runs(flags: np.ndarray, q: int) -> list[tuple[int, int]]:
-    """(first start, last start + 1) of the flagged strings of one anchor."""
-    o = np.flatnonzero(flags)
-    if not len(o):
-        return []
-    cut = np.flatnonzero(np.diff(o) > 1)
-    a, b = np.append(o[0], o[cut + 1]), np.append(o[cut], o[-1])
-    return [(q - int(y), q - int(x) + 1) for x, y in zip(a, b, strict=True)]
+def _runs(flags: np.ndarray, row: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first start, last start + 1) of flagged strings, neighbouring runs of a row joined."""
+    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    i, low = np.nonzero(edge == 1)
+    _, high = np.nonzero(edge == -1)
+    a, b = q[i] - high + 1, q[i] - low + 1
+    order = np.lexsort((a, row[i]))
+    r, a, b = row[i][order], a[order], b[order]
+    new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (a[1:] > b[:-1]))) if len(r) else np.zeros(0, np.int64)
+    return (r[new], a[new], np.maximum.reduceat(b, new)) if len(r) else (r, a, b)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,71 +226,108 @@ _OUT_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int
 _OUT_SCHEMA = "kind int, row long, doc_id long, anchor long, q long, lo int, hi int, todo binary, data binary, a long, b long"
 
 
+def _batch(kind: int, n: int, **columns) -> pa.RecordBatch:
+    filled = {"kind": np.full(n, kind, np.int32)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(filled[c], t) if c in filled else pa.nulls(n, t) for c, t in zip(_OUT, _OUT_KINDS, strict=True)], _OUT)
+
+
+class _Together:
+    """Anchors of some texts, settled at once."""
+
+    def __init__(self) -> None:
+        self.n, self.parts, self.texts = 0, [], []
+
+    def add(self, row: int, doc: int, data: bytes, padded: np.ndarray, own: np.ndarray, hot: np.ndarray, h: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Anchors h at q of a text; own: its sorted anchors that others share, hot for each."""
+        if not self.texts or self.texts[-1] is not data:
+            self.texts.append(data)
+        one = lambda x: np.full(len(q), x, np.int64)
+        at = np.searchsorted(own, h)
+        middle = (q + 80)[:, None]
+        self.parts.append((one(doc), q, one(row), h, q - hi, q - lo, hot[at], one(len(self.texts) - 1), padded[middle - 1 - np.arange(80)], padded[middle + np.arange(104)]))
+        self.n += len(q)
+
+    def settled(self) -> Iterator[pa.RecordBatch]:
+        """kind 0: a repeated run a..b of a row; 1: a record that must meet others; 2: a hot string, its hash in data, its start in a."""
+        doc, q, row, key, lo, hi, hot, text, left, right = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((row, q, doc))
+        doc, q, row, key, lo, hi, hot, text, left, right = (x[order] for x in (doc, q, row, key, lo, hi, hot, text, left, right))
+        flags = repeated(key, _ranks(doc, q), lo, hi, left, right, np.ones((len(q), WIDTH), np.bool_))
+        r, a, b = _runs(flags, row, q)
+        yield _batch(0, len(r), row=r, a=a, b=b)
+        offsets = np.arange(WIDTH)
+        over = ~flags & (offsets >= lo[:, None]) & (offsets <= hi[:, None])
+        some = over.any(axis=1)
+        at = np.flatnonzero(some & ~hot)
+        data = [self.texts[t][x:y] for t, x, y in zip(text[at].tolist(), (q - hi)[at].tolist(), (q - lo + LENGTH)[at].tolist(), strict=True)]
+        bits = np.packbits(over[at], axis=1)
+        yield _batch(1, len(at), row=row[at], doc_id=doc[at], anchor=key[at], q=q[at], lo=lo[at], hi=hi[at], todo=[x.tobytes() for x in bits], data=data)
+        at, o = np.nonzero(over & (some & hot)[:, None])
+        start = q[at] - o
+        data = [xxhash.xxh3_128_digest(self.texts[t][x : x + LENGTH]) for t, x in zip(text[at].tolist(), start.tolist(), strict=True)]
+        yield _batch(2, len(at), row=row[at], doc_id=doc[at], data=data, a=start)
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a repeated run a..b of a row; 1: a record that must meet others; 2: a hot string, its hash in data, its start in a."""
+    """Rows (row, doc_id, text, keys, hot) as records of _Together, TOGETHER anchors at a time."""
+    some = _Together()
     for batch in batches:
-        found: list[tuple] = []
-        for row, doc, text, list_ in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text", "shared")), strict=True):
+        lists = [batch.column(c) for c in ("keys", "hot")]
+        (own, cut), (hots, hot_cut) = ((x.values.to_numpy(zero_copy_only=False), x.offsets.to_numpy()) for x in lists)
+        for i, (row, doc, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True)):
             data = text.encode("utf-8", "surrogatepass")
-            shared = {x["anchor"]: x["hot"] for x in list_}
-            own = np.array(sorted(shared), np.int64)
-            for h, q, lo, hi in anchors(data):
-                for i in np.flatnonzero(np.isin(h, own)).tolist():
-                    found.append((doc, int(q[i]), row, int(h[i]), int(q[i] - hi[i]), int(q[i] - lo[i]), data, shared[int(h[i])]))
-        out: list[tuple] = []
-        if found:
-            found.sort(key=lambda x: x[:3])
-            doc, q, key, lo, hi = (np.array([x[k] for x in found], np.int64) for k in (0, 1, 3, 4, 5))
-            left, right = _sides([(x[6], x[1], x[5], x[4]) for x in found])
-            every = np.ones((len(found), WIDTH), np.bool_)
-            flags = repeated(key, _ranks(doc, q), lo, hi, left, right, every)
-            offsets = np.arange(WIDTH)
-            left_over = ~flags & (offsets >= lo[:, None]) & (offsets <= hi[:, None])
-            some = left_over.any(axis=1)
-            for i, (doc_id, at, row, k, o_lo, o_hi, data, hot) in enumerate(found):
-                out += [(0, row, None, None, None, None, None, None, None, a, b) for a, b in _runs(flags[i], at)]
-                if some[i] and hot:
-                    out += [(2, row, doc_id, None, None, None, None, None, xxhash.xxh3_128_digest(data[at - o : at - o + LENGTH]), at - o, None) for o in np.flatnonzero(left_over[i]).tolist()]
-                elif some[i]:
-                    out.append((1, row, doc_id, k, at, o_lo, o_hi, np.packbits(left_over[i]).tobytes(), data[at - o_hi : at - o_lo + LENGTH], None, None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(_OUT), _OUT_KINDS, strict=True)], _OUT)
+            padded = np.concatenate((np.zeros(80, np.uint8), np.frombuffer(data, np.uint8), np.zeros(104, np.uint8)))
+            mine, hot = own[cut[i] : cut[i + 1]], hots[hot_cut[i] : hot_cut[i + 1]]
+            for found in anchors(data):
+                keep = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, found[0]), len(mine) - 1)] == found[0])
+                for k in range(0, len(keep), TOGETHER):
+                    some.add(row, doc, data, padded, mine, hot, *(x[keep[k : k + TOGETHER]] for x in found))
+                    if some.n >= TOGETHER:
+                        yield from some.settled()
+                        some = _Together()
+    if some.n:
+        yield from some.settled()
 
 
 def _meet(table: pa.Table) -> pa.Table:
     t = table.sort_by([("doc_id", "ascending"), ("q", "ascending"), ("row", "ascending")])
-    doc, q, key, lo, hi = (t.column(c).to_numpy() for c in ("doc_id", "q", "anchor", "lo", "hi"))
+    doc, q, key, lo, hi, row = (t.column(c).to_numpy() for c in ("doc_id", "q", "anchor", "lo", "hi", "row"))
     todo = np.unpackbits(np.frombuffer(b"".join(t.column("todo").to_pylist()), np.uint8).reshape(len(doc), -1), axis=1)[:, :WIDTH].astype(np.bool_)
     left, right = _sides([(d, int(m), int(m), int(n)) for d, m, n in zip(t.column("data").to_pylist(), hi, lo, strict=True)])
     flags = repeated(key, _ranks(doc, q), lo, hi, left, right, todo)
-    rows = t.column("row").to_pylist()
-    out = [(rows[i], a, b) for i in np.flatnonzero(flags.any(axis=1)).tolist() for a, b in _runs(flags[i], int(q[i]))]
-    return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], ["row", "a", "b"])
+    return pa.table(list(_runs(flags, row, q)), ["row", "a", "b"])
 
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
-    """(row, a, b): strings that start at a..b-1 of a row also start earlier. rows: (row, doc_id, text)."""
-    some = rows.where(F.octet_length("text") >= LENGTH).select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    # A row's own count first, then the corpus's; only anchors of two places or more come back.
-    pairs = by_batch(some.select("row", "text"), _pairs, "anchor long, row long")
-    many = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
-    shared = written(pairs.join(many, "anchor").groupBy("row").agg(F.collect_set(F.struct("anchor", "hot")).alias("shared")), "anchors")
-    settled = written(by_batch(some.dropDuplicates(["row"]).join(shared, "row").select("row", "doc_id", "text", "shared"), _settle, _OUT_SCHEMA, 4000), "settled")
-    drop_written(shared)
+    """(row, a, b): strings that start at a..b-1 of a row also start earlier. rows: (row, doc_id, text), a written table of distinct rows."""
+    some = rows.where(F.octet_length("text") >= LENGTH)
+    pairs = written(by_batch(some.select("row", "text"), _pairs, "anchor long, row long"), "anchors")
+    # Only anchors of two places or more come back.
+    many = written(pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    met = salted_join(pairs, many.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor", "row", sizes=many)
+    shared = met.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("shared"))
+    shared = shared.select("row", F.col("shared.anchor").alias("keys"), F.col("shared.hot").alias("hot"))
+    settled = written(by_batch(some.join(shared, "row").select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text", "keys", "hot"), _settle, _OUT_SCHEMA), "settled")
+    drop_written(pairs)
+    drop_written(many)
     records = settled.where("kind = 1")
     buckets = records.count() // BUCKET + 1
     met = records.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(_meet, "row long, a long, b long")
     hot = settled.where("kind = 2").select("row", "doc_id", "data", "a")
     first = hot.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"))
-    late = hot.join(first, "data").where(F.struct("doc_id", "a") > F.col("first")).select("row", "a", (F.col("a") + 1).alias("b"))
+    late = salted_join(hot, first, "data", "row").where(F.struct("doc_id", "a") > F.col("first")).select("row", "a", (F.col("a") + 1).alias("b"))
     return settled.where("kind = 0").select("row", "a", "b").unionAll(met).unionAll(late)
 
 
+_SPANS = "array<struct<start:long,end:long>>"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for doc, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
-            data, kept, end, spans = (text or "").encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, []
-            for a, b in sorted((x["a"], x["b"] + LENGTH - 1) for x in runs or ()):
+        for own, text, runs in zip(*(batch.column(c).to_pylist() for c in ("own", "text", "runs")), strict=True):
+            data, kept, end, spans = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, []
+            for a, b in sorted((x["a"], x["b"] + LENGTH - 1) for x in runs):
                 if spans and a <= spans[-1]["end"]:
                     spans[-1]["end"] = max(spans[-1]["end"], b)
                 else:
@@ -292,21 +336,40 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(data[end : s["start"]])
                 end = s["end"]
             kept.update(data[end:])
-            out.append((doc, len(data), sum(s["end"] - s["start"] for s in spans), len(spans), kept.hexdigest(), spans))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((own, kept.hexdigest(), spans))
+        kinds = [pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, kinds, strict=True)], ["own", "sha", "spans"])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans), a row for each input row; spans in bytes, end exclusive.
 
     Null texts are empty. Rows of one id are at one place: equal strings at equal starts don't remove each
-    other. Null ids come after all others, as one place. An empty table stays empty.
+    other, so of one text all rows of its first id are kept alike. Null ids come after all others, as one place.
+    An empty table stays empty; a text may be of any length, and is cut into pieces only to look for anchors.
     """
-    own = id_and_text(docs, id_col, text_col)
-    rows = own.select(F.xxhash64(F.coalesce("doc_id", F.lit(_LAST)), "text").alias("row"), "doc_id", "text")
-    runs = repeated_runs(rows).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return by_batch(rows.join(runs, "row", "left").select("doc_id", "text", "runs"), _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    own = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    place = F.coalesce("doc_id", F.lit(_LAST))
+    # Equal texts by 128-bit hash; sums of lengths would not tell them apart, an id alone neither.
+    hashed = own.select("doc_id", place.alias("place"), F.unhex(F.md5("text")).alias("own"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    hashed = written(hashed, "hashed")
+    first = written(hashed.groupBy("own").agg(F.min("place").alias("first")), "firsts")
+    whole = own.select(place.alias("place"), F.unhex(F.md5("text")).alias("own"), "doc_id", "text").where(F.octet_length("text") >= LENGTH)
+    texts = whole.join(first.select("own", F.col("first").alias("place")), ["own", "place"], "left_semi").dropDuplicates(["own"])
+    texts = written(texts.select(F.monotonically_increasing_id().alias("row"), "own", "doc_id", "text"), "texts")
+    runs = repeated_runs(texts.select("row", "doc_id", "text")).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    cut = written(by_batch(texts.join(runs, "row").select("own", "text", "runs"), _cut, f"own binary, sha string, spans {_SPANS}"), "cut")
+    drop_written(texts)
+    # Short rows only: every row with what became of its text.
+    seen = first.join(cut.withColumnRenamed("sha", "cut_sha"), "own", "left")
+    rows = salted_join(hashed, seen, "own", "doc_id")
+    copy = (F.col("place") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
+    every = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    spans = F.when(copy, every).otherwise(F.coalesce("spans", F.array().cast(_SPANS)))
+    rows = rows.withColumn("spans", spans)
+    sha = F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha.alias("kept_sha256"), "spans")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import salted_join, written
 
 WINDOW = 5
 MIN_WORDS = 10
 #: Repeated windows of a text that are looked up one by one; more are found by sorting.
 FEW = 32
 MAX_REPEAT_PERCENT = 20
-#: A host goes if its shrunk failure rate is above this.
+#: A host goes if its failure rate is, for SURE standard deviations, above this or above EXCESS times the corpus's.
 MAX_HOST_RATE = 0.5
+EXCESS = 3.0
+#: 95 percent, one-sided.
+SURE = 1.645
 #: Hosts with fewer documents say nothing about the prior's spread.
 MIN_HOST_DOCS = 5
-#: Copies of a host's verdict.
-SALTS = 16
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -90,21 +91,27 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(text, _SPACES), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+    own = "_w"
+    while own in docs.columns:
+        own += "_"
     out = docs.withColumns({
-        "_w": _let(words, _of_words),
+        own: _let(words, _of_words),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    out = out.withColumns({"n_words": F.col("_w")["n"], "word_chars": F.col("_w")["chars"], "n_repeat_words": F.col("_w")["repeats"]}).drop("_w")
+    out = out.withColumns({"n_words": F.col(own)["n"], "word_chars": F.col(own)["chars"], "n_repeat_words": F.col(own)["repeats"]}).drop(own)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(judged: DataFrame, host: str, failed: str = "base_failed", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(judged: DataFrame, host: str, failed: str = "base_failed", max_rate: float = MAX_HOST_RATE, excess: float = EXCESS) -> DataFrame:
     """(host, n, n_failed, rate, host_ok). rate = (n_failed + a) / (n + a + b); a and b by the moments of the hosts' own rates.
 
     The prior is a + b = m (1 - m) / v - 1 held to [1, 1000], where m is the share of failures over all
     documents and v the variance of the rates of hosts with MIN_HOST_DOCS or more. With no such variance
-    the hosts are alike: a + b = 1000. Null hosts are one host.
+    the hosts are alike: a + b = 1000. Null hosts are one host; without documents there is no host.
+
+    A host is bad if its rate less SURE standard deviations of its beta posterior is still above the least of max_rate
+    and excess times m: so few documents never make a bad host, and what is bad follows the corpus.
     """
     by = judged.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     big = F.col("n") >= MIN_HOST_DOCS
@@ -114,23 +121,27 @@ def host_verdicts(judged: DataFrame, host: str, failed: str = "base_failed", max
     )
     m = F.col("m")
     size = F.when(F.col("v") > 0, F.least(F.greatest(m * (1 - m) / F.col("v") - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(F.lit(1000.0))
-    rate = (F.col("n_failed") + m * F.col("s")) / (F.col("n") + F.col("s"))
     # One row of priors joins every host by a constant key: a fixed size of two numbers.
     both = by.withColumn("k", F.lit(1)).join(F.broadcast(prior.select(m, size.alias("s"), F.lit(1).alias("k"))), "k")
-    return both.select("host", "n", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_ok"))
+    rows = F.col("n") + F.col("s")
+    both = both.withColumn("rate", (F.col("n_failed") + m * F.col("s")) / rows)
+    surely = F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (rows + 1))
+    return both.select("host", "n", "n_failed", "rate", (surely <= F.least(F.lit(max_rate), excess * m)).alias("host_ok"))
+
 
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE, excess: float = EXCESS) -> DataFrame:
+    """A row for each row of docs: id, features, base_failed, host_rate and kept.
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """A row for each row of docs: id, features, base_failed, host_rate and kept. Repeated rows stay repeated."""
+    kept: the row does not fail itself, and its host is not bad. Repeated rows and null ids stay as they come, null
+    hosts are one host, null and empty texts fail; an empty table stays empty.
+    """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
     # Counted once: hosts and documents both read this table of numbers.
     judged = written(features(own).drop("text"), "judged")
-    # A host's documents meet its verdict in SALTS places, so that no host's documents are all in one task.
-    verdicts = host_verdicts(judged, "host", max_rate=max_rate).select("host", F.col("rate").alias("host_rate"), "host_ok", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("long")
-    return judged.withColumn("salt", salt).join(verdicts, ["host", "salt"], "left").select(
+    verdicts = host_verdicts(judged, "host", max_rate=max_rate, excess=excess).select("host", F.col("rate").alias("host_rate"), "host_ok")
+    return salted_join(judged.withColumn("by", F.xxhash64("doc_id", "n_words", "word_chars")), verdicts, "host", "by", judged).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"), "host", F.round("host_rate", 9).alias("host_rate"),
+        (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host", F.round("host_rate", 9).alias("host_rate"),
     )
 
 
@@ -160,8 +171,9 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT host, count(*) AS n, sum(base_failed::BIGINT)::BIGINT AS nf FROM b GROUP BY host),
 p AS (SELECT sum(nf) / sum(n) AS m, var_pop(CASE WHEN n >= 5 THEN nf / n END) AS v FROM h),
 s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM p),
-r AS (SELECT host, (nf + m * s) / (n + s) AS rate FROM h, s)
+r0 AS (SELECT host, m, n + s AS rows, (nf + m * s) / (n + s) AS rate FROM h, s),
+r AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (rows + 1)) <= least(0.5, 3 * m) AS host_ok FROM r0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate <= 0.5 AS kept, host, round(rate, 9) AS host_rate
+       NOT base_failed AND host_ok AS kept, host, round(rate, 9) AS host_rate
 FROM b JOIN r USING (host)
 """

@@ -44,17 +44,20 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and losing an executor loses nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+def drop_written(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more, and lets Spark's cleaner find the shuffles of finished steps."""
+    session = tables[0].sparkSession
+    jvm = session.sparkContext._jvm
+    conf = session._jsparkSession.sessionState().newHadoopConf()
+    for parent in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+    # The cleaner drops shuffle files whose plans the driver has collected; without this they pile up on disks.
+    jvm.System.gc()
 
 
 #: A key of more rows than this, or than a thousandth of all, is dealt over several tasks.

@@ -203,8 +203,7 @@ def _led(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead = written(by.groupBy("class_id").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a")), "lead")
     over = salted_join(rows, lead.select(F.col("class_id").alias("leader"), F.col("a").alias("over")), "leader", "class_id")
     shared = written(over.select("key", "class_id", F.col("over").alias("leader")), "shared")
-    for t in (sizes, held, rows):
-        drop_written(t)
+    drop_written(sizes, held, rows)
     return shared, lead
 
 
@@ -241,8 +240,7 @@ def _shown(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
     short = F.col("place") <= most(1)
     shown = placed.where(short | (~F.col("inside") & (F.col("place") <= most(-1))))
     out = written(shown.select("leader", "h", "class_id", "root", "inside", short.alias("short"), (F.col("size") - F.col("place")).alias("rest"), "need"), "shown")
-    for t in (stars, pairs, apart, each):
-        drop_written(t)
+    drop_written(stars, pairs, apart, each)
     return out
 
 
@@ -305,8 +303,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         open_rows = _open(open_rows, roots)
     shown = _shown(open_rows, texts)
     found(written(_met(shown, side, near), "pairs"))
-    for t in (texts, shared, lead, open_rows, shown):
-        drop_written(t)
+    drop_written(texts, shared, lead, open_rows, shown)
     return rows, links, roots
 
 

@@ -38,9 +38,9 @@ SHALLOW = 4
 #: Places of one anchor that may meet in a task.
 HOT = 4096
 #: Records of a bucket, about.
-BUCKET = 60_000
+BUCKET = 8_000
 #: Anchors that are settled together, at most.
-TOGETHER = 150_000
+TOGETHER = 300_000
 PIECE = 1 << 19
 _LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
@@ -308,8 +308,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     shared = met.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("shared"))
     shared = shared.select("row", F.col("shared.anchor").alias("keys"), F.col("shared.hot").alias("hot"))
     settled = written(by_batch(some.join(shared, "row").select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text", "keys", "hot"), _settle, _OUT_SCHEMA), "settled")
-    drop_written(pairs)
-    drop_written(many)
+    drop_written(pairs, many)
     records = settled.where("kind = 1")
     buckets = records.count() // BUCKET + 1
     met = records.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(_meet, "row long, a long, b long")
@@ -355,7 +354,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hashed = written(hashed, "hashed")
     first = written(hashed.groupBy("own").agg(F.min("place").alias("first")), "firsts")
     whole = own.select(place.alias("place"), F.unhex(F.md5("text")).alias("own"), "doc_id", "text").where(F.octet_length("text") >= LENGTH)
-    texts = whole.join(first.select("own", F.col("first").alias("place")), ["own", "place"], "left_semi").dropDuplicates(["own"])
+    # Both sides are dealt by (own, place), which then also serves to drop repeated rows.
+    texts = whole.join(first.select("own", F.col("first").alias("place")).hint("merge"), ["own", "place"], "left_semi").dropDuplicates(["own", "place"])
     texts = written(texts.select(F.monotonically_increasing_id().alias("row"), "own", "doc_id", "text"), "texts")
     runs = repeated_runs(texts.select("row", "doc_id", "text")).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     cut = written(by_batch(texts.join(runs, "row").select("own", "text", "runs"), _cut, f"own binary, sha string, spans {_SPANS}"), "cut")

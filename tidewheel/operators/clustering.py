@@ -15,7 +15,7 @@ _M32 = 0xFFFFFFFF
 
 
 def seed_of(dates: list[str], salt: int) -> int:
-    """A 32-bit multiply-xor hash of dates."""
+    """The 32-bit FNV hash of dates (exclusive or, then multiply), its offset mixed with a salt."""
     h = 2166136261 ^ (salt & _M32)
     for c in "".join(dates).encode():
         h = ((h ^ c) * 16777619) & _M32
@@ -23,7 +23,7 @@ def seed_of(dates: list[str], salt: int) -> int:
 
 
 class Uniforms:
-    """A 32-bit counter generator."""
+    """The public mulberry32 generator."""
 
     def __init__(self, seed: int):
         self.state = seed & _M32
@@ -36,26 +36,42 @@ class Uniforms:
         return ((t ^ (t >> 14)) & _M32) / 4294967296
 
 
+def _gaps(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return ((x[:, None] - centres) ** 2).sum(axis=2)
+
+
 def k_means(x: np.ndarray, k: int, u: Uniforms) -> tuple[np.ndarray, np.ndarray, float]:
-    """(labels, centres, sum of squares): seeded by squared distances; an empty cluster takes the farthest row."""
+    """(labels, centres, sum of squares). Seeds are drawn by squared distance.
+
+    A cluster that runs empty moves to the row farthest from all centres as they stand, and that row changes its
+    label at once. Rounds end when no label changes; labels are those of the last round.
+    """
+    if k == 1:
+        c = x.mean(axis=0, keepdims=True)
+        return np.zeros(len(x), np.int64), c, float(_gaps(x, c).sum())
     centres = [x[int(u() * len(x))]]
     while len(centres) < k:
-        d = ((x[:, None] - np.array(centres)) ** 2).sum(axis=2).min(axis=1)
+        d = _gaps(x, np.array(centres)).min(axis=1)
         left = u() * d.sum()
         at = np.flatnonzero(np.cumsum(d) >= left)
         centres.append(x[at[0]] if len(at) else x[-1])
     c, labels = np.array(centres), np.full(len(x), -1)
     for _ in range(ROUNDS):
-        d = ((x[:, None] - c) ** 2).sum(axis=2)
-        new = d.argmin(axis=1)
-        if (new == labels).all():
-            break
-        labels = new
+        near = _gaps(x, c).argmin(axis=1)
+        new = near.copy()
         for j in range(k):
-            own = x[labels == j]
-            c[j] = own.mean(axis=0) if len(own) else x[((x - c[labels]) ** 2).sum(axis=1).argmax()]
-    d = ((x[:, None] - c) ** 2).sum(axis=2)
-    return d.argmin(axis=1), c, float(d.min(axis=1).sum())
+            own = near == j
+            if own.any():
+                c[j] = x[own].mean(axis=0)
+            else:
+                far = int(_gaps(x, c).min(axis=1).argmax())
+                c[j], new[far] = x[far], j
+        same = (new == labels).all()
+        labels = new
+        if same:
+            break
+    return labels, c, float(((x - c[labels]) ** 2).sum())
 
 
 def best_of(x: np.ndarray, dates: list[str], k: int, salt: int = 0, restarts: int = RESTARTS) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -90,7 +106,7 @@ def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def stability(x: np.ndarray, dates: list[str], labels: np.ndarray, k: int) -> float:
-    """Median agreement of the labels with the nearest centres of refits on four fifths of the days."""
+    """Median agreement, over refits on four fifths of the days, of those days' labels with the refit's nearest centres."""
     u, scores = Uniforms(seed_of(dates, k * 65537)), []
     keep = max(4 * k, int(0.8 * len(x)))
     for trial in range(TRIALS):
@@ -101,26 +117,44 @@ def stability(x: np.ndarray, dates: list[str], labels: np.ndarray, k: int) -> fl
         rows = np.array(sorted(order[:keep]))
         got = best_of(x[rows], [dates[i] for i in rows], k, trial * 313, 5)
         if got:
-            scores.append(adjusted_rand(labels, ((x[:, None] - got[1]) ** 2).sum(axis=2).argmin(axis=1)))
+            scores.append(adjusted_rand(labels[rows], _gaps(x[rows], got[1]).argmin(axis=1)))
     return float(np.median(scores)) if scores else 0.0
 
 
-def propose(x: np.ndarray, dates: list[str]) -> tuple[np.ndarray, int, float]:
-    """(labels, selected k, stability): the largest accepted number of clusters."""
-    models = {1: best_of(x, dates, 1)}
-    chosen, sure = 1, 1.0
+def models_of(x: np.ndarray, dates: list[str]) -> tuple[np.ndarray, list[dict]]:
+    """Labels of the largest accepted number of clusters, and a row of figures for each number that was tried."""
+    fitted = {1: best_of(x, dates, 1)}
+    tried = [{"k": 1, "accepted": True, "silhouette": 0.0, "improvement": 0.0, "stability": 1.0, "sizes": [len(x)]}]
     for k in range(2, min(4, len(x) // 4) + 1):
-        models[k] = best_of(x, dates, k)
-        if models[k] is None or models.get(k - 1) is None:
-            continue
-        labels, _, sse = models[k]
-        least, gain, steady = ACCEPT[k]
-        if np.bincount(labels).min() < 4 or silhouette(x, labels) < least or 1 - sse / max(models[k - 1][2], 1e-12) < gain:
+        fitted[k] = best_of(x, dates, k)
+        if fitted[k] is None or fitted[k - 1] is None:
             continue
-        s = stability(x, dates, labels, k)
-        if s >= steady:
-            chosen, sure = k, s
-    return models[chosen][0], chosen, sure
+        labels, _, sse = fitted[k]
+        sizes = np.bincount(labels, minlength=k)
+        row = {"k": k, "silhouette": silhouette(x, labels), "improvement": (fitted[k - 1][2] - sse) / max(fitted[k - 1][2], 1e-6), "stability": stability(x, dates, labels, k), "sizes": sizes.tolist()}
+        floors = zip((row["silhouette"], row["improvement"], row["stability"]), ACCEPT[k], strict=True)
+        tried.append(row | {"accepted": bool(sizes.min() >= 4 and all(value >= floor for value, floor in floors))})
+    chosen = max(row["k"] for row in tried if row["accepted"])
+    return fitted[chosen][0], tried
+
+
+def propose(x: np.ndarray, dates: list[str]) -> tuple[np.ndarray, int, float]:
+    """(labels, selected k, stability) of the accepted model."""
+    labels, tried = models_of(x, dates)
+    own = max((row for row in tried if row["accepted"]), key=lambda row: row["k"])
+    return labels, own["k"], own["stability"]
+
+
+def diagnostics(featured: DataFrame) -> DataFrame:
+    """(person, window_end, k, accepted, silhouette, improvement, stability, sizes) for each number of clusters tried."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        _, tried = models_of(pdf[FEATURES].to_numpy(float), [str(d)[:10] for d in pdf["day"]])
+        return pd.DataFrame(tried).assign(person=pdf["person"].iloc[0], window_end=pdf["window_end"].iloc[0])
+
+    person = featured.schema["person"].dataType.simpleString()
+    return featured.groupBy(*KEY).applyInPandas(run, f"person {person}, window_end date, k int, accepted boolean, silhouette double, improvement double, stability double, sizes array<int>")
 
 
 def cluster(featured: DataFrame) -> DataFrame:

@@ -40,3 +40,20 @@ def replay_windows(published: DataFrame, members: DataFrame, ends: DataFrame) ->
     by_day = members.join(ends, KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("valid_days"), kind("core"), kind("boundary"), kind("unassigned"))
     by_pattern = published.join(ends, KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("candidates"), F.count_if("shown").alias("visible"))
     return by_day.join(by_pattern, KEY, "left").na.fill(0, ["candidates", "visible"]).withColumn("hidden", F.col("candidates") - F.col("visible"))
+
+
+SOURCES = ("calendar", "exercise", "food", "wellness", "signals")
+
+
+def replay_totals(replayed: DataFrame, shown: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row of counters over replayed windows, their shown patterns and what was observed of those.
+
+    replayed: rows of replay_windows(); observed: (person, window_end, cluster, source).
+    """
+    a = replayed.agg(
+        F.count("*").alias("windows"), F.countDistinct("person").alias("persons"), *(F.count_if(F.col("visible") == k).alias(f"visible_{k}") for k in range(5)),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valid_days", "core", "boundary", "unassigned")), F.count_if(F.col("boundary") > 0).alias("with_boundary"), F.count_if(F.col("unassigned") > 0).alias("with_unassigned"),
+    )
+    b = shown.agg(F.count("*").alias("snapshots"))
+    c = observed.agg(F.countDistinct(*KEY, "cluster").alias("explained"), F.count("*").alias("observations"), F.countDistinct("person").alias("explained_persons"), *(F.count_if(F.col("source") == s).alias(f"from_{s}") for s in SOURCES))
+    return a.crossJoin(b).crossJoin(c)  # three rows, one each

@@ -27,7 +27,7 @@ def heart_metrics(joined: DataFrame, min_samples: int = 120, min_coverage: float
         F.count("*").alias("n"), F.countDistinct(F.date_trunc("minute", "ts")).alias("seen"), F.max(minutes).alias("minutes"), F.avg((F.col("confidence") >= 2).cast("double")).alias("confident"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bpm)").alias("p50"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY bpm)").alias("p10"),
     )
-    coverage = clamp(F.col("seen") / F.col("minutes"))
+    coverage = clamp(F.col("seen") / F.greatest(F.lit(1), "minutes"))
     enough = (F.col("n") >= min_samples) & (coverage >= min_coverage)
     return g.select("person", "night", "n", coverage.alias("coverage"), "confident", F.when(enough, F.col("p50")).alias("median_bpm"), F.when(enough, F.col("p10")).alias("low_bpm"))
 
@@ -52,12 +52,20 @@ def settling(joined: DataFrame, horizon: int = 90, frame: int = 20) -> DataFrame
 
 
 def exercise_before(nights: DataFrame, exercise: DataFrame, hours: int = 18, recent_hours: int = 6) -> DataFrame:
-    """Range join: exercise that starts within 18 hours before a night, by day bucket; sums, flags and sorted kinds."""
-    spread = nights.withColumn("d", F.explode(F.sequence(F.date_sub(F.to_date("start_ts"), 1), F.to_date("start_ts"))))
-    own = exercise.select("person", F.col("start_ts").alias("x_start"), "minutes", "kind", F.to_date("start_ts").alias("d"))
+    """Range join: exercise that starts within so many hours before a night, by day bucket; sums, flags, hours from the last end, kinds.
+
+    exercise: (person, start_ts, minutes, kind), with end_ts and intensity_minutes where they are known.
+    """
+    back = -(-hours // 24)
+    spread = nights.withColumn("d", F.explode(F.sequence(F.date_sub(F.to_date("start_ts"), back), F.to_date("start_ts"))))
+    end = F.col("end_ts") if "end_ts" in exercise.columns else F.expr("start_ts + make_dt_interval(0, 0, 0, floor(minutes * 60))")
+    intense = F.col("intensity_minutes") if "intensity_minutes" in exercise.columns else F.lit(0.0)
+    own = exercise.select("person", F.col("start_ts").alias("x_start"), end.alias("x_end"), intense.alias("intense"), "minutes", "kind", F.to_date("start_ts").alias("d"))
     inside = (F.col("x_start") < F.col("start_ts")) & (F.col("x_start") >= F.expr(f"start_ts - interval {hours} hours"))
     met = spread.join(own, ["person", "d"]).where(inside)
-    end = F.timestamp_seconds(F.unix_timestamp(F.col("x_start").cast("timestamp")) + F.floor(F.col("minutes") * 60))
-    recent = end >= F.expr(f"cast(start_ts AS timestamp) - interval {recent_hours} hours")
-    g = met.groupBy("person", "night").agg(F.count("*").alias("n"), F.sum("minutes").alias("minutes"), F.sum(F.when(recent, F.col("minutes")).otherwise(0.0)).alias("recent_minutes"), F.concat_ws(",", F.sort_array(F.collect_set("kind"))).alias("kinds"))
+    recent = F.col("x_end") >= F.expr(f"start_ts - interval {recent_hours} hours")
+    g = met.groupBy("person", "night").agg(
+        F.count("*").alias("exercises"), F.sum("minutes").alias("minutes"), F.sum(F.when(recent, F.col("minutes")).otherwise(0.0)).alias("recent_minutes"), F.sum("intense").alias("intensity_minutes"),
+        F.round(F.timestamp_diff("MICROSECOND", F.max("x_end"), F.first("start_ts")) / 3.6e9, 2).alias("last_end_hours"), F.concat_ws(",", F.sort_array(F.collect_set("kind"))).alias("kinds"),
+    )
     return g.withColumns({"evening": F.col("recent_minutes") >= 15, "high_load": F.col("minutes") >= 60})

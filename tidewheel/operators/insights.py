@@ -70,3 +70,10 @@ def unfolded(associations: DataFrame, insights: DataFrame) -> DataFrame:
     """Published associations less those that an insight of with_calendar() already carries."""
     folded = insights.select(*PATTERN, F.col("calendar_id").alias("definition"))
     return associations.where("shown").join(folded, [*PATTERN, "definition"], "left_anti")
+
+
+def united(insights: DataFrame, associations: DataFrame) -> DataFrame:
+    """One relation of both: (pattern, id, source, support, comparison, strength, confidence)."""
+    first = insights.select(*PATTERN, F.concat(F.lit("signals_"), "scope").alias("id"), F.lit("signals").alias("source"), "support", F.col("comparison_days").alias("comparison"), "strength", "confidence")
+    rest = associations.select(*PATTERN, F.col("definition").alias("id"), "source", "support", "comparison", "strength", "confidence")
+    return first.unionByName(rest)

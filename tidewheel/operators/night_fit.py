@@ -14,12 +14,12 @@ SPREADS = {"bed": 0.55, "wake": 0.65, "duration": 0.7, "disruption": 4.0, "media
 STAGES = ("deep", "light", "rem")
 
 
-def references(windowed: DataFrame, members: DataFrame) -> DataFrame:
-    """Medians and half p15..p85 spreads of each measure over the core days of each pattern."""
+def references(days: DataFrame, members: DataFrame) -> DataFrame:
+    """p15, median and p85 of each measure over the core days of each pattern. days: one row a person and day."""
     core = members.where("membership = 'core'").select(*KEY, "day", "cluster")
     q = [F.percentile(m, F.array(F.lit(0.15), F.lit(0.5), F.lit(0.85))).alias(f"q_{m}") for m in SPREADS]
     stages = [F.percentile(s, 0.5).alias(f"s_{s}") for s in STAGES]
-    return windowed.join(core, [*KEY, "day"]).groupBy(*KEY, "cluster").agg(F.count("*").alias("cores"), *q, *stages)
+    return core.join(days, ["person", "day"]).groupBy(*KEY, "cluster").agg(F.count("*").alias("cores"), *q, *stages)
 
 
 def _close(m: str) -> Column:
@@ -68,18 +68,15 @@ def landscape(profiles: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select(*KEY, "day", "cluster", clamp(1 - (mean(F.col("gaps"), POINTS) * 0.78 + mean(changes, POINTS - 1) * 0.22)).alias("landscape"))
 
 
-def fits(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame | None = None) -> DataFrame:
-    """Each valid night against each pattern of the window that ended the day before: breakdown, raw and shrunk score.
+def fits(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame) -> DataFrame:
+    """Each valid night against each shown pattern of the window that ended the day before: breakdown, raw and shrunk score.
 
-    patterns: (person, window_end, cluster, confidence); landscape: (person, day, window_end, cluster, landscape)
-    where profiles are at hand. Dimensions without data carry no weight.
+    patterns: (person, window_end, cluster, confidence, emergence, rank, shown); landscape: rows of landscape().
+    Dimensions without data carry no weight.
     """
-    prior = patterns.select(*KEY, "cluster", "confidence").join(refs, [*KEY, "cluster"])
+    prior = patterns.where("shown").select(*KEY, "cluster", "confidence", "emergence", "rank").join(refs, [*KEY, "cluster"])
     rows = days.where("valid").withColumn("window_end", F.date_sub("day", 1)).join(prior, KEY)
-    if landscape is not None:
-        rows = rows.join(landscape, [*KEY, "day", "cluster"], "left")
-    else:
-        rows = rows.withColumn("landscape", F.lit(None).cast("double"))
+    rows = rows.join(landscape, [*KEY, "day", "cluster"], "left")
     rows = rows.withColumns({
         "timing": _mean(_close("bed"), _close("wake")), "duration_fit": _close("duration"),
         "composition": _mean(*(clamp(1 - F.abs(F.col(s) - F.col(f"s_{s}")) / 0.18) for s in STAGES)),
@@ -89,17 +86,53 @@ def fits(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataF
     got = sum((F.coalesce(F.col(d) * w, F.lit(0.0)) for d, w in WEIGHTS.items()), F.lit(0.0))
     raw = F.when(used > 0, got / used * 100).otherwise(0.0)
     trust = 0.45 * used + 0.55 * (0.65 * clamp(F.col("confidence") / 100) + 0.35 * clamp(F.col("cores") / 12))
-    return rows.select(*KEY, "day", "quality", "cluster", "confidence", *WEIGHTS, used.alias("coverage"), raw.alias("raw"), trust.alias("reliability"),
-                       half_up(clamp(50 + (raw - 50) * (0.78 + 0.22 * trust), 0.0, 100.0)).alias("score"))
+    score = half_up(clamp(50 + (raw - 50) * (0.78 + 0.22 * trust), 0.0, 100.0))
+    own = [*KEY, "day", "quality", "cluster", "confidence", "emergence", "rank", "cores", *WEIGHTS]
+    return rows.select(*own, used.alias("coverage"), raw.alias("raw"), trust.alias("reliability"), score.alias("score"))
+
+
+def ranked(fitted: DataFrame) -> DataFrame:
+    """fitted with place: by score, then emergence, then bed time."""
+    w = Window.partitionBy("person", "day").orderBy(F.desc("score"), F.desc("emergence"), "rank")
+    return fitted.withColumns({"place": F.row_number().over(w).cast("long"), "second": F.lead("score").over(w), "second_cluster": F.lead("cluster").over(w)})
 
 
 def best(fitted: DataFrame) -> DataFrame:
-    """The best pattern of each night, its margin over the second, and the state: matched, mixed or different."""
-    w = Window.partitionBy("person", "day").orderBy(F.desc("score"), "cluster")
-    top = fitted.withColumns({"r": F.row_number().over(w), "second": F.lead("score").over(w)}).where("r = 1")
+    """The best pattern of each night, its margin over the second, the state (matched, mixed or different) and the reason."""
+    top = ranked(fitted).where("place = 1")
     margin = F.when(F.col("second").isNull(), 100).otherwise(F.col("score") - F.col("second"))
     s = F.col("score")
-    state = F.when(s < 58, "different").when((F.coalesce("second", F.lit(0)) >= 58) & (margin < 6), "mixed").otherwise("matched")
+    mixed = (s >= 58) & (F.coalesce("second", F.lit(0)) >= 58) & (margin < 6)
+    state = F.when(s < 58, "different").when(mixed, "mixed").otherwise("matched")
     label = F.when(s >= 82, "strong").when(s >= 70, "clear").when(s >= 58, "partial").otherwise("weak")
     sure = half_up(0.6 * F.col("confidence") + 0.25 * half_up(100 * F.col("reliability")) + 15 * clamp(F.coalesce("quality", F.lit(0.8))))
-    return top.select("person", "day", "cluster", "score", margin.alias("margin"), state.alias("state"), label.alias("label"), sure.alias("sure"))
+    top = top.withColumns({"state": state, "margin": margin, "label": F.when(mixed, "between").otherwise(label), "sure": sure})
+    second = F.when(F.col("state") == "mixed", F.col("second_cluster")).alias("second_cluster")
+    return top.select("person", "day", "window_end", "cluster", second, "score", "margin", "state", "label", "sure", reason().alias("reason"), F.col("cores").alias("evidence"), half_up(100 * F.col("coverage")).alias("signal_coverage"))
+
+
+def reason() -> Column:
+    """Why the best pattern came out best: the strongest dimension of a night that differs, else which levels stayed close.
+
+    Of equal dimensions the first of WEIGHTS counts.
+    """
+    timing, land, body = (F.coalesce(x, F.lit(0.0)) for x in ("timing", "landscape", "physiology"))
+    each = F.array(*(F.when(F.col(d).isNotNull(), F.struct(F.col(d).alias("v"), F.lit(-i).alias("i"), F.lit(d).alias("d"))) for i, d in enumerate(WEIGHTS)))
+    strongest = F.coalesce(F.array_max(each)["d"], F.lit("few"))
+    familiar = F.when((timing >= 0.78) & (land >= 0.72), "timing_and_landscape").when((body >= 0.74) & (land < 0.68), "physiology").when(timing >= land, "timing").otherwise("landscape")
+    return F.when(F.col("state") == "different", F.concat(F.lit("closest_"), strongest)).when(F.col("state") == "mixed", "between").otherwise(familiar)
+
+
+def resonance(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame) -> DataFrame:
+    """A row for each day: unavailable (not valid, or no profile), learning (nothing to compare with) or the state of best().
+
+    days holds profile. past_nights counts the valid days before.
+    """
+    found = best(fits(days, patterns, refs, landscape))
+    past = F.coalesce(F.count_if("valid").over(Window.partitionBy("person").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = days.select("person", "day", (F.col("valid") & (F.coalesce(F.size("profile"), F.lit(0)) > 0)).alias("available"), past.alias("past_nights"))
+    rows = rows.join(found, ["person", "day"], "left")
+    has = F.col("available")
+    state = F.when(~has, "unavailable").when(F.col("state").isNull(), "learning").otherwise(F.col("state"))
+    rest = [F.when(has, F.col(c)).alias(c) for c in found.columns if c not in ("person", "day", "state", "window_end")]
+    return rows.select("person", "day", state.alias("state"), "past_nights", *rest)

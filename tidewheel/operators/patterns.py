@@ -48,13 +48,15 @@ def membership(labelled: DataFrame) -> DataFrame:
     return rows.withColumn("weight", weight).drop("q", "mad", "d2", "core_limit", "edge_limit")
 
 
-def emergence(members: DataFrame, counts: DataFrame, stability: float = 1.0) -> DataFrame:
+def emergence(members: DataFrame, counts: DataFrame) -> DataFrame:
     """Six dimensions, emergence, confidence and effective days of each cluster.
 
-    members: rows of membership(); counts: (person, window_end, available, valid_days, window_start). Statistics
+    members: rows of membership(), with the stability of each window's clustering where there is such a column (else 1,
+    as for one cluster); counts: (person, window_end, available, valid_days, window_start). Statistics
     of a cluster are window aggregates on its days; one aggregation makes its row; a window's rows see each other.
     """
     c = Window.partitionBy(*CLUSTER)
+    members = members if "stability" in members.columns else members.withColumn("stability", F.lit(1.0))
     span = counts.select(*KEY, "available", "valid_days", "window_start", F.greatest(F.lit(1), F.ceil(F.col("available") / 7)).alias("weeks"))
     rows = members.where("membership <> 'unassigned'").join(span, KEY).withColumn("w", F.col("quality") * F.col("weight"))
     rows = rows.withColumn("cores", F.count_if(F.col("membership") == "core").over(c)).withColumn("in_shape", (F.col("cores") < 2) | (F.col("membership") == "core"))
@@ -76,7 +78,7 @@ def emergence(members: DataFrame, counts: DataFrame, stability: float = 1.0) ->
         F.percentile("to_centre", F.array(F.lit(0.5), F.lit(0.8))).alias("q"), F.sum(F.when(F.col("week_top"), F.col("weight"))).alias("week_mass"),
         F.sum(F.when(late, F.col("weight")).otherwise(0.0)).alias("recent"), F.sum(F.when(late, 0.0).otherwise(F.col("weight"))).alias("prior"),
         F.array(*(mean_of("first", f) for f in FEATURES)).alias("early"), F.array(*(mean_of("last", f) for f in FEATURES)).alias("later"),
-        F.first("centre").alias("centre"), *(F.first(x).alias(x) for x in ("available", "valid_days", "weeks")),
+        F.first("centre").alias("centre"), *(F.first(x).alias(x) for x in ("available", "valid_days", "weeks", "stability")),
     )
     apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     everyone = F.collect_list(F.struct("cluster", "days", "centre")).over(Window.partitionBy(*KEY))
@@ -95,7 +97,7 @@ def emergence(members: DataFrame, counts: DataFrame, stability: float = 1.0) ->
     g = g.withColumn("recent_continuity", clamp(F.col("recent") / expected * (0.75 + 0.25 * F.col("compactness")), 0.05))
     parts = (("support", 0.2), ("recurrence", 0.2), ("compactness", 0.2), ("separation", 0.2), ("temporal_stability", 0.1), ("recent_continuity", 0.1))
     log = sum((w * F.log(F.greatest(F.col(x), F.lit(0.05))) for x, w in parts), F.lit(0.0))
-    sure = (0.46 + 0.38 * clamp(weeks / 6) + 0.16 * F.col("valid_days") / F.col("available")) * (0.7 + 0.3 * F.col("compactness")) * (0.72 + 0.28 * stability)
+    sure = (0.46 + 0.38 * clamp(weeks / 6) + 0.16 * F.col("valid_days") / F.col("available")) * (0.7 + 0.3 * F.col("compactness")) * (0.72 + 0.28 * F.col("stability"))
     return g.select(*CLUSTER, "days", "core_days", "shape_days", "n_eff", "median_bed", *(x for x, _ in parts), half_up(100 * F.exp(log)).alias("emergence"), half_up(100 * clamp(sure, 0.05)).alias("confidence"))
 
 

@@ -9,14 +9,50 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clustering import seed_of
+from .windows import KEY
 
-def series_of(days: DataFrame, metrics: list[str], min_n: int = 50) -> DataFrame:
-    """(series, day, y): valid days of each person and metric, for series of min_n values or more."""
-    long = days.where("valid").unpivot(["person", "day"], metrics, "metric", "y").where("y IS NOT NULL")
-    s = long.select(F.concat_ws("/", F.col("person").cast("string"), "metric").alias("series"), "day", F.col("y").cast("double").alias("y"))
+
+# The catalogue of series, by id, and the column of a day that each reads.
+CATALOGUE = {
+    "sleep_start": "bed", "wake_time": "wake", "sleep_duration": "duration", "deep_share": "deep", "rem_share": "rem", "wake_share": "awake", "sleep_median_hr": "median_bpm",
+    "sleep_low_hr": "low_bpm", "resting_hr": "resting_bpm", "hr_settling": "settling", "first90_disruption": "disruption",
+}
+
+
+def series_of(days: DataFrame, catalogue: dict[str, str] = CATALOGUE, min_n: int = 50) -> DataFrame:
+    """(series, day, y, n): valid days of each person and catalogue entry with a value, for series of min_n or more."""
+    named = days.where("valid").select("person", "day", *(F.col(c).cast("double").alias(k) for k, c in catalogue.items()))
+    long = named.unpivot(["person", "day"], list(catalogue), "feature", "y").where("y IS NOT NULL")
+    s = long.select(F.concat_ws("-", F.col("person").cast("string"), "feature").alias("series"), "day", "y")
     return s.withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= min_n)
 
 
+def core_series(members: DataFrame, published: DataFrame, ends: DataFrame, least_valid: int = 30, least_core: int = 5, least_rest: int = 8) -> DataFrame:
+    """(series, day, y, n, person, window_end, cluster, emergence): for each shown pattern of the given windows, 1 on its core days, else 0."""
+    valid = members.join(ends, KEY, "left_semi").select(*KEY, "day", F.col("cluster").alias("own"), "membership")
+    valid = valid.withColumn("n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("n") >= least_valid)
+    shown = published.where("shown").select(*KEY, "cluster", "core_days", "emergence")
+    rows = valid.join(shown, KEY).where((F.col("core_days") >= least_core) & (F.col("n") - F.col("core_days") >= least_rest))
+    y = ((F.col("own") == F.col("cluster")) & (F.col("membership") == "core")).cast("double")
+    series = F.concat_ws("-", *(F.col(c).cast("string") for c in (*KEY, "cluster")))
+    return rows.select(series.alias("series"), "day", y.alias("y"), "n", *KEY, "cluster", "core_days", "emergence")
+
+
+def with_periods(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
+    """Each row once for each period of which the series' span of days holds enough cycles."""
+    w = Window.partitionBy("series")
+    span = F.unix_date(F.max("day").over(w)) - F.unix_date(F.min("day").over(w)) + 1
+    periods = F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))
+    return series.withColumn("span", span).withColumn("period", periods).where(F.col("span") / F.col("period") >= cycles).drop("span")
+
+
+def with_halves(series: DataFrame) -> DataFrame:
+    """Rows with half: 1 for the first floor(n / 2) days of a series, else 2."""
+    at = F.row_number().over(Window.partitionBy("series").orderBy("day"))
+    return series.withColumn("half", F.when(at <= F.floor(F.col("n") / 2), 1).otherwise(2))
+
+
 def _within(x: Column, w: Window) -> Column:
     return x - F.avg(x).over(w)
 
@@ -32,40 +68,135 @@ def residuals(series: DataFrame, columns: list[str], keys: list[str]) -> DataFra
     return rows.withColumns({c: F.col(c) - F.col("t") * F.when(tt > 1e-12, F.sum(F.col("t") * F.col(c)).over(whole) / tt).otherwise(0.0) for c in columns})
 
 
-def scan(series: DataFrame, lo: int = 2, hi: int = 21, cycles: int = 4) -> DataFrame:
-    """(series, period, explained, amplitude, phase) for each period of which the series' length holds enough cycles."""
-    each = series.withColumn("period", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))).where(F.col("n") >= cycles * F.col("period"))
+def fit_periods(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, period, explained, sine, cosine) of rows (keys, period, day, y): a sine and a cosine fitted to the residuals."""
     angle = F.unix_date("day") * (2 * math.pi) / F.col("period")
-    r = residuals(each.withColumns({"s": F.sin(angle), "c": F.cos(angle)}), ["y", "s", "c"], ["series", "period"])
+    by = [*keys, "period"]
+    r = residuals(rows.withColumns({"s": F.sin(angle), "c": F.cos(angle)}), ["y", "s", "c"], by)
     m = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(a + b)
-    g = r.groupBy("series", "period").agg(m("s", "s"), m("c", "c"), m("s", "c"), m("s", "y"), m("c", "y"), m("y", "y"))
-    det = F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc")
-    det = F.when(F.abs(det) < 1e-9, 1e-9).otherwise(det)
-    bs, bc = (F.col("sy") * F.col("cc") - F.col("cy") * F.col("sc")) / det, (F.col("cy") * F.col("ss") - F.col("sy") * F.col("sc")) / det
-    g = g.withColumns({"bs": bs, "bc": bc})
-    explained = F.when(F.col("yy") > 1e-12, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("sy") * F.col("bs") + F.col("cy") * F.col("bc")) / F.col("yy")))).otherwise(0.0)
-    return g.select("series", "period", explained.alias("explained"), F.sqrt(F.col("bs") ** 2 + F.col("bc") ** 2).alias("amplitude"), F.atan2("bc", "bs").alias("phase"))
+    g = r.groupBy(*by).agg(m("s", "s"), m("c", "c"), m("s", "c"), m("s", "y"), m("c", "y"), m("y", "y"))
+    det = F.greatest(F.lit(1e-9), F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc"))
+    g = g.withColumns({"sine": (F.col("sy") * F.col("cc") - F.col("cy") * F.col("sc")) / det, "cosine": (F.col("cy") * F.col("ss") - F.col("sy") * F.col("sc")) / det})
+    explained = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sy") * F.col("sine") + F.col("cy") * F.col("cosine")) / F.greatest(F.lit(1e-9), F.col("yy")))
+    return g.select(*by, explained.alias("explained"), "sine", "cosine")
+
 
+def scan(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
+    """(series, period, explained, amplitude, phase) for each period of which the series holds enough cycles."""
+    g = fit_periods(with_periods(series, lo, hi, cycles), ["series"])
+    return g.select("series", "period", "explained", F.sqrt(F.col("sine") ** 2 + F.col("cosine") ** 2).alias("amplitude"), F.atan2("cosine", "sine").alias("phase"))
 
-def best_period(scanned: DataFrame) -> DataFrame:
+
+def best_period(scanned: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """The period that explains most of each series; the shorter of equals."""
-    w = Window.partitionBy("series").orderBy(F.desc("explained"), "period")
+    w = Window.partitionBy(*keys).orderBy(F.desc("explained"), "period")
     return scanned.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def discovery_control(tests: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg q of each test: the running minimum of p m / rank from the largest p down, by family."""
-    keys = family or []
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ranked = tests.withColumns({"rank": F.row_number().over(part.orderBy(p)), "m": F.count("*").over(part)})
-    falling = part.orderBy(F.col("rank")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m") / F.col("rank")).over(falling))).drop("rank", "m")
+def split(series: DataFrame, selected: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
+    """(series, first_explained, second_explained, first_best, second_best, agreement): both halves at the selected period and their own best ones.
+
+    selected: (series, period). agreement is the cosine between both halves' coefficients; 0 where one has none. Halves try the
+    periods of the whole series.
+    """
+    halves = fit_periods(with_periods(with_halves(series), lo, hi, cycles), ["series", "half"])
+    own = best_period(halves, ("series", "half")).select("series", "half", F.col("period").alias("best"))
+    at = halves.join(selected.select("series", "period"), ["series", "period"]).join(own, ["series", "half"])
+    pick = lambda c, h: F.max(F.when(F.col("half") == h, F.col(c)))
+    g = at.groupBy("series").agg(*(pick(c, h).alias(f"{c}{h}") for c in ("explained", "best", "sine", "cosine") for h in (1, 2)))
+    dot = F.col("sine1") * F.col("sine2") + F.col("cosine1") * F.col("cosine2")
+    size = F.sqrt((F.col("sine1") ** 2 + F.col("cosine1") ** 2) * (F.col("sine2") ** 2 + F.col("cosine2") ** 2))
+    return g.select("series", F.col("explained1").alias("first_explained"), F.col("explained2").alias("second_explained"), F.col("best1").alias("first_best"), F.col("best2").alias("second_best"),
+                    F.when(size > 1e-9, dot / size).otherwise(0.0).alias("agreement"))
+
 
+def publishable_features(tests: DataFrame) -> DataFrame:
+    """tests (series, period, explained, p, q, columns of split()) with split_stable and publishable."""
+    near = lambda c: F.abs(F.col(c) - F.col("period")) <= 1
+    stable = (F.col("first_explained") >= 0.04) & (F.col("second_explained") >= 0.04) & near("first_best") & near("second_best") & (F.col("agreement") > 0)
+    return tests.withColumn("split_stable", stable).withColumn("publishable", F.col("split_stable") & (F.col("q") <= 0.1) & (F.col("explained") >= 0.08))
 
-def permutation_p(series: DataFrame, lo: int = 2, hi: int = 21, cycles: int = 4, runs: int = 1000, block: int = 3, seed: int = 20240101) -> DataFrame:
-    """(series, n, period, explained, p): the greatest explained share over all periods against shuffles of blocks of 3 days.
 
-    One series is one group, which holds one person's days.
+def publishable_patterns(tests: DataFrame) -> DataFrame:
+    """tests (series, person, pattern_id, period, explained, p, q) with replicated and publishable.
+
+    replicated: another window of the person has the same pattern id at a period within one day, p at most 0.1.
+    """
+    other = tests.where("p <= 0.1").select("person", "pattern_id", F.col("series").alias("other"), F.explode(F.sequence(F.col("period") - 1, F.col("period") + 1)).alias("period"))
+    found = tests.join(other, ["person", "pattern_id", "period"]).where("other <> series").select("series").distinct().withColumn("replicated", F.lit(True))
+    rows = tests.join(found, "series", "left").withColumn("replicated", F.coalesce("replicated", F.lit(False)))
+    return rows.withColumn("publishable", (F.col("q") <= 0.1) & (F.col("explained") >= 0.1) & F.col("replicated"))
+
+
+def counters(tests: DataFrame) -> DataFrame:
+    """One row: tested, nominal (p <= 0.05), discovered (q <= 0.1), publishable series."""
+    return tests.agg(F.count("*").alias("tested"), F.count_if(F.col("p") <= 0.05).alias("nominal"), F.count_if(F.col("q") <= 0.1).alias("discovered"), F.count_if("publishable").alias("publishable"))
+
+
+def strongest(tests: DataFrame, n: int = 20) -> DataFrame:
+    """The n tests of least p; of equals, those that explain more."""
+    return tests.orderBy("p", F.desc("explained"), "series").limit(n)
+
+
+def moments(series: DataFrame) -> DataFrame:
+    """(series, mean, deviation): mean and population deviation."""
+    return series.groupBy("series").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("deviation"))
+
+
+def discovery_control(tests: DataFrame, p: str = "p", family: list[str] | None = None) -> DataFrame:
+    """Benjamini-Hochberg q of each test: the running minimum of p m / rank from the largest p down, by family.
+
+    Tests are sorted over range partitions by (family, p), so no family meets in one task. Ranks are a place inside a
+    partition plus the counts of the ones before; running minima are those of the partition's rest and of later ones. Both come from a
+    row a partition and family. Ties of p share what the last of them gets.
+    """
+    from ..scratch import kept
+
+    keys = family or []
+    fam = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
+    ordered = tests.withColumns({"_f": fam, "_p": F.col(p)}).repartitionByRange("_f", "_p")
+    rows = kept(ordered.withColumn("_part", F.spark_partition_id()), "tests")
+    sizes = rows.groupBy("_f", "_part").agg(F.count("*").alias("_n"))
+    by_part = Window.partitionBy("_f").orderBy("_part")
+    before = sizes.select("_f", "_part", (F.sum("_n").over(by_part) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_f")).alias("_m"))
+    inside = Window.partitionBy("_f", "_part").orderBy("_p")
+    ranked = rows.join(before, ["_f", "_part"]).withColumn("_x", F.col("_p") * F.col("_m") / (F.col("_before") + F.row_number().over(inside)))
+    rest = F.min("_x").over(Window.partitionBy("_f", "_part").orderBy(F.desc("_p")))  # a range frame, so ties share
+    least = ranked.groupBy("_f", "_part").agg(F.min("_x").alias("_least"))
+    later = least.select("_f", "_part", F.min("_least").over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    out = ranked.withColumn("_rest", rest).join(later, ["_f", "_part"])
+    return out.withColumn("q", F.least(F.lit(1.0), F.col("_rest"), F.coalesce("_later", F.lit(1.0)))).select(*tests.columns, "q")
+
+
+def _uniforms(seed: int, n: int) -> np.ndarray:
+    """The first n values of the public mulberry32 generator: its state only counts up, so they are made at once."""
+    with np.errstate(over="ignore"):
+        state = np.uint32(seed) + np.arange(1, n + 1, dtype=np.uint32) * np.uint32(0x6D2B79F5)
+        t = (state ^ (state >> np.uint32(15))) * (state | np.uint32(1))
+        t = t ^ (t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61)))
+    return (t ^ (t >> np.uint32(14))) / 4294967296.0
+
+
+def block_orders(n: int, block: int, runs: int, seed: int) -> np.ndarray:
+    """(runs, n) positions: blocks of neighbours shuffled by exchanges from the last one down, runs after one another in one stream."""
+    k = -(-n // block)
+    u = _uniforms(seed, runs * max(k - 1, 0)).reshape(runs, -1)
+    order = np.tile(np.arange(k), (runs, 1))
+    every = np.arange(runs)
+    for step, last in enumerate(range(k - 1, 0, -1)):
+        other = (u[:, step] * (last + 1)).astype(np.int64)
+        order[every, last], order[every, other] = order[every, other], order[every, last].copy()
+    places = np.full(k * block, -1)
+    places[:n] = np.arange(n)
+    flat = places.reshape(k, block)[order].reshape(runs, -1)
+    return flat[flat >= 0].reshape(runs, n)
+
+
+def permutation_p(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4, runs: int = 5000, block: int = 3) -> DataFrame:
+    """(series, n, period, explained, p, amplitude, standardized): the greatest explained share over all periods against
+    shuffles of the residuals in blocks of three.
+
+    One series is one group, which holds one person's days. Shuffles are seeded by the series' name.
     """
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -76,23 +207,28 @@ def permutation_p(series: DataFrame, lo: int = 2, hi: int = 21, cycles: int = 4,
         design = np.column_stack([np.ones(len(t)), (t - t.min()) / max(1.0, t.max() - t.min()), *((week == k).astype(float) for k in range(6))])
         hat = design @ np.linalg.pinv(design)
         out = lambda x: x - hat @ x
-        r = out(pdf["y"].to_numpy(float))
-        bases = []
-        periods = [k for k in range(lo, hi + 1) if len(t) >= cycles * k]
-        for k in periods:
-            q, s, _ = np.linalg.svd(out(np.column_stack([np.sin(2 * np.pi * t / k), np.cos(2 * np.pi * t / k)])), full_matrices=False)
-            bases.append(q * (s > 1e-6))
+        y = pdf["y"].to_numpy(float)
+        r = out(y)
         name, n = pdf["series"].iloc[0], len(pdf)
-        total = float(r @ r)
-        if not periods or total <= 1e-12:
-            return pd.DataFrame({"series": [name], "n": [n], "period": [0], "explained": [0.0], "p": [1.0]})
-        b = np.hstack(bases)
-        explained = lambda y: ((b.T @ y) ** 2).reshape(len(periods), 2, -1).sum(axis=1) / total
-        seen = explained(r[:, None])[:, 0]
-        rng = np.random.default_rng([seed, sum(map(ord, name))])
-        blocks = [np.arange(a, min(a + block, n)) for a in range(0, n, block)]
-        orders = np.stack([np.concatenate([blocks[i] for i in rng.permutation(len(blocks))]) for _ in range(runs)])
-        beaten = int((explained(r[orders].T).max(axis=0) >= seen.max() - 1e-12).sum())
-        return pd.DataFrame({"series": [name], "n": [n], "period": [periods[int(seen.argmax())]], "explained": [float(seen.max())], "p": [(beaten + 1) / (runs + 1)]})
-
-    return series.groupBy("series").applyInPandas(test, "series string, n long, period int, explained double, p double")
+        total = max(1e-9, float(r @ r))
+        periods = [k for k in range(lo, hi + 1) if (t.max() - t.min() + 1) / k >= cycles]
+        if not periods:
+            return pd.DataFrame({"series": [name], "n": [n], "period": [None], "explained": [0.0], "p": [1.0], "amplitude": [0.0], "standardized": [0.0]})
+        s = np.stack([out(np.sin(2 * np.pi * t / k)) for k in periods])
+        c = np.stack([out(np.cos(2 * np.pi * t / k)) for k in periods])
+        ss, cc, sc = (s * s).sum(axis=1), (c * c).sum(axis=1), (s * c).sum(axis=1)
+        det = np.maximum(1e-9, ss * cc - sc * sc)
+
+        def explained(rows: np.ndarray) -> np.ndarray:
+            sy, cy = rows @ s.T, rows @ c.T
+            return np.clip((sy * (sy * cc - cy * sc) + cy * (cy * ss - sy * sc)) / det / total, 0, 1)
+
+        seen = explained(r[None])[0]
+        at = int(seen.argmax())
+        null = explained(r[block_orders(n, block, runs, seed_of([name], 0))]).max(axis=1)
+        beaten = int((null >= seen[at] - 1e-12).sum())
+        sy, cy = s[at] @ r, c[at] @ r
+        size = float(np.hypot(sy * cc[at] - cy * sc[at], cy * ss[at] - sy * sc[at]) / det[at])
+        return pd.DataFrame({"series": [name], "n": [n], "period": [periods[at]], "explained": [float(seen[at])], "p": [(beaten + 1) / (runs + 1)], "amplitude": [size], "standardized": [size / max(1e-9, float(y.std()))]})
+
+    return series.groupBy("series").applyInPandas(test, "series string, n long, period long, explained double, p double, amplitude double, standardized double")

@@ -1,7 +1,7 @@
 """Registered queries of the rhythm operators and their SQL."""
 
-from . import context, queries
+from . import context, cycles, nights, queries
 from .queries import FLAGSHIP  # noqa: F401
 
-QUERIES = {**queries.QUERIES, **context.QUERIES}
-ORACLES = {**queries.ORACLES, **context.ORACLES}
+QUERIES = {**queries.QUERIES, **context.QUERIES, **nights.QUERIES, **cycles.QUERIES}
+ORACLES = {**queries.ORACLES, **context.ORACLES, **nights.ORACLES, **cycles.ORACLES}

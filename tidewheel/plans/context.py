@@ -5,36 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history, insights, night_fit
-from ..operators.windows import KEY
-from ..sources import adapters
+from ..operators import history, insights, windows
 from .oracle import sql, upto
-from .queries import _members, _patterns, _rounded, _rounds, _windowed
+from .queries import _patterns, _rounded, _rounds, _shared
 
 _NUMBERS = ["share", "contrast", "confidence", "strength"]
 _COUNTS = "pattern_days, comparison_days, support, comparison_support, settling_difference, disruption_difference"
 
 
 def ctx3_insights(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(insights.signals(_windowed(spark, d), _members(spark, d)), _NUMBERS)
+    days, members = _shared(spark, d)
+    return _rounded(insights.signals(windows.window_days(days), members), _NUMBERS)
 
 
 def his1_history(spark: SparkSession, d: str) -> DataFrame:
-    found = history.history(_patterns(spark, d), history.anchors(adapters.days(spark, d)))
+    days, members = _shared(spark, d)
+    found = history.history(_patterns(spark, d, days, members), history.anchors(days))
     return found.select("person", "selected_end", "k", "window_end", "period_start", "cluster", "rank", "status", "emergence")
 
 
 def rpl1_windows(spark: SparkSession, d: str) -> DataFrame:
-    return history.replay_windows(_patterns(spark, d), _members(spark, d), history.replay_ends(adapters.days(spark, d)))
-
-
-#: Stand-in profiles of 29 depths, from the day's number.
-PROFILE = "transform(sequence(0, 28), i -> ((unix_date(day) * 7 + i * i * (1 + person)) % 31) / 10e0)"
-
-
-def res1_landscape(spark: SparkSession, d: str) -> DataFrame:
-    profiles = adapters.days(spark, d).where("valid").select("person", "day", F.expr(PROFILE).alias("profile"))
-    return _rounded(night_fit.landscape(profiles, _members(spark, d)).select(*KEY, "day", "cluster", "landscape"), ["landscape"], 7)
+    days, members = _shared(spark, d)
+    return history.replay_windows(_patterns(spark, d, days, members), members, history.replay_ends(days))
 
 
 _SIGNALS = """
@@ -59,19 +51,10 @@ re AS (SELECT person, day AS window_end FROM nu WHERE (pos >= 42 AND (pos - 42)
 wm AS (SELECT person, window_end, count(*) AS valid_days, count_if(membership = 'core')::BIGINT AS core, count_if(membership = 'boundary')::BIGINT AS boundary, count_if(membership = 'unassigned')::BIGINT AS unassigned FROM me JOIN re USING (person, window_end) GROUP BY ALL),
 wp AS (SELECT person, window_end, count(*) AS candidates, count_if(shown)::BIGINT AS visible FROM pb JOIN re USING (person, window_end) GROUP BY ALL)"""
 
-_LEVEL = "((((day - DATE '1970-01-01') * 7 + {k} * {k} * (1 + person)) % 31) / 10.0)::DOUBLE"
-_SHAPES = f"""
-pts AS (SELECT i, floor(i * 28 / 35)::BIGINT AS lo, least(28, floor(i * 28 / 35)::BIGINT + 1) AS hi, i * 28 / 35 - floor(i * 28 / 35) AS mix FROM (SELECT unnest(range(0, 36)) AS i)),
-rp AS (SELECT person, day, i, {_LEVEL.format(k='lo')} + ({_LEVEL.format(k='hi')} - {_LEVEL.format(k='lo')}) * mix AS v FROM days, pts WHERE valid),
-rm AS (SELECT me.person, me.window_end, me.cluster, i, median(v) AS m FROM me JOIN rp ON me.person = rp.person AND me.day = rp.day WHERE membership = 'core' GROUP BY ALL),
-gp2 AS (SELECT rp.person, rm.window_end, rp.day, rm.cluster, rp.i, v - m AS g FROM rp JOIN rm ON rp.person = rm.person AND rp.day - 1 = rm.window_end AND rp.i = rm.i),
-gl AS (SELECT *, g - lag(g) OVER (PARTITION BY person, window_end, day, cluster ORDER BY i) AS c FROM gp2)"""
-
-QUERIES = {f.__name__: f for f in (ctx3_insights, his1_history, rpl1_windows, res1_landscape)}
+QUERIES = {f.__name__: f for f in (ctx3_insights, his1_history, rpl1_windows)}
 ORACLES = {
     "ctx3_insights": sql(f"SELECT person, window_end, cluster, scope, {_COUNTS}, shown, chosen, {_rounds(_NUMBERS)} FROM ins", *upto("members"), _SIGNALS),
     "his1_history": sql("""SELECT person, selected_end, k, window_end, greatest(first_day, window_end - 41) AS period_start, cluster, rank, status, emergence
         FROM (SELECT d.person, d.day AS selected_end, k::BIGINT AS k, (d.day - 42 * k::INT) AS window_end, first_day FROM days d JOIN (SELECT person, min(day) AS first_day FROM days GROUP BY person) f ON d.person = f.person, (SELECT unnest([1, 2, 3]) AS k)) a JOIN pb USING (person, window_end) WHERE shown AND window_end >= first_day""", *upto("published")),
     "rpl1_windows": sql("SELECT person, window_end, valid_days, core, boundary, unassigned, coalesce(candidates, 0) AS candidates, coalesce(visible, 0) AS visible, coalesce(candidates, 0) - coalesce(visible, 0) AS hidden FROM wm LEFT JOIN wp USING (person, window_end)", *upto("published"), _REPLAY),
-    "res1_landscape": sql("SELECT person, window_end, day, cluster, round(least(1, greatest(0, 1 - (avg(abs(g) / 3) * 0.78 + avg(abs(c) / 3) * 0.22))), 7) AS landscape FROM gl GROUP BY ALL", *upto("members"), _SHAPES),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from ..operators.windows import CLOCK, FEATURES, METRICS
 from ..sources import adapters
 
-DAYS = f"days AS ({adapters.DAYS.format(events='events', calendar=adapters.OTHER_CALENDAR)})"
+_NAMES = {n: n for n in ("events", "orders", "customer", "nation")}
+DAYS = f"days AS ({adapters.DAYS.format(**_NAMES, calendar=adapters.OTHER_CALENDAR, ordinal=adapters.OTHER_ORDINAL)})"
 
 WINDOWED = """ends AS (SELECT person, day AS window_end FROM days),
 wd AS (SELECT d.*, e.window_end FROM days d JOIN ends e ON d.person = e.person AND d.day <= e.window_end AND d.day > e.window_end - 42)"""

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..operators import associations, clustering, ingest, night_fit, patterns, periodicity, windows
+from ..operators import associations, clustering, ingest, patterns, periodicity, sleep_days, windows
 from ..operators.windows import FEATURES, KEY
 from ..sources import adapters
+from ..scratch import kept
 from .oracle import sql, upto
 
 FLAGSHIP = "emg1_patterns"
-_METRICS = ["bed", "wake", "duration", "quality", "deep", "median_bpm"]
+_MEASURES = ["bed", "wake", "duration", "in_bed", "nap_hours", "quality", "deep", "light", "rem", "awake", "median_bpm", "low_bpm", "resting_bpm", "minutes"]
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
@@ -31,12 +32,20 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     return patterns.membership(patterns.rule_labels(windows.features(_windowed(spark, d))))
 
 
-def _patterns(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.published(patterns.emergence(_members(spark, d), patterns.window_counts(adapters.days(spark, d))))
+def _patterns(spark: SparkSession, d: str, days: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    days = adapters.days(spark, d) if days is None else days
+    members = _members(spark, d) if members is None else members
+    return patterns.published(patterns.emergence(members, patterns.window_counts(days)))
+
+
+def _shared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(days, members) as tables, for queries whose plans read them more than once."""
+    days = kept(adapters.days(spark, d), "days")
+    return days, kept(patterns.membership(patterns.rule_labels(windows.features(windows.window_days(days)))), "members")
 
 
 def src_days(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(adapters.days(spark, d), ["bed", "wake", "duration", "quality", "deep", "light", "rem", "median_bpm", "low_bpm", "resting_bpm"])
+    return _rounded(adapters.days(spark, d), _MEASURES)
 
 
 def win1_rolling_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +53,7 @@ def win1_rolling_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg13_scales(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(windows.scales(_windowed(spark, d)), [f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")])
+    return _rounded(windows.scales(_windowed(spark, d)), [f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")], 12)
 
 
 def agg14_extra_sleep(spark: SparkSession, d: str) -> DataFrame:
@@ -73,49 +82,36 @@ def agg29_windows_by_shown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ctx1_associations(spark: SparkSession, d: str) -> DataFrame:
-    found = associations.associations(_windowed(spark, d), _members(spark, d))
+    days, members = _shared(spark, d)
+    found = associations.associations(windows.window_days(days), members)
     return _rounded(found, ["log_odds", "strength", "coverage", "confidence"])
 
 
 def srt3_top_associations(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    found = associations.associations(_windowed(spark, d), _members(spark, d)).where("shown")
+    days, members = _shared(spark, d)
+    found = associations.associations(windows.window_days(days), members).where("shown")
     w = Window.partitionBy(*KEY, "cluster").orderBy(F.desc(F.round(F.col("confidence") * F.col("strength"), 9)), "definition")
     return found.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select(*KEY, "cluster", "definition", "place")
 
 
-def res4_fits(spark: SparkSession, d: str) -> DataFrame:
-    w, m = _windowed(spark, d), _members(spark, d)
-    got = night_fit.fits(adapters.days(spark, d), _patterns(spark, d), night_fit.references(w, m))
-    return _rounded(got.drop("landscape", "quality"), ["timing", "duration_fit", "composition", "physiology", "early_night", "coverage", "raw", "reliability"])
-
-
-def res5_best(spark: SparkSession, d: str) -> DataFrame:
-    w, m = _windowed(spark, d), _members(spark, d)
-    return night_fit.best(night_fit.fits(adapters.days(spark, d), _patterns(spark, d), night_fit.references(w, m)))
-
-
-def per3_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(periodicity.scan(periodicity.series_of(adapters.days(spark, d), _METRICS, 15), 2, 7, 3), ["explained"], 5).drop("amplitude", "phase")
-
-
 def win10_discovery_control(spark: SparkSession, d: str) -> DataFrame:
     """Benjamini-Hochberg over the share of orders' prices above each customer's nation mean, as stand-in p values."""
     o = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_custkey").agg((F.count_if(F.col("o_totalprice") > 150000) / (F.count("*") + 1.0)).alias("p"))
     return _rounded(periodicity.discovery_control(o.withColumn("family", F.col("o_custkey") % 7), "p", ["family"]), ["p", "q"])
 
 
-def per4_permutation(spark: SparkSession, d: str) -> DataFrame:
-    return periodicity.permutation_p(periodicity.series_of(adapters.days(spark, d), _METRICS, 15), 2, 7, 3, 300)
-
-
 def clu1_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clustering.cluster(windows.features(_windowed(spark, d))).select(*KEY, "day", "cluster", "selected_k", F.round("stability", 9).alias("stability"))
 
 
+def clu6_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.diagnostics(windows.features(_windowed(spark, d)))
+
+
 def wnd1_clustered_patterns(spark: SparkSession, d: str) -> DataFrame:
-    labelled = clustering.cluster(windows.features(_windowed(spark, d))).drop("selected_k", "stability")
+    labelled = clustering.cluster(windows.features(_windowed(spark, d))).drop("selected_k")
     return patterns.published(patterns.emergence(patterns.membership(labelled), patterns.window_counts(adapters.days(spark, d)))).select(*KEY, "cluster", "rank", "status", "emergence", "confidence", "shown")
 
 
@@ -140,7 +136,31 @@ def agg7_settling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def join2_exercise(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(ingest.exercise_before(_nights(spark, d), adapters.exercise(spark, d)), ["minutes", "recent_minutes"])
+    return _rounded(ingest.exercise_before(_nights(spark, d), adapters.exercise(spark, d)), ["minutes", "recent_minutes", "intensity_minutes"])
+
+
+def _staged(spark: SparkSession, d: str) -> DataFrame:
+    own = sleep_days.timelines(adapters.segments(spark, d)).withColumn("start", sleep_days.seconds(F.col("night").cast("timestamp_ntz")))
+    return own.withColumn("end", F.col("start") + 8 * 3600)
+
+
+def join17_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Depth at 29 instants of nights whose stages are events."""
+    rows = _staged(spark, d).select("person", "night", F.posexplode(sleep_days.profile(F.col("data"), F.col("short"), F.col("start"), F.col("end"))).alias("i", "depth"))
+    return rows.withColumn("i", F.col("i").cast("long"))
+
+
+def agg8_first_minutes(spark: SparkSession, d: str) -> DataFrame:
+    return _staged(spark, d).select("person", "night", sleep_days.first_minutes(F.col("data"), F.col("short"), F.col("start")).alias("x")).select("person", "night", "x.*")
+
+
+def prj3_night_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Evening, end after start, stage shares and extended hours, each event being a short sleep that ends up to a day off."""
+    start = F.col("ts")
+    end = sleep_days.end_after(start, F.expr("ts + make_dt_interval(0, cast(event_id % 7 AS int) - 3)"))
+    e = spark.read.parquet(f"{d}/events.parquet")
+    shares = sleep_days.mix({"deep": (F.col("event_id") % 3).cast("double"), "light": (F.col("event_id") % 4).cast("double"), "rem": (F.col("event_id") % 6).cast("double"), "wake": F.lit(None).cast("double")})
+    return e.select("event_id", sleep_days.context_date(start).alias("context_date"), F.round(fn.extended_hour(end), 4).alias("wake_hour"), sleep_days.seconds(end).alias("end_second"), *(v.alias(k) for k, v in shares.items()), sleep_days.depth_of(F.col("event_type")).alias("depth"))
 
 
 def fn_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -188,46 +208,15 @@ cf AS (SELECT *, least(1, greatest(0, coverage * (1 - exp(-support / 4)) * (1 -
 ac AS (SELECT *, support >= 2 AND comparison >= 3 AND log_odds > 0 AND strength >= 0.15 AND confidence >= 0.25 AS shown FROM cf)"""
 
 
-def _close(m: str, floor: float) -> str:
-    return f"exp(-0.5 * (abs(dd.{m} - {m}_50) / greatest({floor}, ({m}_85 - {m}_15) / 2)) ** 2)"
-
-
-_SP = night_fit.SPREADS
-_REFS = "rf AS (SELECT wd.person, wd.window_end, core.cluster, count(*) AS cores, " + ", ".join(f"quantile_cont({m}, {q / 100}) AS {m}_{q}" for m in _SP for q in (15, 50, 85)) + ", " + ", ".join(f"median({s}) AS s_{s}" for s in night_fit.STAGES) + " FROM wd JOIN (SELECT person, window_end, cluster, day FROM me WHERE membership = 'core') core ON wd.person = core.person AND wd.window_end = core.window_end AND wd.day = core.day GROUP BY ALL)"
-
-
-def _avg(*xs: str) -> str:
-    return f"list_avg([{', '.join(xs)}])"
-
-
-_COMP = _avg(*(f"least(1, greatest(0, 1 - abs(dd.{s} - s_{s}) / 0.18))" for s in night_fit.STAGES))
-_FITS = f"""f0 AS (SELECT dd.person, dd.day - 1 AS window_end, dd.day, dd.quality, rf.cluster, pb.confidence, cores, {_avg(_close('bed', _SP['bed']), _close('wake', _SP['wake']))} AS timing, {_close('duration', _SP['duration'])} AS duration_fit,
-  {_COMP} AS composition, {_avg(*(_close(m, _SP[m]) for m in ('median_bpm', 'low_bpm', 'resting_bpm', 'settling')))} AS physiology, {_close('disruption', _SP['disruption'])} AS early_night
-  FROM days dd JOIN rf ON dd.person = rf.person AND dd.day - 1 = rf.window_end JOIN pb ON rf.person = pb.person AND rf.window_end = pb.window_end AND rf.cluster = pb.cluster WHERE dd.valid),
-f1 AS (SELECT *, (CASE WHEN timing IS NULL THEN 0 ELSE 0.28 END + CASE WHEN duration_fit IS NULL THEN 0 ELSE 0.12 END + CASE WHEN composition IS NULL THEN 0 ELSE 0.12 END + CASE WHEN physiology IS NULL THEN 0 ELSE 0.16 END + CASE WHEN early_night IS NULL THEN 0 ELSE 0.07 END)::DOUBLE AS coverage,
-  coalesce(timing * 0.28, 0) + coalesce(duration_fit * 0.12, 0) + coalesce(composition * 0.12, 0) + coalesce(physiology * 0.16, 0) + coalesce(early_night * 0.07, 0) AS got FROM f0),
-f2 AS (SELECT *, got / coverage * 100 AS raw, 0.45 * coverage + 0.55 * (0.65 * confidence / 100 + 0.35 * least(1, cores / 12)) AS reliability FROM f1),
-fits AS (SELECT *, floor(least(100, greatest(0, 50 + (raw - 50) * (0.78 + 0.22 * reliability))) + 0.5)::BIGINT AS score FROM f2)"""
-
-_SERIES = "long AS (" + " UNION ALL ".join(f"SELECT concat(person, '/{m}') AS series, day, {m}::DOUBLE AS y FROM days WHERE valid AND {m} IS NOT NULL" for m in _METRICS) + "), se AS (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM long QUALIFY count(*) OVER (PARTITION BY series) >= 15)"
-_SCAN = f"""{_SERIES},
-e0 AS (SELECT series, day, n, y, period, dayofweek(day) AS wk, (day - DATE '1970-01-01')::DOUBLE AS o, sin((day - DATE '1970-01-01') * 2 * pi() / period) AS s, cos((day - DATE '1970-01-01') * 2 * pi() / period) AS c FROM se, (SELECT unnest(range(2, 8)) AS period) WHERE n >= 3 * period),
-e1 AS (SELECT *, (o - min(o) OVER (PARTITION BY series, period)) / greatest(1, max(o) OVER (PARTITION BY series, period) - min(o) OVER (PARTITION BY series, period)) AS t FROM e0),
-e2 AS (SELECT series, period, y - avg(y) OVER w AS y, s - avg(s) OVER w AS s, c - avg(c) OVER w AS c, t - avg(t) OVER w AS t FROM e1 WINDOW w AS (PARTITION BY series, period, wk)),
-e3 AS (SELECT series, period, sum(t * t) AS tt, sum(t * y) AS ty, sum(t * s) AS ts, sum(t * c) AS tc FROM e2 GROUP BY ALL),
-e4 AS (SELECT series, period, y - t * (CASE WHEN tt > 1e-12 THEN ty / tt ELSE 0 END) AS y, s - t * (CASE WHEN tt > 1e-12 THEN ts / tt ELSE 0 END) AS s, c - t * (CASE WHEN tt > 1e-12 THEN tc / tt ELSE 0 END) AS c FROM e2 JOIN e3 USING (series, period)),
-e5 AS (SELECT series, period, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(s * y) AS sy, sum(c * y) AS cy, sum(y * y) AS yy FROM e4 GROUP BY ALL),
-e6 AS (SELECT *, CASE WHEN abs(ss * cc - sc * sc) < 1e-9 THEN 1e-9 ELSE ss * cc - sc * sc END AS det FROM e5)"""
-
 QUERIES = {f.__name__: f for f in (
     src_days, win1_rolling_counts, agg13_scales, agg14_extra_sleep, prj7_features, mem1_membership, emg1_patterns, flt5_published, agg29_windows_by_shown, ctx1_associations, srt3_top_associations,
-    res4_fits, res5_best, per3_scan, win10_discovery_control, per4_permutation, clu1_clusters, wnd1_clustered_patterns, join1_samples_in_nights, agg4_heart_metrics, agg7_settling, join2_exercise, fn_labels, fn20_text_seed,
+    win10_discovery_control, clu1_clusters, clu6_diagnostics, wnd1_clustered_patterns, join1_samples_in_nights, agg4_heart_metrics, agg7_settling, join2_exercise, join17_profile, agg8_first_minutes, prj3_night_dates, fn_labels, fn20_text_seed,
 )}
 
 ORACLES = {
-    "src_days": sql("SELECT * EXCLUDE (bed, wake, duration, quality, deep, light, rem, median_bpm, low_bpm, resting_bpm), " + _rounds(["bed", "wake", "duration", "quality", "deep", "light", "rem", "median_bpm", "low_bpm", "resting_bpm"]) + " FROM days", *upto("days")),
+    "src_days": sql("SELECT * EXCLUDE (" + ", ".join(_MEASURES) + "), " + _rounds(_MEASURES) + " FROM days", *upto("days")),
     "win1_rolling_counts": sql("SELECT person, day AS window_end, count(*) OVER w AS available, (count_if(valid) OVER w)::BIGINT AS valid_days FROM days WINDOW w AS (PARTITION BY person ORDER BY day RANGE BETWEEN INTERVAL 41 DAYS PRECEDING AND CURRENT ROW)", *upto("days")),
-    "agg13_scales": sql("SELECT person, window_end, valid_days, " + _rounds([f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")]) + " FROM sc", *upto("scales")),
+    "agg13_scales": sql("SELECT person, window_end, valid_days, " + _rounds([f"{m}_{x}" for m, _, _ in windows.METRICS for x in ("center", "scale")], 12) + " FROM sc", *upto("scales")),
     "agg14_extra_sleep": sql("SELECT person, window_end, naps, round(nap_share, 9) AS nap_share, nap_weeks, nap_eligible, nap_defining FROM ex", *upto("extra")),
     "prj7_features": sql("SELECT person, window_end, day, " + _rounds(FEATURES) + " FROM ft", *upto("featured")),
     "mem1_membership": sql("SELECT person, window_end, day, cluster, membership, " + _rounds(["d", "clarity", "weight"]) + " FROM me", *upto("members")),
@@ -236,20 +225,26 @@ ORACLES = {
     "agg29_windows_by_shown": sql("SELECT shown, count(*) AS windows FROM (SELECT person, window_end, count_if(shown)::BIGINT AS shown FROM pb GROUP BY ALL) GROUP BY shown", *upto("published")),
     "ctx1_associations": sql("SELECT person, window_end, cluster, core_days, definition, source, a, b, c, d, support, comparison, shown, " + _rounds(["log_odds", "strength", "coverage", "confidence"]) + " FROM ac", *upto("members"), _ASSOC),
     "srt3_top_associations": sql("SELECT person, window_end, cluster, definition, place FROM (SELECT *, row_number() OVER (PARTITION BY person, window_end, cluster ORDER BY round(confidence * strength, 9) DESC, definition) AS place FROM ac WHERE shown) WHERE place <= 3", *upto("members"), _ASSOC),
-    "res4_fits": sql("SELECT person, window_end, day, cluster, confidence, score, " + _rounds(["timing", "duration_fit", "composition", "physiology", "early_night", "coverage", "raw", "reliability"]) + " FROM fits", *upto("published"), _REFS, _FITS),
-    "res5_best": sql("""SELECT person, day, cluster, score, margin, CASE WHEN score < 58 THEN 'different' WHEN coalesce(second, 0) >= 58 AND margin < 6 THEN 'mixed' ELSE 'matched' END AS state,
-        CASE WHEN score >= 82 THEN 'strong' WHEN score >= 70 THEN 'clear' WHEN score >= 58 THEN 'partial' ELSE 'weak' END AS label,
-        floor(0.6 * confidence + 0.25 * floor(100 * reliability + 0.5) + 15 * coalesce(quality, 0.8) + 0.5)::BIGINT AS sure
-        FROM (SELECT *, coalesce(score - second, 100) AS margin FROM (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM fits WINDOW w AS (PARTITION BY person, day ORDER BY score DESC, cluster)) WHERE r = 1)""", *upto("published"), _REFS, _FITS),
-    "per3_scan": sql("SELECT series, period, round(CASE WHEN yy > 1e-12 THEN least(1.0, greatest(0.0, (sy * (sy * cc - cy * sc) / det + cy * (cy * ss - sy * sc) / det) / yy)) ELSE 0 END, 5) AS explained FROM e6", *upto("days"), _SCAN),
     "win10_discovery_control": "WITH o AS (SELECT o_custkey, count_if(o_totalprice > 150000) / (count(*) + 1.0) AS p FROM orders GROUP BY 1), r AS (SELECT *, o_custkey % 7 AS family, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY p) AS k, count(*) OVER (PARTITION BY o_custkey % 7) AS m FROM o) SELECT o_custkey, family, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r",
     "join1_samples_in_nights": sql("SELECT person, event_id, night, bpm FROM jn", _N, _S, _J),
     "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 9) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 9) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _S, _J),
     "agg7_settling": sql("""SELECT person, night, round(observed / 90, 9) AS first_coverage, (CASE WHEN observed / 90 >= 0.6 THEN m END)::DOUBLE AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 9) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 9) END AS high_share
         FROM (SELECT person, night, any_value(baseline) AS baseline, any_value(observed) AS observed, coalesce(min(CASE WHEN minute <= 70 AND seen >= 12 AND calm >= 0.8 * seen THEN minute END), 90) AS m, median(CASE WHEN minute < 15 THEN bpm END) AS opening, avg(CASE WHEN bpm IS NOT NULL THEN CASE WHEN bpm > baseline + 3 THEN 1.0 ELSE 0.0 END END) AS high FROM fr GROUP BY person, night)""", _N, _S, _J,
         "mi AS (SELECT person, night, floor(epoch(ts - start_ts) / 60)::BIGINT AS minute, median(bpm) AS bpm FROM jn GROUP BY ALL), ba AS (SELECT person, night, quantile_cont(bpm, 0.25) AS baseline, count_if(minute < 90) AS observed FROM mi GROUP BY ALL), sn AS (SELECT ba.*, unnest(range(0, 90)) AS minute FROM ba), sj AS (SELECT sn.*, mi.bpm FROM sn LEFT JOIN mi ON sn.person = mi.person AND sn.night = mi.night AND sn.minute = mi.minute), fr AS (SELECT *, count(bpm) OVER w AS seen, count_if(bpm <= baseline + 3) OVER w AS calm FROM sj WINDOW w AS (PARTITION BY person, night ORDER BY minute ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"),
-    "join2_exercise": sql("""SELECT person, night, count(*) AS n, round(sum(minutes), 9) AS minutes, round(sum(CASE WHEN recent THEN minutes ELSE 0 END), 9) AS recent_minutes, 'click' AS kinds, sum(CASE WHEN recent THEN minutes ELSE 0 END) >= 15 AS evening, sum(minutes) >= 60 AS high_load
-        FROM (SELECT n.person, n.night, x.minutes, epoch(x.start_ts)::BIGINT + floor(x.minutes * 60) >= epoch(n.start_ts) - 21600 AS recent FROM nights n JOIN x ON n.person = x.person AND x.start_ts < n.start_ts AND x.start_ts >= n.start_ts - INTERVAL 18 HOURS) GROUP BY person, night""", _N, f"x AS ({adapters.EXERCISE.format(events='events')})"),
+    "join2_exercise": sql("""SELECT person, night, count(*) AS exercises, round(sum(minutes), 9) AS minutes, round(sum(CASE WHEN recent THEN minutes ELSE 0 END), 9) AS recent_minutes, 0.0::DOUBLE AS intensity_minutes, round((epoch_us(any_value(start_ts)) - epoch_us(max(x_end))) / 3.6e9, 2) AS last_end_hours, 'click' AS kinds, sum(CASE WHEN recent THEN minutes ELSE 0 END) >= 15 AS evening, sum(minutes) >= 60 AS high_load
+        FROM (SELECT n.person, n.night, n.start_ts, x.minutes, x.start_ts + to_seconds(floor(x.minutes * 60)::BIGINT) AS x_end, x.start_ts + to_seconds(floor(x.minutes * 60)::BIGINT) >= n.start_ts - INTERVAL 6 HOURS AS recent FROM nights n JOIN x ON n.person = x.person AND x.start_ts < n.start_ts AND x.start_ts >= n.start_ts - INTERVAL 18 HOURS) GROUP BY person, night""", _N, f"x AS ({adapters.EXERCISE.format(events='events')})"),
+    "join17_profile": f"""WITH sg AS ({adapters.SEGMENTS.format(events='events')}), ni AS (SELECT DISTINCT person, night FROM sg), pt AS (SELECT *, i, night + to_seconds(28800 * i / 28) AS t FROM ni, (SELECT unnest(range(0, 29)) AS i)),
+        hit AS (SELECT pt.person, pt.night, i, arg_min(level, (NOT short, seg_start, event_id)) AS level FROM pt JOIN sg ON pt.person = sg.person AND pt.night = sg.night AND date_trunc('second', seg_start) <= t AND t < date_trunc('second', seg_start) + to_seconds(seconds) GROUP BY ALL)
+        SELECT pt.person, pt.night, i, CASE level WHEN 'deep' THEN 3.0 WHEN 'light' THEN 2.0 WHEN 'rem' THEN 1.0 WHEN 'wake' THEN 0.0 WHEN 'other' THEN 1.5 ELSE CASE WHEN i IN (0, 28) THEN 0.0 ELSE 2.0 END END::DOUBLE AS depth FROM pt LEFT JOIN hit USING (person, night, i)""",
+    "agg8_first_minutes": f"""WITH sg AS (SELECT *, date_trunc('second', seg_start) AS s FROM ({adapters.SEGMENTS.format(events='events')})), ni AS (SELECT DISTINCT person, night FROM sg), mi AS (SELECT *, night + to_seconds(60 * m + 30) AS t FROM ni, (SELECT unnest(range(0, 90)) AS m)),
+        hit AS (SELECT mi.person, mi.night, m, arg_min(level, (seg_start, event_id)) AS level FROM mi JOIN sg ON mi.person = sg.person AND mi.night = sg.night AND NOT short AND s <= t AND t < s + to_seconds(seconds) GROUP BY ALL),
+        al AS (SELECT mi.person, mi.night, m, level, lag(level) OVER (PARTITION BY mi.person, mi.night ORDER BY m) AS before FROM mi LEFT JOIN hit USING (person, night, m)),
+        br AS (SELECT person, night, count_if(short AND s >= night AND s < night + INTERVAL 90 MINUTES)::BIGINT AS brief FROM sg GROUP BY ALL),
+        co AS (SELECT person, night, count(level) AS seen, count_if(level <> before)::BIGINT AS changes, count_if(level = 'wake')::BIGINT AS awake FROM al GROUP BY ALL)
+        SELECT person, night, CASE WHEN seen >= 60 THEN changes END AS transitions, CASE WHEN seen >= 60 THEN awake END AS wake_minutes, CASE WHEN seen >= 60 THEN brief END AS brief_wakes, CASE WHEN seen >= 60 THEN changes + brief END AS disruption, round(seen / 90, 3) AS stage_coverage FROM co JOIN br USING (person, night)""",
+    "prj3_night_dates": """SELECT event_id, CASE WHEN hour(ts) < 12 THEN ts::DATE - 1 ELSE ts::DATE END AS context_date, round(CASE WHEN h < 18 THEN h + 24 ELSE h END, 4) AS wake_hour, floor(epoch(e))::BIGINT AS end_second,
+        round(d / coalesce(nullif(d + l + r, 0), 1), 4) AS deep, round(l / coalesce(nullif(d + l + r, 0), 1), 4) AS light, round(r / coalesce(nullif(d + l + r, 0), 1), 4) AS rem, 0.0::DOUBLE AS wake, 1.5::DOUBLE AS depth
+        FROM (SELECT *, hour(e) + minute(e) / 60 + second(e) / 3600 AS h, event_id % 3 AS d, event_id % 4 AS l, event_id % 6 AS r FROM (SELECT *, CASE WHEN x <= ts THEN x + INTERVAL 1 DAY ELSE x END AS e FROM (SELECT *, ts + to_hours(event_id % 7 - 3) AS x FROM events)))""",
     "fn_labels": """SELECT event_id, concat(CASE WHEN (floor(t / 60) % 12) = 0 THEN 12 ELSE (floor(t / 60) % 12)::INT END, ':', lpad((t % 60)::INT::VARCHAR, 2, '0'), CASE WHEN floor(t / 60) < 12 THEN ' AM' ELSE ' PM' END) AS clock,
         concat(floor(r / 60)::INT, 'h ', lpad((r % 60)::INT::VARCHAR, 2, '0'), 'm') AS length, date_trunc('week', ts)::DATE AS monday, dayofweek(ts) IN (0, 6) AS rest_day,
         round(CASE WHEN h < 18 THEN h + 24 ELSE h END, 9) AS extended_hour, floor(-value / 7 + 0.5)::BIGINT AS half_up, (event_id % 100) * (event_id % 100 - 1) / 2 AS pairs, strftime(ts, '%b %-d') AS short_date

@@ -20,6 +20,20 @@ HEART = "dateTime string, value struct<bpm: int, confidence: int>"
 EXERCISE = "startTime string, duration string, activityLevel array<struct<minutes: double, name: string>>, calories double, steps double, activityName string"
 
 
+_STAGES = "array<struct<dateTime: string, level: string, seconds: double>>"
+_SUMMARY = ", ".join(f"{k}: struct<minutes: double>" for k in ("deep", "light", "rem", "wake"))
+SLEEP = (
+    "logId string, dateOfSleep string, startTime string, endTime string, mainSleep boolean, type string, minutesAsleep double, timeInBed double, efficiency double, "
+    f"levels struct<data: {_STAGES}, shortData: {_STAGES}, summary: struct<{_SUMMARY}>>"
+)
+
+
+ENVELOPE_DAY = (
+    "id: string, date: string, valid: boolean, bed: double, wake: double, duration: double, timeInBed: double, nap: boolean, napStart: double, napDuration: double, "
+    "stages: struct<deep: double, light: double, rem: double, wake: double>, profile: array<double>, quality: double"
+)
+
+
 def _person() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"/(p\d+)/", 1).alias("person")
 
@@ -42,16 +56,27 @@ def read_json(spark: SparkSession, root: str, below: str, schema: str) -> DataFr
     return found.select(_person(), F.monotonically_increasing_id().alias("ord"), *found.columns)
 
 
+#: Columns of a CSV file, at most.
+WIDEST = 64
+
+
 def read_csv(spark: SparkSession, root: str, below: str, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns as text, null where a file has none of that name, with person and ord."""
+    """The named columns as text, null where a file has none of that name, with person and ord.
+
+    Each file's own first row names its columns, so files may order them differently; a byte-order mark is no part of a name.
+    """
+    names = [f"c{i}" for i in range(WIDEST)]
     try:
-        found = spark.read.csv(f"{root}/p*/{below}", header=True, multiLine=True)
+        found = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(f"{root}/p*/{below}", header=False, multiLine=True, enforceSchema=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "person string, ord long, " + ", ".join(f"{c} string" for c in columns))
-    own = {c.lstrip("﻿"): c for c in found.columns}
-    return found.select(_person(), F.monotonically_increasing_id().alias("ord"), *(F.col(f"`{own[c]}`").alias(c) if c in own else F.lit(None).cast("string").alias(c) for c in columns))
+    rows = found.select(_person(), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), F.array(*names).alias("cells"))
+    clean = lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))
+    heads = rows.groupBy("file").agg(F.min("ord").alias("top"), F.transform(F.min_by("cells", "ord"), clean).alias("head"))
+    own = rows.join(heads, "file").where("ord > top")
+    return own.select("person", "ord", *(F.get("cells", F.array_position("head", F.lit(c)).cast("int") - 1).alias(c) for c in columns))
 
 
 def _last(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -65,6 +90,20 @@ def persons(rows: DataFrame) -> DataFrame:
     return rows.select("person").distinct().withColumn("number", F.regexp_extract("person", r"(\d+)", 1).cast("int"))
 
 
+def read_envelope(spark: SparkSession, path: str) -> DataFrame:
+    """Day rows of an exported envelope: participants, each with its days. Missing members are null."""
+    whole = spark.read.schema(f"schemaVersion string, participants array<struct<id: string, label: string, coverage: double, days: array<struct<{ENVELOPE_DAY}>>>>").json(path, multiLine=True)
+    people = whole.select("schemaVersion", F.explode("participants").alias("p"))
+    rows = people.select("schemaVersion", F.col("p.id").alias("person"), F.explode("p.days").alias("d")).select("schemaVersion", "person", "d.*")
+    return rows.withColumn("day", F.to_date("date")).withColumn("valid", F.coalesce("valid", F.lit(False)))
+
+
+def write_envelope(days: DataFrame, validation: DataFrame, path: str) -> None:
+    """Day rows as JSON, a folder a person, and one JSON file of validation figures beside them."""
+    write_days(days, f"{path}/participants", "json")
+    validation.coalesce(1).write.mode("overwrite").json(f"{path}/validation")
+
+
 def resting(spark: SparkSession, root: str, below: str = "fitbit/resting_heart_rate.json") -> DataFrame:
     """(person, day, resting_bpm): values from 30 to 120, two digits."""
     rows = read_json(spark, root, below, RESTING).select("person", "ord", moment(F.col("dateTime")).cast("date").alias("day"), F.col("value.value").try_cast("double").alias("x"))
@@ -72,8 +111,45 @@ def resting(spark: SparkSession, root: str, below: str = "fitbit/resting_heart_r
 
 
 def heart(spark: SparkSession, root: str, below: str = "fitbit/heart_rate.json") -> DataFrame:
-    """(person, event_id, ts, bpm, confidence), as the interval join takes them."""
-    return read_json(spark, root, below, HEART).select("person", F.col("ord").alias("event_id"), moment(F.col("dateTime")).alias("ts"), "value.bpm", "value.confidence").where("ts IS NOT NULL AND bpm IS NOT NULL")
+    """(person, event_id, ts, bpm, confidence), as the interval join takes them.
+
+    Files are long arrays of flat objects with keys in one order, so they are cut at closing braces and read by pieces,
+    several tasks a file; what does not look like a sample goes.
+    """
+    try:
+        text = spark.read.text(f"{root}/p*/{below}", lineSep="}").select(_person(), F.monotonically_increasing_id().alias("event_id"), "value")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "person string, event_id long, value string")
+    part = lambda pattern: F.nullif(F.regexp_extract("value", pattern, 1), F.lit(""))
+    rows = text.select("person", "event_id", moment(part(r'"dateTime"\s*:\s*"([^"]*)"')).alias("ts"), part(r'"bpm"\s*:\s*(\d+)').try_cast("int").alias("bpm"), part(r'"confidence"\s*:\s*(\d+)').try_cast("int").alias("confidence"))
+    return rows.where("ts IS NOT NULL AND bpm IS NOT NULL")
+
+
+def sleep(spark: SparkSession, root: str, below: str = "fitbit/sleep.json") -> DataFrame:
+    """Sleep records as they are, with person and ord."""
+    return read_json(spark, root, below, SLEEP)
+
+
+def folders(spark: SparkSession, root: str) -> DataFrame:
+    """(person, number) of all folders p1, p2, ... that hold a file, in the order of their numbers."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/p*").select(F.col("path"))
+    own = files.select(F.regexp_extract("path", r"/(p\d+)/", 1).alias("person")).where("person <> ''")
+    return persons(own).orderBy("number")
+
+
+def day_rows(spark: SparkSession, root: str) -> DataFrame:
+    """From files to day rows: nights, naps, exercise, food, wellness and heart rate joined on one dense calendar."""
+    from ..operators import ingest, sleep_days
+    from ..scratch import kept
+
+    records = sleep(spark, root)
+    nights = kept(sleep_days.main_nights(records), "nights")
+    inside = kept(ingest.samples_in_nights(heart(spark, root), nights.select("person", "night", "start_ts", "end_ts")), "samples")
+    calendar = sleep_days.spine(records, folders(spark, root))
+    trained = ingest.exercise_before(nights, exercise(spark, root))
+    return sleep_days.assembled(calendar, nights, sleep_days.naps(records), trained, food(spark, root), wellness(spark, root), resting(spark, root), ingest.heart_metrics(inside), ingest.settling(inside))
 
 
 def food(spark: SparkSession, root: str, below: str = "googledocs/reporting.csv") -> DataFrame:

@@ -56,8 +56,12 @@ def drop_written(*tables: DataFrame) -> None:
     for parent in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
-    # The cleaner drops shuffle files whose plans the driver has collected; without this they pile up on disks.
-    jvm.System.gc()
+    let_go(session)
+
+
+def let_go(session: SparkSession) -> None:
+    """Has the driver collect plans of finished steps: Spark's cleaner then deletes their shuffle files, which pile up on disks otherwise."""
+    session.sparkContext._jvm.System.gc()
 
 
 #: A key of more rows than this, or than a thousandth of all, is dealt over several tasks.

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, drop_written, id_and_text, mixed, salted_join, written
+from .common import by_batch, drop_written, id_and_text, let_go, mixed, salted_join, written
 
 LENGTH = 100
 K = 24
@@ -39,6 +40,8 @@ SHALLOW = 4
 HOT = 4096
 #: Records of a bucket, about.
 BUCKET = 8_000
+#: Parts of the buckets that meet one after another, so that only a part of the records is shuffled at a time.
+ROUNDS = 4
 #: Anchors that are settled together, at most.
 TOGETHER = 300_000
 PIECE = 1 << 19
@@ -301,9 +304,11 @@ def _meet(table: pa.Table) -> pa.Table:
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(row, a, b): strings that start at a..b-1 of a row also start earlier. rows: (row, doc_id, text), a written table of distinct rows."""
     some = rows.where(F.octet_length("text") >= LENGTH)
+    let_go(rows.sparkSession)
     pairs = written(by_batch(some.select("row", "text"), _pairs, "anchor long, row long"), "anchors")
     # Only anchors of two places or more come back.
     many = written(pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "many")
+    let_go(rows.sparkSession)
     met = salted_join(pairs, many.select("anchor", (F.col("n") > HOT).alias("hot")), "anchor", "row", sizes=many)
     shared = met.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("anchor", "hot"))).alias("shared"))
     shared = shared.select("row", F.col("shared.anchor").alias("keys"), F.col("shared.hot").alias("hot"))
@@ -311,7 +316,13 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     drop_written(pairs, many)
     records = settled.where("kind = 1")
     buckets = records.count() // BUCKET + 1
-    met = records.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(_meet, "row long, a long, b long")
+    placed = records.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    met = []
+    for part in range(ROUNDS):
+        own = placed.where(F.col("bucket") % ROUNDS == part).groupBy("bucket").applyInArrow(_meet, "row long, a long, b long")
+        met.append(written(own, "met"))
+        let_go(rows.sparkSession)
+    met = reduce(DataFrame.unionAll, met)
     hot = settled.where("kind = 2").select("row", "doc_id", "data", "a")
     first = hot.groupBy("data").agg(F.min(F.struct("doc_id", "a")).alias("first"))
     late = salted_join(hot, first, "data", "row").where(F.struct("doc_id", "a") > F.col("first")).select("row", "a", (F.col("a") + 1).alias("b"))

@@ -1,7 +1,9 @@
 """Secret scans: rule matches, plus character Markov models of random strings against ordinary identifiers.
 
-Two first-order character models are trained from labelled samples, one on random strings and one on
-identifiers. A run of key characters whose mean log-likelihood ratio is high is reported as ``markov``.
+Two first-order character models are trained from labelled samples, one on random strings and one on what is
+written on purpose: identifiers, paths, long words, numbers, ruled lines. A run of key characters of MIN_RUN or more,
+or what base spans leave of one, is reported as ``markov`` if its mean log-likelihood ratio reaches a threshold that falls with its
+length. Nothing but the ratio decides.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Same leftmost runs as HEX and ACCESS with their lengths checked after, but found without a match for each letter.
 HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 ACCESS_RUN = re.compile(r"AKIA[A-Z0-9]{%d,}" % (MIN_ACCESS - 4))
-KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MIN_RUN = 16
+KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-#: Mean log ratio for each character (natural logarithm) above which a run is random.
-MIN_RATIO = 0.45
-#: Key runs hold at least so many digits and so many letters: long words of prose hold none.
-MIN_DIGITS, MIN_LETTERS = 3, 3
+#: A run of n characters is random from a mean log ratio (natural logarithm, a character) of MIN_RATIO + MORE / n on.
+MIN_RATIO, MORE = 0.45, 8.0
 
 _PARTS = (
     "account action address admin alert analysis array asset author backup balance batch binary bucket buffer build button cache "
@@ -43,24 +44,49 @@ _PARTS = (
     "license list loader local location logger manager market master memory message method metric model module monitor name network "
     "node number object offset option order output package page panel parser partition path pattern payload people pipeline"
 ).split()
+_WORDS = (
+    "and the that with from have this will your which their about would there could other after first never where right think "
+    "being under might while every through between because against without something understanding development information "
+    "und nicht eine sich auch werden haben einer durch gegen zwischen menschen schlecht freundlichkeit geschichte verbindung "
+    "gesellschaft entwicklung moeglichkeit wissenschaft "
+    "les des une dans pour avec sur plus tout comme mais leur bien sans peut entre toujours quelque maintenant gouvernement "
+    "developpement connaissance rapidement "
+    "los las una para con por como pero mas todo esta entre cuando muy sin sobre tambien hasta desde nosotros gobierno "
+    "informacion rapidamente conocimiento"
+).split()
 
 
 def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, is_random), n of each by rule: digests in four spellings, and names joined from common words."""
+    """(text, is_random), n of each by rule.
+
+    Random: digests in six spellings, of 16 characters to 40. Ordinary: names joined from common words in five ways, two to five words of
+    four languages run together, numbers and dates, one sign again and again.
+    """
     i = F.col("id")
     digest = F.sha2(F.concat(F.lit("sample "), i.cast("string")), 512)
     base64 = F.base64(F.unhex(digest))
-    spelled = F.when(i % 4 == 0, F.substring(digest, 1, 40)).when(i % 4 == 1, F.upper(F.substring(digest, 1, 32))).when(i % 4 == 2, F.substring(base64, 1, 40)).otherwise(F.translate(F.substring(base64, 5, 32), "+/=", ""))
-    words = F.array(*map(F.lit, _PARTS))
-    pick = lambda k: F.element_at(words, (F.conv(F.substring(digest, 1 + 8 * k, 7), 16, 10).cast("long") % len(_PARTS) + 1).cast("int"))
-    number = F.conv(F.substring(digest, 60, 3), 16, 10)
+    plain = F.translate(base64, "+/=", "")
+    spelled = (
+        F.when(i % 6 == 0, F.substring(digest, 1, 40)).when(i % 6 == 1, F.upper(F.substring(digest, 1, 32))).when(i % 6 == 2, F.substring(base64, 1, 40))
+        .when(i % 6 == 3, F.substring(plain, 5, 24)).when(i % 6 == 4, F.substring(F.translate(plain, "0123456789", ""), 3, 20)).otherwise(F.substring(F.lower(plain), 9, 16))
+    )
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10)
+    words, parts = F.array(*map(F.lit, _WORDS)), F.array(*map(F.lit, _PARTS))
+    pick = lambda k, own=parts, n=len(_PARTS): F.element_at(own, (number(1 + 8 * k, 7).cast("long") % n + 1).cast("int"))
+    word = lambda k: pick(k, words, len(_WORDS))
+    together = F.array_join(F.slice(F.array(*(word(k) for k in range(5))), 1, (i % 4 + 2).cast("int")), "")
+    signs = ALPHABET + "=-_" * 10
+    sign = F.element_at(F.array(*map(F.lit, signs)), (i % len(signs) + 1).cast("int"))
     name = (
-        F.when(i % 5 == 0, F.concat_ws("_", pick(0), pick(1), pick(2), number))
-        .when(i % 5 == 1, F.concat(pick(0), F.initcap(pick(1)), F.initcap(pick(2)), number))
-        .when(i % 5 == 2, F.concat_ws("/", pick(0), pick(1), F.concat(pick(2), F.lit("-"), number)))
-        .when(i % 5 == 3, F.upper(F.concat_ws("_", pick(0), pick(1), pick(2))))
-        .otherwise(F.concat_ws("-", F.lit("2024"), F.lpad(number, 4, "0"), pick(0), pick(1)))
-    )
+        F.when(i % 9 == 0, F.concat_ws("_", pick(0), pick(1), pick(2), number(60, 3)))
+        .when(i % 9 == 1, F.concat(pick(0), F.initcap(pick(1)), F.initcap(pick(2)), number(60, 3)))
+        .when(i % 9 == 2, F.concat_ws("/", pick(0), pick(1), F.concat(pick(2), F.lit("-"), number(60, 3))))
+        .when(i % 9 == 3, F.upper(F.concat_ws("_", pick(0), pick(1), pick(2))))
+        .when(i % 9 == 4, F.concat_ws("-", F.lit("2024"), F.lpad(number(60, 3), 4, "0"), pick(0), pick(1)))
+        .when(i % 9 == 5, F.initcap(together)).when(i % 9 == 6, together)
+        .when(i % 9 == 7, F.concat_ws("-", number(1, 7), number(9, 7), F.substring(number(17, 7), 1, 4)))
+        .otherwise(F.repeat(sign, 20))
+    )
     ids = spark.range(0, n, 1, 1)
     return ids.select(spelled.alias("text"), F.lit(True).alias("is_random")).unionAll(ids.select(name.alias("text"), F.lit(False).alias("is_random")))
 
@@ -110,14 +136,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What base spans (by start) leave of start..end."""
+    for a, _, e in base:
+        if a >= end:
+            break
+        if a > start:
+            yield start, a
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: np.ndarray, least: float = MIN_RATIO) -> list[tuple[int, int, int]]:
-    """Runs that no base span touches and that the models call random."""
+    """Runs, or what base spans leave of them, that the models call random."""
     found = []
     for m in KEY_RUN.finditer(text):
-        run = m[0]
-        digits, letters = sum(map(str.isdigit, run)), sum(map(str.isalpha, run))
-        if digits >= MIN_DIGITS and letters >= MIN_LETTERS and not any(a < m.end() and m.start() < e for a, _, e in base) and ratio(run, model) >= least:
-            found.append((m.start(), 3, m.end()))
+        for a, e in outside(m.start(), m.end(), base):
+            if e - a >= MIN_RUN and ratio(text[a:e], model) >= least + MORE / (e - a):
+                found.append((a, 3, e))
     return found
 
 

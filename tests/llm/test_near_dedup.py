@@ -44,21 +44,16 @@ def corpus():
     return list(enumerate(docs))
 
 
-def test_as_all_pairs(spark):
+def test_as_all_pairs_from_few_candidates(spark, monkeypatch):
+    """Components of all pairs; confirmed pairs grow with documents, not with pairs of a group."""
     docs = corpus()
+    seen = []
+    plain = near_dedup.confirmed
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
     out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = brute(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in out) and len(out) == len(docs)
-
-
-def test_few_candidates(spark, monkeypatch):
-    """Confirmed pairs grow with documents, not with pairs of a group."""
-    docs = corpus()
-    seen = []
-    plain = near_dedup.confirmed
-    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, texts: seen.append(pairs.count()) or plain(pairs, texts))
-    near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sum(seen) < 5 * len(docs)
 
 

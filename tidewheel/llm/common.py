@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch_dir
+
 #: ``[\x20\x09-\x0D]``, the white space of every word contract.
 SPACE = " \t\n\x0b\f\r"
 
@@ -31,16 +32,6 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % n
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set, as in tests."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if there is None:
-        there = tempfile.mkdtemp(prefix="tidewheel-")
-        spark.sparkContext.setCheckpointDir(there)
-        there = spark.sparkContext.getCheckpointDir()
-    return there.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, and losing an executor loses nothing."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"

@@ -135,7 +135,7 @@ class Space:
     def row(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word, tf = np.unique(ids, return_counts=True)
         x = (1 + np.log(tf)) * self.idf[word]
-        norm = np.sqrt((x * x).sum())
+        norm = max(float(np.sqrt((x * x).sum())), 1e-9)  # 0 where no document says which words are rare
         at = self.place[word]
         own = at >= 0
         return at[own], (x[own] / norm).astype(np.float32)

@@ -82,7 +82,7 @@ def odd_sketch(low: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, bands, sketch) for (doc_id, text). Without words all but the count are null."""
+    """(doc_id, text_hash, n_shingles, fingerprint, bands, sketch) for (doc_id, text, text_hash). Without words the last three are null."""
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +105,9 @@ def features(docs: DataFrame) -> DataFrame:
                         known.clear()
                     known[own] = found = band_keys(low), odd_sketch(low)
                 prints.append(own), bands.append(found[0]), sketches.append(found[1])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], ["doc_id", "n_shingles", "fingerprint", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], ["doc_id", "text_hash", "n_shingles", "fingerprint", "bands", "sketch"])
 
-    return by_batch(docs, run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>, sketch array<long>")
+    return by_batch(docs, run, "doc_id long, text_hash long, n_shingles long, fingerprint binary, bands array<long>, sketch array<long>")
 
 
 def estimate(one: Column, other: Column) -> Column:
@@ -260,18 +260,18 @@ def _met(shown: DataFrame, side: Callable[[str], DataFrame], near: Column) -> Da
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, links, roots). rows: (doc_id, n_shingles, class_id) for each input row; links between classes: (a, b, both, either);
+    """(rows, links, roots). rows: (doc_id, text_hash, n_shingles, class_id) for each input row; links between classes: (a, b, both, either);
     roots: (node, root) of classes with links.
 
     Rows of one id are one node. Null ids, null texts and texts without words have a null class.
     """
     own = id_and_text(docs, id_col, text_col)
-    every = written(features(own), "features")
+    every = written(features(own.withColumn("text_hash", F.xxhash64("text"))), "features")
     can = every.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
     classes = written(can.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "prints")
     stands = F.col("doc_id") == F.col("class_id")
-    named = written(salted_join(every.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint")).where("fingerprint is not null"), classes, "fingerprint", "doc_id"), "rows")
-    rows = named.select("doc_id", "n_shingles", "class_id").unionAll(every.where(F.col("doc_id").isNull() | F.col("fingerprint").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long")))
+    named = written(salted_join(every.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fingerprint")).alias("fingerprint")).where("fingerprint is not null"), classes, "fingerprint", "doc_id"), "rows")
+    rows = named.select("doc_id", "text_hash", "n_shingles", "class_id").unionAll(every.where(F.col("doc_id").isNull() | F.col("fingerprint").isNull()).select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long")))
     first = named.where(stands).select(F.col("doc_id").alias("class_id"), "fingerprint").distinct()
     reps = written(can.withColumnRenamed("doc_id", "class_id").join(first, ["class_id", "fingerprint"], "left_semi").dropDuplicates(["class_id", "fingerprint"]).select("class_id", "n_shingles", "bands", "sketch"), "classes")
 
@@ -308,7 +308,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, class_id), a row for each input row.
+    """(doc_id, n_shingles, component_id, kept, class_id, text_hash), a row for each input row; text_hash is xxhash64 of the text.
 
     component_id is the smallest id that links reach, the own id without a class; kept where both are equal.
     A null id has a null component and is kept, as nothing stands for it. An empty table stays empty.
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, _, roots = link_classes(docs, id_col, text_col)
     found = rows.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
     component = F.coalesce("root", "class_id", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"), "class_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"), "class_id", "text_hash")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ BUCKET = 8_000
 #: Parts of the buckets that meet one after another, so that only a part of the records is shuffled at a time.
 ROUNDS = 4
 #: Anchors that are settled together, at most.
-TOGETHER = 300_000
+TOGETHER = 120_000
 PIECE = 1 << 19
 _LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fn
 from ..operators import associations, clustering, ingest, patterns, periodicity, sleep_days, windows
 from ..operators.windows import FEATURES, KEY
-from ..sources import adapters
+from ..sources import adapters, synthetic
 from ..scratch import kept
 from .oracle import sql, upto
 
@@ -172,6 +172,15 @@ def fn_labels(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def gen1_synthetic_days(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.days(spark)
+
+
+def src10_early_share(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", F.round(synthetic.early_share(F.col("event_id") % 16, F.col("event_id") % 181), 9).alias("share"))
+
+
 def fn20_text_seed(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_type").distinct().select("event_type", fn.text_seed(F.col("event_type")).alias("seed"), fn.text_seed(F.col("event_type"), 7919).alias("salted"))
 
@@ -210,7 +219,7 @@ ac AS (SELECT *, support >= 2 AND comparison >= 3 AND log_odds > 0 AND strength
 
 QUERIES = {f.__name__: f for f in (
     src_days, win1_rolling_counts, agg13_scales, agg14_extra_sleep, prj7_features, mem1_membership, emg1_patterns, flt5_published, agg29_windows_by_shown, ctx1_associations, srt3_top_associations,
-    win10_discovery_control, clu1_clusters, clu6_diagnostics, wnd1_clustered_patterns, join1_samples_in_nights, agg4_heart_metrics, agg7_settling, join2_exercise, join17_profile, agg8_first_minutes, prj3_night_dates, fn_labels, fn20_text_seed,
+    win10_discovery_control, clu1_clusters, clu6_diagnostics, wnd1_clustered_patterns, join1_samples_in_nights, agg4_heart_metrics, agg7_settling, join2_exercise, join17_profile, agg8_first_minutes, prj3_night_dates, fn_labels, gen1_synthetic_days, src10_early_share, fn20_text_seed,
 )}
 
 ORACLES = {
@@ -249,6 +258,8 @@ ORACLES = {
         concat(floor(r / 60)::INT, 'h ', lpad((r % 60)::INT::VARCHAR, 2, '0'), 'm') AS length, date_trunc('week', ts)::DATE AS monday, dayofweek(ts) IN (0, 6) AS rest_day,
         round(CASE WHEN h < 18 THEN h + 24 ELSE h END, 9) AS extended_hour, floor(-value / 7 + 0.5)::BIGINT AS half_up, (event_id % 100) * (event_id % 100 - 1) / 2 AS pairs, strftime(ts, '%b %-d') AS short_date
         FROM (SELECT *, floor(value / 7 * 60 + 0.5) AS r, floor(value / 7 * 60 + 0.5) % 1440 AS t, hour(ts) + minute(ts) / 60 + second(ts) / 3600 AS h FROM events)""",
+    "src10_early_share": """SELECT event_id, round(CASE WHEN p = 0 THEN CASE WHEN d < 42 THEN 0.2 WHEN d < 92 THEN 0.82 ELSE 0.64 + sin(d / 11) * 0.08 END
+        ELSE least(0.9, greatest(0.12, 0.42 + (p * 17 % 31) / 100 + sin(d / (13 + p % 5) + p) * 0.2 + CASE WHEN d > 82 THEN (p % 3 - 1) * 0.1 ELSE 0 END)) END, 9)::DOUBLE AS share FROM (SELECT event_id, event_id % 16 AS p, event_id % 181 AS d FROM events)""",
     "fn20_text_seed": """WITH RECURSIVE k AS (SELECT DISTINCT event_type FROM events), s AS (SELECT event_type, 0 AS i, 2166136261::HUGEINT AS a, xor(2166136261::BIGINT, 7919::BIGINT)::HUGEINT AS b FROM k
         UNION ALL SELECT event_type, i + 1, xor(a::BIGINT, ascii(substr(event_type, i + 1, 1))::BIGINT)::HUGEINT * 16777619 % 4294967296, xor(b::BIGINT, ascii(substr(event_type, i + 1, 1))::BIGINT)::HUGEINT * 16777619 % 4294967296 FROM s WHERE i < length(event_type))
         SELECT event_type, a::BIGINT AS seed, b::BIGINT AS salted FROM s WHERE i = length(event_type)""",

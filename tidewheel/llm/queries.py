@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, host_rules, language_id, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
+from . import class_lm, decontaminate, host_rules, language_id, merkle, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_host_rules": host_rules.op10_host_rules,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLES = {"op10_host_rules": host_rules.ORACLE_OP10}
+ORACLES = {"op10_host_rules": host_rules.ORACLE_OP10, "op13_merkle_manifest": merkle.ORACLE_OP13}

@@ -42,14 +42,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more, and lets Spark's cleaner find the shuffles of finished steps."""
     session = tables[0].sparkSession
-    jvm = session.sparkContext._jvm
-    conf = session._jsparkSession.sessionState().newHadoopConf()
     for parent in {f.rpartition("/")[0] for t in tables for f in t.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        drop_folder(session, parent)
     let_go(session)
 
 
+def drop_folder(session: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one with all its files."""
+    path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def let_go(session: SparkSession) -> None:
     """Has the driver collect plans of finished steps: Spark's cleaner then deletes their shuffle files, which pile up on disks otherwise."""
     session.sparkContext._jvm.System.gc()

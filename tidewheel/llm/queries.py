@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, host_rules, language_id, merkle, near_dedup, packing, secret_scan, suffix_dedup, toxicity, url_filter
+from . import centroids, class_lm, decontaminate, host_rules, language_id, merkle, near_dedup, packing, secret_scan, suffix_dedup, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_host_rules": host_rules.op10_host_rules,
+    "op11_token_files": token_files.op11_token_files,
+    "op12_centroid_clusters": centroids.op12_centroid_clusters,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
-ORACLES = {"op10_host_rules": host_rules.ORACLE_OP10, "op13_merkle_manifest": merkle.ORACLE_OP13}
+ORACLES = {"op10_host_rules": host_rules.ORACLE_OP10, "op12_centroid_clusters": centroids.ORACLE_OP12, "op13_merkle_manifest": merkle.ORACLE_OP13}

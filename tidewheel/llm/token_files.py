@@ -12,8 +12,10 @@ has left is in no row, so losing executors does no harm.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,16 +38,19 @@ INDEX_ROWS = 65_536
 CACHED_WORDS = 400_000
 
 
+class _Whole(Exception):
+    """A text has white space of which pieces can't tell."""
+
+
 class WordIds(dict):
     """Ids of a piece of text, as bytes, by the piece: encoded once, remembered in bounded memory.
 
     The tokenizer first cuts a text, and never joins ids across such a cut. A single space between two other characters is one, and so is a
     single line feed; a space goes with the word after it. A piece is written as the word itself where a space stands before it, after a line
-    feed where that does, and after START where nothing does.
+    feed where that does, and after START where nothing does. Texts with other white space or with special tokens are encoded whole.
     """
 
     START = "\x1f"
-    #: Texts whose white space is no single space or line feed between other characters, or that have special tokens, are encoded whole.
     OTHER_SPACE = re.compile("[^\\S \n]|[\x1c-\x1f\x85\u180e]")
     #: Letters, then marks: the tokenizer cuts between them.
     PLAIN = re.compile("([\n\x1f]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()|]*)")
@@ -55,19 +60,23 @@ class WordIds(dict):
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 2**16 else "<u4")
-        self.letters, self.most, self.runs = byte_letters(), most, {"": b""}
+        self.tokenize, self.letters, self.most = self.model.model.tokenize, byte_letters(), most
+        self.space = self.letters[ord(" ")]
+        self.code, self.type = ("H", np.dtype("<u2")) if self.model.get_vocab_size() <= 2**16 else ("I", np.dtype("<u4"))
+        self.runs: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.type).tobytes()
+        found = array(self.code, ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def run(self, s: str) -> bytes:
         """Ids of letters or of marks, perhaps after a space, which the tokenizer doesn't cut."""
-        found = self.runs.get(s)
-        if found is None:
-            if len(self.runs) >= self.most:
-                self.runs = {"": b""}
-            self.runs[s] = found = self.packed([t.id for t in self.model.model.tokenize("".join(map(self.letters.__getitem__, s.encode())))])
+        shown = s.replace(" ", self.space) if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
+        if len(self.runs) >= self.most:
+            self.runs.clear()
+        self.runs[s] = found = self.packed([t.id for t in self.tokenize(shown)])
         return found
 
     def __missing__(self, piece: str) -> bytes:
@@ -75,18 +84,30 @@ class WordIds(dict):
             self.clear()
         if m := self.PLAIN.fullmatch(piece):
             before, letters, marks = m.groups()
-            ids = (self.run("\n") if before == "\n" else b"") + self.run(letters if before else f" {letters}") + self.run(marks)
+            known = self.runs.get
+            word = letters if before else " " + letters
+            ids = known(word) or self.run(word)
+            if marks:
+                ids += known(marks) or self.run(marks)
+            if before == "\n":
+                ids = self.packed(self.model.encode("\n", add_special_tokens=False).ids) + ids
         else:
-            ids = self.packed(self.model.encode(piece.removeprefix(self.START) if piece.startswith(("\n", self.START)) else f" {piece}", add_special_tokens=False).ids)
+            text = piece.removeprefix(self.START)
+            if self.OTHER_SPACE.search(text) or not text:
+                raise _Whole
+            ids = self.packed(self.model.encode(text if piece[0] in "\n\x1f" else " " + text, add_special_tokens=False).ids)
         self[piece] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or text[0] in " \n" or text[-1] in " \n" or self.OTHER_SPACE.search(text):
-            return self.packed(self.model.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.__getitem__, f"{self.START}{text}".replace("\n", " \n").split(" ")))
+        if "  " not in text and " \n" not in text and "\n " not in text and "\n\n\n" not in text and "<|" not in text and text[0] not in " \n" and text[-1] not in " \n":
+            try:
+                return b"".join(map(self.__getitem__, f"{self.START}{text}".replace("\n", " \n").split(" ")))
+            except _Whole:
+                pass
+        return self.packed(self.model.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=1)
@@ -162,7 +183,7 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     """Writes the ids of docs in ascending order of ids into `folder`, which driver and executors share; returns the table of its files.
 
     The table: (part, name, n_docs, n_tokens, n_sequences, before: tokens of all earlier parts, sequences_before). A null or empty text is its end id
-    alone; a null id comes first; rows of one id are ordered by text. An empty corpus has no files. `folder` is a path or a URI that Arrow knows.
+    alone; a null id comes first; rows of one id are ordered by a hash of their text. An empty corpus has no files. `folder` is a path or a URI that Arrow knows.
     """
     path = path or tokenizer_path(TOKENIZER)
 
@@ -180,7 +201,9 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             row = (TaskContext.get().partitionId(), *part.close())
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "name", "n_docs", "n_tokens", "n_sequences"])
 
-    dealt = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges are found from a sample of the keys, so the keys hold no texts.
+    by = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = id_and_text(docs, id_col, text_col).repartitionByRange(*by).sortWithinPartitions(*by)
     files = written(by_batch(dealt, run, "part long, name string, n_docs long, n_tokens long, n_sequences long"), "token-files")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, not a row a document
     return written(files.select("*", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(a) for c, a in (("n_tokens", "before"), ("n_sequences", "sequences_before")))), "token-files")
@@ -250,7 +273,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document's ids start in the files of the whole corpus, how many there are and their checksum, all read back from the files.
 
-    A null or empty text is its end id alone; null ids come first, rows of one id in the order of their texts, equal rows each by themselves; long texts are
+    A null or empty text is its end id alone; null ids come first, rows of one id in the order of a hash of their texts, equal rows each by themselves; long texts are
     encoded whole. An empty table gives no rows, further columns are not read. The files go once the result is a table of its own.
     """
     folder = f"{scratch_dir(spark)}/token-ids-{uuid.uuid4().hex}"

@@ -24,6 +24,18 @@ def _tenth(x: Column) -> Column:
     return half_up(F.round(x * 10, 6)) / 10
 
 
+def identity(rank: Column, patterns: Column, usual_bed: Column) -> tuple[Column, Column]:
+    """(timing, pattern_id) of the pattern of a rank among those of its window."""
+    timing = F.when(patterns == 1, F.when(usual_bed < EARLIER, "earlier").otherwise("later")).when(rank == 1, "earlier").when(rank == patterns, "later").otherwise("middle")
+    return timing, F.when(timing == "earlier", "earlier-sleep").when(timing == "later", "later-longer-sleep").otherwise(F.concat(F.lit("middle-sleep-"), (rank - 1).cast("string")))
+
+
+def names(published: DataFrame) -> DataFrame:
+    """(person, window_end, cluster, pattern_id) of published patterns, without the days that make them."""
+    every = published.select(*CLUSTER, "rank", "median_bed", F.count("*").over(Window.partitionBy(*KEY)).alias("patterns"))
+    return every.select(*CLUSTER, identity(F.col("rank"), F.col("patterns"), F.col("median_bed"))[1].alias("pattern_id"))
+
+
 def rows(members: DataFrame, days: DataFrame, published: DataFrame) -> DataFrame:
     """A row for each pattern: id, timing, length, place by emergence, ranges of the days that make its shape, summaries.
 
@@ -49,9 +61,8 @@ def rows(members: DataFrame, days: DataFrame, published: DataFrame) -> DataFrame
     g = g.withColumns({"patterns": count, "place": F.row_number().over(w.orderBy(F.desc("emergence"), "rank")).cast("long")})
     gap = F.col("own_duration") - F.col("usual")
     length = F.when(gap >= LENGTH, "longer").when(gap <= -LENGTH, "shorter").otherwise("steady")
-    timing = F.when(F.col("patterns") == 1, F.when(F.col("usual_bed") < EARLIER, "earlier").otherwise("later")).when(rank == 1, "earlier").when(rank == F.col("patterns"), "later").otherwise("middle")
+    timing, name = identity(rank, F.col("patterns"), F.col("usual_bed"))
     g = g.withColumns({"timing": timing, "length": length})
-    name = F.when(F.col("timing") == "earlier", "earlier-sleep").when(F.col("timing") == "later", "later-longer-sleep").otherwise(F.concat(F.lit("middle-sleep-"), (rank - 1).cast("string")))
     share = F.col("naps") / F.col("n")
     defining = (F.col("naps") >= F.greatest(F.lit(3), F.ceil(F.col("n") * 0.2))) & (share >= 0.2) & (F.col("nap_weeks") >= 2)
     q = lambda m: F.col(f"q_{m}")

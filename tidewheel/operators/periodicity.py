@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clustering import seed_of
+from ..functions import linear, seeded
+from ..functions.linear import let
+from ..functions.scalar import text_seed
+from ..scratch import kept
 from .windows import KEY
 
-
 # The catalogue of series, by id, and the column of a day that each reads.
 CATALOGUE = {
     "sleep_start": "bed", "wake_time": "wake", "sleep_duration": "duration", "deep_share": "deep", "rem_share": "rem", "wake_share": "awake", "sleep_median_hr": "median_bpm",
@@ -28,23 +31,24 @@ def series_of(days: DataFrame, catalogue: dict[str, str] = CATALOGUE, min_n: int
     return s.withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= min_n)
 
 
-def core_series(members: DataFrame, published: DataFrame, ends: DataFrame, least_valid: int = 30, least_core: int = 5, least_rest: int = 8) -> DataFrame:
-    """(series, day, y, n, person, window_end, cluster, emergence): for each shown pattern of the given windows, 1 on its core days, else 0."""
+def core_series(members: DataFrame, published: DataFrame, ends: DataFrame, names: DataFrame, least_valid: int = 30, least_core: int = 5, least_rest: int = 8) -> DataFrame:
+    """(series, day, y, n, person, window_end, cluster, pattern_id, core_days, emergence): for each shown pattern of the given windows, 1 on its core days, else 0.
+
+    names: (person, window_end, cluster, pattern_id). A series is named by person, window and pattern id, which seed its shuffles.
+    """
     valid = members.join(ends, KEY, "left_semi").select(*KEY, "day", F.col("cluster").alias("own"), "membership")
     valid = valid.withColumn("n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("n") >= least_valid)
-    shown = published.where("shown").select(*KEY, "cluster", "core_days", "emergence")
+    shown = published.where("shown").join(names.select(*KEY, "cluster", "pattern_id"), [*KEY, "cluster"]).select(*KEY, "cluster", "pattern_id", "core_days", "emergence")
     rows = valid.join(shown, KEY).where((F.col("core_days") >= least_core) & (F.col("n") - F.col("core_days") >= least_rest))
     y = ((F.col("own") == F.col("cluster")) & (F.col("membership") == "core")).cast("double")
-    series = F.concat_ws("-", *(F.col(c).cast("string") for c in (*KEY, "cluster")))
-    return rows.select(series.alias("series"), "day", y.alias("y"), "n", *KEY, "cluster", "core_days", "emergence")
+    series = F.concat_ws("-", *(F.col(c).cast("string") for c in (*KEY, "pattern_id")))
+    return rows.select(series.alias("series"), "day", y.alias("y"), "n", *KEY, "cluster", "pattern_id", "core_days", "emergence")
 
 
-def with_periods(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
-    """Each row once for each period of which the series' span of days holds enough cycles."""
+def with_span(series: DataFrame) -> DataFrame:
+    """Rows with span, the days from the first to the last of a series."""
     w = Window.partitionBy("series")
-    span = F.unix_date(F.max("day").over(w)) - F.unix_date(F.min("day").over(w)) + 1
-    periods = F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")))
-    return series.withColumn("span", span).withColumn("period", periods).where(F.col("span") / F.col("period") >= cycles).drop("span")
+    return series.withColumn("span", F.unix_date(F.max("day").over(w)) - F.unix_date(F.min("day").over(w)) + 1)
 
 
 def with_halves(series: DataFrame) -> DataFrame:
@@ -53,43 +57,59 @@ def with_halves(series: DataFrame) -> DataFrame:
     return series.withColumn("half", F.when(at <= F.floor(F.col("n") / 2), 1).otherwise(2))
 
 
-def _within(x: Column, w: Window) -> Column:
-    return x - F.avg(x).over(w)
+def _baseline(ordinals: Column) -> Column:
+    """The design of what any cycle is measured against: a constant, the trend from 0 to 1, and Monday to Saturday."""
+    first, last = F.array_min(ordinals), F.array_max(ordinals)
+    falls_on = lambda k: lambda o: (F.pmod(o + 4, F.lit(7)) == k).cast("double")  # noqa: E731  day 0 was a Thursday; Sunday is 0
+    trend = F.transform(ordinals, lambda o: (o - first) / F.greatest(F.lit(1), last - first))
+    return F.array(F.transform(ordinals, lambda o: F.lit(1.0)), trend, *(F.transform(ordinals, falls_on(k)) for k in range(1, 7)))
 
 
-def residuals(series: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """columns without weekday means and a linear trend: both sides are centred by weekday, then one slope is taken off."""
-    w = Window.partitionBy(*keys, "weekday")
-    whole = Window.partitionBy(*keys)
-    rows = series.withColumn("weekday", F.dayofweek("day")).withColumn("t", F.unix_date("day").cast("double"))
-    rows = rows.withColumn("t", (F.col("t") - F.min("t").over(whole)) / F.greatest(F.lit(1.0), F.max("t").over(whole) - F.min("t").over(whole)))
-    rows = rows.withColumns({"t": _within(F.col("t"), w), **{c: _within(F.col(c), w) for c in columns}})
-    tt = F.sum(F.col("t") * F.col("t")).over(whole)
-    return rows.withColumns({c: F.col(c) - F.col("t") * F.when(tt > 1e-12, F.sum(F.col("t") * F.col(c)).over(whole) / tt).otherwise(0.0) for c in columns})
+def left_over(rows: DataFrame, keys: list[str], lo: int, hi: int, cycles: float) -> DataFrame:
+    """(keys, periods, values, left) of rows (keys, day, y, span): arrays of one row a key, whose days are one person's.
+
+    periods: those of which the span holds enough cycles; a key without any has no row. values: by day. left: what the baseline leaves of the values,
+    then of a sine, then of a cosine of each period, all from one elimination.
+    """
+    wave = lambda f: F.transform("periods", lambda p: F.transform("day", lambda o: f(o * (2 * math.pi) / p)))
+    few = F.filter(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long")), lambda p: F.col("span") / p >= cycles)
+    g = rows.groupBy(*keys).agg(F.max("span").alias("span"), F.array_sort(F.collect_list(F.struct(F.unix_date("day").alias("day"), F.col("y").cast("double").alias("y")))).alias("r"))
+    g = g.select(*keys, few.alias("periods"), F.col("r.day").alias("day"), F.col("r.y").alias("y")).where(F.size("periods") > 0)
+    return g.select(*keys, "periods", F.col("y").alias("values"), linear.ridge_residuals(_baseline(F.col("day")), F.concat(F.array("y"), wave(F.sin), wave(F.cos))).alias("left"))
+
+
+def fit_periods(rows: DataFrame, keys: list[str], lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
+    """(keys, period, explained, sine, cosine) of rows (keys, day, y, span), for each period of which the span holds enough cycles.
+
+    A sine and a cosine are fitted to what the baseline leaves of the values. Where it leaves nothing of a wave, as of one week, the wave explains nothing.
+    """
+    return _fitted(left_over(rows, keys, lo, hi, cycles), keys)
 
 
-def fit_periods(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, period, explained, sine, cosine) of rows (keys, period, day, y): a sine and a cosine fitted to the residuals."""
-    angle = F.unix_date("day") * (2 * math.pi) / F.col("period")
-    by = [*keys, "period"]
-    r = residuals(rows.withColumns({"s": F.sin(angle), "c": F.cos(angle)}), ["y", "s", "c"], by)
-    m = lambda a, b: F.sum(F.col(a) * F.col(b)).alias(a + b)
-    g = r.groupBy(*by).agg(m("s", "s"), m("c", "c"), m("s", "c"), m("s", "y"), m("c", "y"), m("y", "y"))
+def _fitted(g: DataFrame, keys: list[str]) -> DataFrame:
+    n = F.size("periods")
+    each = F.transform("periods", lambda p, i: F.struct(p.alias("period"), F.element_at("left", i + 2).alias("s"), F.element_at("left", i + 2 + n).alias("c")))
+    g = g.select(*keys, F.col("left")[0].alias("y"), F.explode(each).alias("w")).select(*keys, "y", "w.*")
+    sums = {a + b: linear.dot(F.col(a), F.col(b)) for a, b in ("ss", "cc", "sc", "sy", "cy", "yy")}
+    return explained_share(g.select(*keys, "period", *(v.alias(k) for k, v in sums.items()))).select(*keys, "period", "explained", "sine", "cosine")
+
+
+def explained_share(sums: DataFrame) -> DataFrame:
+    """sums, of products of the waves s and c and values y, with sine, cosine and explained, the share of the values' squares."""
     det = F.greatest(F.lit(1e-9), F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc"))
-    g = g.withColumns({"sine": (F.col("sy") * F.col("cc") - F.col("cy") * F.col("sc")) / det, "cosine": (F.col("cy") * F.col("ss") - F.col("sy") * F.col("sc")) / det})
-    explained = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sy") * F.col("sine") + F.col("cy") * F.col("cosine")) / F.greatest(F.lit(1e-9), F.col("yy")))
-    return g.select(*by, explained.alias("explained"), "sine", "cosine")
+    g = sums.withColumns({"sine": (F.col("sy") * F.col("cc") - F.col("cy") * F.col("sc")) / det, "cosine": (F.col("cy") * F.col("ss") - F.col("sy") * F.col("sc")) / det})
+    return g.withColumn("explained", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sy") * F.col("sine") + F.col("cy") * F.col("cosine")) / F.greatest(F.lit(1e-9), F.col("yy"))))
 
 
 def scan(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4) -> DataFrame:
     """(series, period, explained, amplitude, phase) for each period of which the series holds enough cycles."""
-    g = fit_periods(with_periods(series, lo, hi, cycles), ["series"])
+    g = fit_periods(with_span(series), ["series"], lo, hi, cycles)
     return g.select("series", "period", "explained", F.sqrt(F.col("sine") ** 2 + F.col("cosine") ** 2).alias("amplitude"), F.atan2("cosine", "sine").alias("phase"))
 
 
 def best_period(scanned: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:
-    """The period that explains most of each series; the shorter of equals."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("explained"), "period")
+    """The period that explains most of each series; the shorter of equals. Shares that differ only behind nine digits are equal."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("explained", 9)), "period")
     return scanned.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
@@ -99,7 +119,7 @@ def split(series: DataFrame, selected: DataFrame, lo: int = 2, hi: int = 21, cyc
     selected: (series, period). agreement is the cosine between both halves' coefficients; 0 where one has none. Halves try the
     periods of the whole series.
     """
-    halves = fit_periods(with_periods(with_halves(series), lo, hi, cycles), ["series", "half"])
+    halves = fit_periods(with_span(with_halves(series)), ["series", "half"], lo, hi, cycles)
     own = best_period(halves, ("series", "half")).select("series", "half", F.col("period").alias("best"))
     at = halves.join(selected.select("series", "period"), ["series", "period"]).join(own, ["series", "half"])
     pick = lambda c, h: F.max(F.when(F.col("half") == h, F.col(c)))
@@ -150,8 +170,6 @@ def discovery_control(tests: DataFrame, p: str = "p", family: list[str] | None =
     partition plus the counts of the ones before; running minima are those of the partition's rest and of later ones. Both come from a
     row a partition and family. Ties of p share what the last of them gets.
     """
-    from ..scratch import kept
-
     keys = family or []
     fam = F.xxhash64(*keys) if keys else F.lit(0).cast("long")
     ordered = tests.withColumns({"_f": fam, "_p": F.col(p)}).repartitionByRange("_f", "_p")
@@ -177,10 +195,11 @@ def _uniforms(seed: int, n: int) -> np.ndarray:
     return (t ^ (t >> np.uint32(14))) / 4294967296.0
 
 
-def block_orders(n: int, block: int, runs: int, seed: int) -> np.ndarray:
-    """(runs, n) positions: blocks of neighbours shuffled by exchanges from the last one down, runs after one another in one stream."""
+def block_orders(n: int, block: int, runs: int, seed: int, first: int = 0) -> np.ndarray:
+    """(runs, n) positions: blocks of neighbours shuffled by exchanges from the last one down, runs, from number `first` on, after one another in one stream."""
     k = -(-n // block)
-    u = _uniforms(seed, runs * max(k - 1, 0)).reshape(runs, -1)
+    each = max(k - 1, 0)
+    u = _uniforms(seed + first * each * seeded.STEP & 0xFFFFFFFF, runs * each).reshape(runs, -1)
     order = np.tile(np.arange(k), (runs, 1))
     every = np.arange(runs)
     for step, last in enumerate(range(k - 1, 0, -1)):
@@ -192,43 +211,42 @@ def block_orders(n: int, block: int, runs: int, seed: int) -> np.ndarray:
     return flat[flat >= 0].reshape(runs, n)
 
 
-def permutation_p(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4, runs: int = 5000, block: int = 3) -> DataFrame:
+def _beaten(block: int):
+    """For each row (series, seed, first, runs, least, left) how many of its runs explain `least` or more at some period."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for row in b.to_pylist():
+                left = np.array(row["left"])
+                m = len(left) // 2
+                r, s, c = left[0], left[1 : 1 + m], left[1 + m :]
+                ss, cc, sc = (s * s).sum(axis=1), (c * c).sum(axis=1), (s * c).sum(axis=1)
+                shuffled = r[block_orders(len(r), block, row["runs"], row["seed"], row["first"])]
+                sy, cy = shuffled @ s.T, shuffled @ c.T
+                share = np.clip((sy * (sy * cc - cy * sc) + cy * (cy * ss - sy * sc)) / np.maximum(1e-9, ss * cc - sc * sc) / max(1e-9, float(r @ r)), 0, 1)
+                found.append(int((share.max(axis=1) >= row["least"] - 1e-12).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("series"), pa.array(found, pa.int64())], ["series", "beaten"])
+
+    return run
+
+
+def permutation_p(series: DataFrame, lo: int = 2, hi: int = 21, cycles: float = 4, runs: int = 5000, block: int = 3, parts: int = 8) -> DataFrame:
     """(series, n, period, explained, p, amplitude, standardized): the greatest explained share over all periods against
     shuffles of the residuals in blocks of three.
 
-    One series is one group, which holds one person's days. Shuffles are seeded by the series' name.
+    Shuffles are seeded by the series' name. Runs are cut into parts, each of which starts at its own place of the stream and is worked out by
+    whatever task it falls to; the counts of the parts add up to the same p for any number of parts.
     """
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        day = pd.to_datetime(pdf["day"])
-        t = (day - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
-        week = day.dt.dayofweek.to_numpy()
-        design = np.column_stack([np.ones(len(t)), (t - t.min()) / max(1.0, t.max() - t.min()), *((week == k).astype(float) for k in range(6))])
-        hat = design @ np.linalg.pinv(design)
-        out = lambda x: x - hat @ x
-        y = pdf["y"].to_numpy(float)
-        r = out(y)
-        name, n = pdf["series"].iloc[0], len(pdf)
-        total = max(1e-9, float(r @ r))
-        periods = [k for k in range(lo, hi + 1) if (t.max() - t.min() + 1) / k >= cycles]
-        if not periods:
-            return pd.DataFrame({"series": [name], "n": [n], "period": [None], "explained": [0.0], "p": [1.0], "amplitude": [0.0], "standardized": [0.0]})
-        s = np.stack([out(np.sin(2 * np.pi * t / k)) for k in periods])
-        c = np.stack([out(np.cos(2 * np.pi * t / k)) for k in periods])
-        ss, cc, sc = (s * s).sum(axis=1), (c * c).sum(axis=1), (s * c).sum(axis=1)
-        det = np.maximum(1e-9, ss * cc - sc * sc)
-
-        def explained(rows: np.ndarray) -> np.ndarray:
-            sy, cy = rows @ s.T, rows @ c.T
-            return np.clip((sy * (sy * cc - cy * sc) + cy * (cy * ss - sy * sc)) / det / total, 0, 1)
-
-        seen = explained(r[None])[0]
-        at = int(seen.argmax())
-        null = explained(r[block_orders(n, block, runs, seed_of([name], 0))]).max(axis=1)
-        beaten = int((null >= seen[at] - 1e-12).sum())
-        sy, cy = s[at] @ r, c[at] @ r
-        size = float(np.hypot(sy * cc[at] - cy * sc[at], cy * ss[at] - sy * sc[at]) / det[at])
-        return pd.DataFrame({"series": [name], "n": [n], "period": [periods[at]], "explained": [float(seen[at])], "p": [(beaten + 1) / (runs + 1)], "amplitude": [size], "standardized": [size / max(1e-9, float(y.std()))]})
-
-    return series.groupBy("series").applyInPandas(test, "series string, n long, period long, explained double, p double, amplitude double, standardized double")
+    g = kept(left_over(with_span(series), ["series"], lo, hi, cycles), "left")
+    seen = best_period(_fitted(g, ["series"]))
+    each = -(-runs // parts)
+    first = F.explode(F.sequence(F.lit(0), F.lit(runs - 1), F.lit(each))).alias("first")
+    shared = g.join(seen.select("series", F.col("explained").alias("least")), "series").select("series", text_seed(F.col("series")).alias("seed"), "least", "left", first)
+    shared = shared.withColumn("runs", F.least(F.lit(each), runs - F.col("first"))).repartition("series", "first")
+    beaten = shared.mapInArrow(_beaten(block), "series string, beaten long").groupBy("series").agg(F.sum("beaten").alias("beaten"))
+    mean = linear.total(F.col("values")) / F.size("values")
+    deviation = F.sqrt(let(mean, lambda m: linear.total(F.transform("values", lambda v: (v - m) * (v - m)))) / F.size("values"))
+    size = F.sqrt(F.col("sine") ** 2 + F.col("cosine") ** 2)
+    out = seen.join(g.select("series", F.size("values").cast("long").alias("n"), deviation.alias("deviation")), "series").join(beaten, "series")
+    return out.select("series", "n", "period", "explained", ((F.col("beaten") + 1) / (runs + 1)).alias("p"), size.alias("amplitude"), (size / F.greatest(F.lit(1e-9), F.col("deviation"))).alias("standardized"))

@@ -36,8 +36,13 @@ def expected(rows):
 
 def test_pieces_of_texts_have_the_ids_of_whole_texts():
     words = tf.WordIds(tokenizer_path(tf.TOKENIZER), most=7)
-    for text, ids in zip(ODD, plain(ODD), strict=True):
-        assert np.frombuffer(words.of(text), words.type).tolist() == ids[:-1], text
+    for texts in ([t] for t in ODD):
+        for text, got, ids in zip(texts, words.of(texts), plain(texts), strict=True):
+            assert np.frombuffer(got, words.type).tolist() == ids[:-1], text
+    many = [" ".join(f"wört{i * k % 97} and{chr(97 + i % 26)}{chr(97 + k % 26)}, x" for i in range(40)) for k in range(200)]
+    for got, ids in zip(tf.WordIds(tokenizer_path(tf.TOKENIZER), most=60).of(many), plain(many), strict=True):
+        assert np.frombuffer(got, words.type).tolist() == ids[:-1]
+    assert list(tf.WordIds(tokenizer_path(tf.TOKENIZER)).of(ODD * 3)) == list(words.of(ODD * 3))
 
 
 def test_generated_texts_have_the_ids_of_whole_texts():
@@ -49,7 +54,7 @@ def test_generated_texts_have_the_ids_of_whole_texts():
     @settings(max_examples=400, deadline=None)
     @given(st.lists(st.sampled_from(["the", "Wörd", "x1", "'s", ".", "!?", " ", "  ", "\n", "\t", "é", "-", "_", "ing", "12", " ", "日", "<|"]), max_size=25).map("".join))
     def check(text):
-        assert np.frombuffer(words.of(text), words.type).tolist() == model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(words.of([text])), words.type).tolist() == model.encode(text, add_special_tokens=False).ids
 
     check()
 

@@ -12,10 +12,8 @@ has left is in no row, so losing executors does no harm.
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,77 +36,101 @@ INDEX_ROWS = 65_536
 CACHED_WORDS = 400_000
 
 
-class _Whole(Exception):
-    """A text has white space of which pieces can't tell."""
-
-
-class WordIds(dict):
+class WordIds:
     """Ids of a piece of text, as bytes, by the piece: encoded once, remembered in bounded memory.
 
     The tokenizer first cuts a text, and never joins ids across such a cut. A single space between two other characters is one, and so is a
     single line feed; a space goes with the word after it. A piece is written as the word itself where a space stands before it, after a line
     feed where that does, and after START where nothing does. Texts with other white space or with special tokens are encoded whole.
+    Where no entry of the vocabulary that such words can give has a space behind another character, new words are encoded many at once, one after another in one string.
     """
 
     START = "\x1f"
     OTHER_SPACE = re.compile("[^\\S \n]|[\x1c-\x1f\x85\u180e]")
     #: Letters, then marks: the tokenizer cuts between them.
     PLAIN = re.compile("([\n\x1f]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()|]*)")
+    #: Words of one string.
+    TOGETHER = 500
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.tokenize, self.letters, self.most = self.model.model.tokenize, byte_letters(), most
+        self.bare, self.letters, self.most = Tokenizer(self.model.model), byte_letters(), most
         self.space = self.letters[ord(" ")]
-        self.code, self.type = ("H", np.dtype("<u2")) if self.model.get_vocab_size() <= 2**16 else ("I", np.dtype("<u4"))
+        self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 2**16 else "<u4")
+        vocabulary = self.model.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
+        own = {*self.space, *map(chr, range(128)), *"".join(self.shown(chr(c)) for c in range(0xC0, 0x100))}  # all that words of letters are written with
+        self.together = 1 if any(self.space in t.lstrip(self.space) and own.issuperset(t) for t in vocabulary) else self.TOGETHER
+        self.known: dict[str, bytes | None] = {}
         self.runs: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        found = array(self.code, ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return found.tobytes()
-
-    def run(self, s: str) -> bytes:
-        """Ids of letters or of marks, perhaps after a space, which the tokenizer doesn't cut."""
-        shown = s.replace(" ", self.space) if s.isascii() else "".join(map(self.letters.__getitem__, s.encode()))
-        if len(self.runs) >= self.most:
-            self.runs.clear()
-        self.runs[s] = found = self.packed([t.id for t in self.tokenize(shown)])
-        return found
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if m := self.PLAIN.fullmatch(piece):
-            before, letters, marks = m.groups()
-            known = self.runs.get
-            word = letters if before else " " + letters
-            ids = known(word) or self.run(word)
-            if marks:
-                ids += known(marks) or self.run(marks)
-            if before == "\n":
-                ids = self.packed(self.model.encode("\n", add_special_tokens=False).ids) + ids
-        else:
-            text = piece.removeprefix(self.START)
-            if self.OTHER_SPACE.search(text) or not text:
-                raise _Whole
-            ids = self.packed(self.model.encode(text if piece[0] in "\n\x1f" else " " + text, add_special_tokens=False).ids)
-        self[piece] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "  " not in text and " \n" not in text and "\n " not in text and "\n\n\n" not in text and "<|" not in text and text[0] not in " \n" and text[-1] not in " \n":
-            try:
-                return b"".join(map(self.__getitem__, f"{self.START}{text}".replace("\n", " \n").split(" ")))
-            except _Whole:
-                pass
+        return np.array(ids, self.type).tobytes()
+
+    def encoded(self, text: str) -> bytes:
         return self.packed(self.model.encode(text, add_special_tokens=False).ids)
 
+    def shown(self, word: str) -> str:
+        """A word as the vocabulary writes it."""
+        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of words of letters after a space."""
+        for at in range(0, len(words), self.together):
+            part = words[at : at + self.together]
+            ids = self.bare.encode("".join([self.space + self.shown(w) for w in part]), add_special_tokens=False).ids
+            found = np.array(ids, self.type)
+            cuts = (np.flatnonzero(self.opens[found]) * self.type.itemsize).tolist()
+            whole = found.tobytes()
+            self.runs.update(zip(part, map(whole.__getitem__, map(slice, cuts, [*cuts[1:], len(whole)])), strict=True))
+
+    def learn(self, pieces: set[str]) -> None:
+        plain, marked = [], set()
+        for piece in pieces:
+            m = self.PLAIN.fullmatch(piece)
+            if m and not m[1]:
+                plain.append((piece, m[2], m[3]))
+                marked.add(m[3])
+            else:
+                self.known[piece] = self.other(piece)
+        if len(self.runs) + len(plain) > self.most:
+            self.runs.clear()
+        self.learn_words(list({w for _, w, _ in plain}.difference(self.runs)))
+        marks = {m: self.encoded(m) for m in marked}
+        for piece, word, mark in plain:
+            self.known[piece] = self.runs[word] + marks[mark]
+
+    def other(self, piece: str) -> bytes | None:
+        """Ids of any piece; None if it has white space that asks for the whole text."""
+        text = piece.removeprefix(self.START)
+        if not text or self.OTHER_SPACE.search(text):
+            return None
+        return self.encoded(text if piece[0] in "\n\x1f" else " " + text)
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        for at in range(0, len(texts), 64):
+            part = texts[at : at + 64]
+            cut = [self.pieces(t) for t in part]
+            new = set().union(*cut).difference(self.known)
+            if len(self.known) + len(new) > self.most:
+                self.known.clear()
+                new = set().union(*cut)
+            self.learn(new)
+            for text, pieces in zip(part, cut, strict=True):
+                try:
+                    yield b"".join(map(self.known.__getitem__, pieces)) if pieces or not text else self.encoded(text)
+                except TypeError:  # of a piece without ids
+                    yield self.encoded(text)
+
+    def pieces(self, text: str | None) -> list[str]:
+        """The pieces of a text; none if it is empty or has to be encoded whole."""
+        if not text or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or text[0] in " \n" or text[-1] in " \n":
+            return []
+        return f"{self.START}{text}".replace("\n", " \n").split(" ")
+
 
 @lru_cache(maxsize=1)
 def _words(path: str) -> WordIds:
@@ -195,8 +217,8 @@ def token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         for b in batches:
             if b.num_rows and part is None:
                 part = _Part(folder, words.type, sequence)
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                part.add(doc, words.of(text) + end)
+            for doc, ids in zip(b.column("doc_id").to_pylist(), words.of(b.column("text").to_pylist()), strict=True):
+                part.add(doc, ids + end)
         if part:
             row = (TaskContext.get().partitionId(), *part.close())
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "name", "n_docs", "n_tokens", "n_sequences"])

@@ -44,6 +44,13 @@ def duration_label(hours: Column) -> Column:
     return F.concat(F.floor(total / 60).cast("string"), F.lit("h "), F.lpad((total % 60).cast("string"), 2, "0"), F.lit("m"))
 
 
+def bpm_range(count: Column, low: Column, high: Column) -> Column:
+    """Rounded beats a minute, as one number or a span; where nothing was counted, words that say so."""
+    a, b = half_up(low), half_up(high)
+    span = F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("–"), b.cast("string")))
+    return F.when(F.coalesce(count, F.lit(0)) > 0, F.concat(span, F.lit(" bpm"))).otherwise("not enough data")
+
+
 def pairs_of(n: Column) -> Column:
     return n * (n - 1) / 2
 

@@ -36,15 +36,6 @@ def smoothed(value: Column, order: Window, radius: int) -> Column:
     return total / F.greatest(F.lit(1e-6), weights)
 
 
-def interpolated(points: Column, hour: Column) -> Column:
-    """The value at an hour of a series, an array of (hour, value) in order; the ends go on, an empty series is 0."""
-    left = F.element_at(F.filter(points, lambda p: p["hour"] < hour), -1)
-    right = F.get(F.filter(points, lambda p: p["hour"] >= hour), F.lit(0))
-    mix = (hour - left["hour"]) / F.greatest(F.lit(1e-6), right["hour"] - left["hour"])
-    inner = F.when(left.isNull(), right["value"]).when(right.isNull(), left["value"]).otherwise(left["value"] * (1 - mix) + right["value"] * mix)
-    return F.when(F.size(points) > 0, inner).otherwise(0.0)
-
-
 def core_nights(members: DataFrame, days: DataFrame, ends: DataFrame) -> DataFrame:
     """(person, window_end, cluster, day, bed, wake, profile): core days of the patterns of the given windows."""
     core = members.where("membership = 'core'").select(*CLUSTER, "day").join(ends, KEY, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linear, seeded
 from ..functions.linear import let
-from ..functions.scalar import text_seed
+from ..functions.scalar import finite, text_seed
 from ..scratch import kept
 from .windows import KEY
 
@@ -24,9 +24,9 @@ CATALOGUE = {
 
 
 def series_of(days: DataFrame, catalogue: dict[str, str] = CATALOGUE, min_n: int = 50) -> DataFrame:
-    """(series, day, y, n): valid days of each person and catalogue entry with a value, for series of min_n or more."""
+    """(series, day, y, n): valid days of each person and catalogue entry with a finite value, for series of min_n or more."""
     named = days.where("valid").select("person", "day", *(F.col(c).cast("double").alias(k) for k, c in catalogue.items()))
-    long = named.unpivot(["person", "day"], list(catalogue), "feature", "y").where("y IS NOT NULL")
+    long = named.unpivot(["person", "day"], list(catalogue), "feature", "y").withColumn("y", finite(F.col("y"))).where("y IS NOT NULL")
     s = long.select(F.concat_ws("-", F.col("person").cast("string"), "feature").alias("series"), "day", "y")
     return s.withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= min_n)
 

@@ -126,8 +126,9 @@ def join1_samples_in_nights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg4_heart_metrics(spark: SparkSession, d: str) -> DataFrame:
-    joined = ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d))
-    return _rounded(ingest.heart_metrics(joined, 3, 0.001).withColumns({c: F.col(c).cast("double") for c in ("median_bpm", "low_bpm")}), ["coverage", "confident"])
+    """Nights of samples that events spread; with 120 samples and half of the minutes seen, a night has its metrics."""
+    joined = ingest.samples_in_nights(adapters.dense_samples(spark, d), _nights(spark, d))
+    return _rounded(ingest.heart_metrics(joined).withColumns({c: F.col(c).cast("double") for c in ("median_bpm", "low_bpm")}), ["coverage", "confident"])
 
 
 def agg7_settling(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +190,8 @@ _N = "nights AS (SELECT DISTINCT user_id % 16 AS person, cast(ts AS date) AS nig
 _S = f"samples AS ({adapters.SAMPLES.format(events='events')})"
 _J = "jn AS (SELECT * FROM (SELECT s.person, event_id, ts, bpm, confidence, night, start_ts, end_ts, row_number() OVER (PARTITION BY s.person, event_id ORDER BY start_ts, night) AS r FROM samples s JOIN nights n ON s.person = n.person AND ts >= start_ts AND ts < end_ts WHERE bpm BETWEEN 30 AND 220 AND confidence >= 1) WHERE r = 1)"
 _COVER = "least(1, greatest(0, count(DISTINCT date_trunc('minute', ts)) / 480.0))"
-_ENOUGH = f"count(*) >= 3 AND {_COVER} >= 0.001"
+_ENOUGH = f"count(*) >= 120 AND {_COVER} >= 0.5"
+_DENSE = "samples AS (" + adapters.DENSE_SAMPLES.replace("{seconds}", "to_seconds(i * 45)").replace("{each}", ", (SELECT unnest(range(0, 80)) AS i)").format(events="events") + ")"
 
 _ASSOC = """
 rest AS (SELECT person, window_end, day, dayofweek(day) IN (0, 6) AS rest, exercise_known, evening_exercise, high_load, coalesce(food_reported, false) AS food, dinner, alcohol, fluid, coalesce(wellness_reported, false) AS well, stress FROM wd WHERE valid),
@@ -236,7 +238,7 @@ ORACLES = {
     "srt3_top_associations": sql("SELECT person, window_end, cluster, definition, place FROM (SELECT *, row_number() OVER (PARTITION BY person, window_end, cluster ORDER BY round(confidence * strength, 9) DESC, definition) AS place FROM ac WHERE shown) WHERE place <= 3", *upto("members"), _ASSOC),
     "win10_discovery_control": "WITH o AS (SELECT o_custkey, count_if(o_totalprice > 150000) / (count(*) + 1.0) AS p FROM orders GROUP BY 1), r AS (SELECT *, o_custkey % 7 AS family, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY p) AS k, count(*) OVER (PARTITION BY o_custkey % 7) AS m FROM o) SELECT o_custkey, family, round(p, 9) AS p, round(least(1.0, min(p * m / k) OVER (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r",
     "join1_samples_in_nights": sql("SELECT person, event_id, night, bpm FROM jn", _N, _S, _J),
-    "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 9) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 9) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _S, _J),
+    "agg4_heart_metrics": sql(f"SELECT person, night, count(*) AS n, round({_COVER}, 9) AS coverage, round(avg(CASE WHEN confidence >= 2 THEN 1.0 ELSE 0.0 END), 9) AS confident, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.5)::DOUBLE END AS median_bpm, CASE WHEN {_ENOUGH} THEN quantile_disc(bpm, 0.1)::DOUBLE END AS low_bpm FROM jn GROUP BY person, night", _N, _DENSE, _J),
     "agg7_settling": sql("""SELECT person, night, round(observed / 90, 9) AS first_coverage, (CASE WHEN observed / 90 >= 0.6 THEN m END)::DOUBLE AS settling_minutes, CASE WHEN observed / 90 >= 0.6 THEN m < 90 END AS settled, CASE WHEN observed / 90 >= 0.6 THEN round(greatest(0, coalesce(opening - baseline, 0)), 9) END AS opening_delta, CASE WHEN observed / 90 >= 0.6 THEN round(high, 9) END AS high_share
         FROM (SELECT person, night, any_value(baseline) AS baseline, any_value(observed) AS observed, coalesce(min(CASE WHEN minute <= 70 AND seen >= 12 AND calm >= 0.8 * seen THEN minute END), 90) AS m, median(CASE WHEN minute < 15 THEN bpm END) AS opening, avg(CASE WHEN bpm IS NOT NULL THEN CASE WHEN bpm > baseline + 3 THEN 1.0 ELSE 0.0 END END) AS high FROM fr GROUP BY person, night)""", _N, _S, _J,
         "mi AS (SELECT person, night, floor(epoch(ts - start_ts) / 60)::BIGINT AS minute, median(bpm) AS bpm FROM jn GROUP BY ALL), ba AS (SELECT person, night, quantile_cont(bpm, 0.25) AS baseline, count_if(minute < 90) AS observed FROM mi GROUP BY ALL), sn AS (SELECT ba.*, unnest(range(0, 90)) AS minute FROM ba), sj AS (SELECT sn.*, mi.bpm FROM sn LEFT JOIN mi ON sn.person = mi.person AND sn.night = mi.night AND sn.minute = mi.minute), fr AS (SELECT *, count(bpm) OVER w AS seen, count_if(bpm <= baseline + 3) OVER w AS calm FROM sj WINDOW w AS (PARTITION BY person, night ORDER BY minute ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING))"),

@@ -106,6 +106,12 @@ FROM v
 
 #: Heart-rate samples and nights of the same people: (person, ts, bpm, confidence) and (person, night, start, end).
 SAMPLES = "SELECT user_id % 16 AS person, event_id, ts, cast(30 + floor(value) % 200 AS int) AS bpm, cast(event_id % 4 AS int) AS confidence FROM {events}"
+#: Each event as a burst of an hour: a sample every 45 seconds, so that a night of eight hours may have enough of them.
+DENSE_SAMPLES = """
+SELECT user_id % 16 AS person, event_id * 80 + i AS event_id, ts + {seconds} AS ts,
+       cast(45 + (floor(value) + i * 7 + event_id) % 60 AS int) AS bpm, cast((event_id + i) % 4 AS int) AS confidence
+FROM {events} {each}
+"""
 NIGHTS = "SELECT DISTINCT user_id % 16 AS person, cast(ts AS date) AS night FROM {events}"
 EXERCISE = "SELECT user_id % 16 AS person, event_id, ts AS start_ts, value AS minutes, event_type AS kind FROM {events} WHERE event_type = 'click'"
 
@@ -132,6 +138,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, SAMPLES)
 
 
+def dense_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, DENSE_SAMPLES.replace("{seconds}", "make_dt_interval(0, 0, 0, i * 45)").replace("{each}", "LATERAL VIEW explode(sequence(0, 79)) AS i"))
+
+
 def nights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, NIGHTS)
 

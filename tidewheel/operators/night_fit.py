@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.linear import let
 from ..functions.scalar import clamp, half_up
 from .windows import KEY
 
@@ -50,33 +51,47 @@ def resample(profile: Column, points: int = 36) -> Column:
 POINTS = 36
 
 
+def shapes(profiles: DataFrame, members: DataFrame) -> DataFrame:
+    """(person, window_end, cluster, middle): medians of the profiles, resampled to POINTS, of each pattern's core days."""
+    core = members.where("membership = 'core'").select(*KEY, "day", "cluster")
+    middle = F.array(*(F.percentile(F.get("own", F.lit(i)), 0.5) for i in range(POINTS))).alias("middle")
+    return core.join(outlines(profiles), ["person", "day"]).groupBy(*KEY, "cluster").agg(middle)
+
+
+def outlines(profiles: DataFrame) -> DataFrame:
+    """(person, day, own): profiles resampled to POINTS; nights without one have no row."""
+    return profiles.where(F.size("profile") > 0).select("person", "day", resample(F.col("profile"), POINTS).alias("own"))
+
+
+def resemblance(own: Column, middle: Column) -> Column:
+    """How alike two resampled profiles of depths from 0 to 3 are: levels weigh 0.78, changes 0.22. Null if one is."""
+    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.abs(x) / 3) / n
+    changes = lambda gaps: F.transform(F.sequence(F.lit(1), F.lit(POINTS - 1)), lambda i: F.get(gaps, i) - F.get(gaps, i - 1))
+    alike = let(F.zip_with(own, middle, lambda x, y: x - y), lambda gaps: clamp(1 - (mean(gaps, POINTS) * 0.78 + mean(changes(gaps), POINTS - 1) * 0.22)))
+    return F.when(own.isNotNull() & middle.isNotNull(), alike)
+
+
 def landscape(profiles: DataFrame, members: DataFrame) -> DataFrame:
     """(person, window_end, day, cluster, landscape): each night's profile against the medians of the core days of the patterns of the day before.
 
-    profiles: (person, day, profile), depths from 0 to 3. Levels weigh 0.78 and changes 0.22. The medians of a pattern
-    are one aggregation of its core days; nights without a profile, and patterns without one, have no row.
+    profiles: (person, day, profile). Nights without a profile, and patterns without one, have no row.
     """
-    own = profiles.where(F.size("profile") > 0).select("person", "day", resample(F.col("profile"), POINTS).alias("own"))
-    core = members.where("membership = 'core'").select(*KEY, "day", "cluster")
-    middle = F.array(*(F.percentile(F.get("own", F.lit(i)), 0.5) for i in range(POINTS))).alias("middle")
-    shapes = core.join(own, ["person", "day"]).groupBy(*KEY, "cluster").agg(middle)
-    rows = own.withColumn("window_end", F.date_sub("day", 1)).join(shapes, KEY)
-    mean = lambda xs, n: F.aggregate(xs, F.lit(0.0), lambda s, x: s + F.abs(x) / 3) / n
-    gaps = F.zip_with("own", "middle", lambda x, y: x - y)
-    changes = F.transform(F.sequence(F.lit(1), F.lit(POINTS - 1)), lambda i: F.get("gaps", i) - F.get("gaps", i - 1))
-    rows = rows.withColumn("gaps", gaps)
-    return rows.select(*KEY, "day", "cluster", clamp(1 - (mean(F.col("gaps"), POINTS) * 0.78 + mean(changes, POINTS - 1) * 0.22)).alias("landscape"))
+    rows = outlines(profiles).withColumn("window_end", F.date_sub("day", 1)).join(shapes(profiles, members), KEY)
+    return rows.select(*KEY, "day", "cluster", resemblance(F.col("own"), F.col("middle")).alias("landscape"))
 
 
 def fits(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame) -> DataFrame:
     """Each valid night against each shown pattern of the window that ended the day before: breakdown, raw and shrunk score.
 
     patterns: (person, window_end, cluster, confidence, emergence, rank, shown); landscape: rows of landscape().
-    Dimensions without data carry no weight.
     """
     prior = patterns.where("shown").select(*KEY, "cluster", "confidence", "emergence", "rank").join(refs, [*KEY, "cluster"])
     rows = days.where("valid").withColumn("window_end", F.date_sub("day", 1)).join(prior, KEY)
-    rows = rows.join(landscape, [*KEY, "day", "cluster"], "left")
+    return scored(rows.join(landscape, [*KEY, "day", "cluster"], "left"))
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """rows, each a night beside a pattern's references and with landscape, with the other dimensions and the score. Dimensions without data carry no weight."""
     rows = rows.withColumns({
         "timing": _mean(_close("bed"), _close("wake")), "duration_fit": _close("duration"),
         "composition": _mean(*(clamp(1 - F.abs(F.col(s) - F.col(f"s_{s}")) / 0.18) for s in STAGES)),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, seeded
-from ..operators import associations, history, insights, pattern_rows, periodicity, windows
+from ..operators import associations, history, insights, pattern_rows, periodicity, reports, windows
 from ..operators.windows import KEY
 from ..scratch import kept
 from ..sources import adapters
@@ -150,6 +150,18 @@ def srt7_strongest_associations(spark: SparkSession, d: str) -> DataFrame:
     return both.orderBy(F.desc(F.round(F.col("strength") * F.col("confidence"), 9)), *KEY, "cluster", "id").limit(20)
 
 
+def snk2_associations_report(spark: SparkSession, d: str) -> DataFrame:
+    """The replay's report, line by line."""
+    windows_, shown, both = _observed(spark, d)
+    both = kept(both, "observed")
+    return reports.associations_report(history.replay_totals(windows_, shown, both), both)
+
+
+def snk3_cycles_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of feature cycles and of pattern cycles, line by line."""
+    return reports.cycles_report(kept(_feature_tests(spark, d), "features"), kept(join19_pattern_cycles(spark, d), "patterns"))
+
+
 _LONG = "long AS (" + " UNION ALL ".join(f"SELECT concat(person, '-{k}') AS series, day, {c}::DOUBLE AS y FROM days WHERE valid AND {c} IS NOT NULL" for k, c in periodicity.CATALOGUE.items()) + ")"
 _SERIES = f"{_LONG}, se AS (SELECT *, count(*) OVER w AS n, max(day) OVER w - min(day) OVER w + 1 AS span FROM long WINDOW w AS (PARTITION BY series) QUALIFY count(*) OVER w >= 50)"
 
@@ -236,8 +248,22 @@ _SOURCES = ("calendar", "exercise", "food", "wellness", "signals")
 
 QUERIES = {f.__name__: f for f in (
     per3_scan, srt9_best_period, per5_split, agg12_moments, per4_permutation, per4_few_runs, fn21_uniforms, fn23_block_orders, flt10_feature_cycles, srt8_strongest, agg34_counters, win11_tiles, per8_occurrences, join19_pattern_cycles,
-    set2_united, agg29_replay, agg30_by_source, srt7_strongest_associations,
+    snk2_associations_report, snk3_cycles_report, set2_united, agg29_replay, agg30_by_source, srt7_strongest_associations,
 )}
+_TOTALS = (
+    "SELECT count(*) AS windows, count(DISTINCT wm.person) AS persons, " + ", ".join(f"count_if(coalesce(visible, 0) = {k})::BIGINT AS visible_{k}" for k in range(5)) + ", (SELECT count(*) FROM rp) AS snapshots, (SELECT count(DISTINCT (person, window_end, cluster)) FROM un) AS explained, (SELECT count(*) FROM un) AS observations, (SELECT count(DISTINCT person) FROM un) AS explained_persons, "
+    + ", ".join(f"(SELECT count(*) FROM un WHERE source = '{s}') AS from_{s}" for s in _SOURCES) + ", sum(valid_days)::BIGINT AS valid_days, sum(core)::BIGINT AS core, sum(boundary)::BIGINT AS boundary, sum(unassigned)::BIGINT AS unassigned, count_if(boundary > 0)::BIGINT AS with_boundary, count_if(unassigned > 0)::BIGINT AS with_unassigned FROM wm LEFT JOIN wp USING (person, window_end)"
+)
+_WORDS = {
+    "windows": "windows", "persons": "persons", **{f"visible_{k}": f"windows with {k} shown patterns" for k in range(5)}, "snapshots": "shown patterns", "explained": "of them with an observation",
+    "observations": "observations", "from_calendar": "of the calendar", "from_exercise": "of exercise", "from_food": "of food", "from_wellness": "of wellness", "from_signals": "of joint signals",
+    "valid_days": "valid days", "core": "core days", "boundary": "boundary days", "unassigned": "unassigned days",
+}
+_FIGURES = " UNION ALL ".join(f"SELECT 1 AS part, {i} AS place, concat('- {text}: ', {c}) AS line FROM tot" for i, (c, text) in enumerate(_WORDS.items()))
+_REPORT = f"""SELECT 0 AS part, 0 AS place, '# Context of patterns' AS line UNION ALL {_FIGURES}
+UNION ALL SELECT 2, -1, '| person | window end | pattern | context | support | strength | confidence |' UNION ALL SELECT 2, 0, '|-|-|-|-|-|-|-|'
+UNION ALL SELECT 2, place::INT, concat('| ', person, ' | ', window_end, ' | ', cluster, ' | ', replace(id, '_', ' '), ' | ', support, ' | ', floor(round(strength * 100, 6) + 0.5)::BIGINT, ' | ', floor(round(confidence * 100, 6) + 0.5)::BIGINT, ' |') FROM tp WHERE place <= 12"""
+_TOP = "tp AS (SELECT *, row_number() OVER (ORDER BY round(strength * confidence, 9) DESC, person, window_end, cluster, id) AS place FROM un)"
 _BEST = sql("SELECT series, arg_min(period, (-round(explained, 9), period)) AS period FROM e7 GROUP BY series", _EACH.replace(_SERIES, "pe0 AS (SELECT 1)"), _fits("pe", "series"))
 ORACLES = {
     "per3_scan": sql("SELECT series, period, round(explained, 5) AS explained FROM e7", *upto("days"), _EACH, _fits("pe", "series")),
@@ -252,9 +278,8 @@ ORACLES = {
     "fn21_uniforms": sql("SELECT event_id, round(value, 12) AS value FROM uv", _uniform_sql("events", "event_id", "event_id * 2654435 + 4294960000", "user_id * 77777777 + 1")),
     "fn23_block_orders": sql("SELECT sid AS user_id, n, array_to_string(positions, ',') AS positions FROM bo", f"ru AS (SELECT user_id AS sid, count(*) AS n, {_text_seed_sql("concat('user-', user_id)")} AS seed, user_id % 5000 AS run FROM events GROUP BY user_id)", _ORDERS),
     "set2_united": sql(f"SELECT {_U} FROM un", *_OBSERVED),
-    "agg29_replay": sql(
-        "SELECT count(*) AS windows, count(DISTINCT wm.person) AS persons, " + ", ".join(f"count_if(coalesce(visible, 0) = {k})::BIGINT AS visible_{k}" for k in range(5)) + ", (SELECT count(*) FROM rp) AS snapshots, (SELECT count(DISTINCT (person, window_end, cluster)) FROM un) AS explained, (SELECT count(*) FROM un) AS observations, (SELECT count(DISTINCT person) FROM un) AS explained_persons, "
-        + ", ".join(f"(SELECT count(*) FROM un WHERE source = '{s}') AS from_{s}" for s in _SOURCES) + ", sum(valid_days)::BIGINT AS valid_days, sum(core)::BIGINT AS core, sum(boundary)::BIGINT AS boundary, sum(unassigned)::BIGINT AS unassigned, count_if(boundary > 0)::BIGINT AS with_boundary, count_if(unassigned > 0)::BIGINT AS with_unassigned FROM wm LEFT JOIN wp USING (person, window_end)", *_OBSERVED),
+    "snk2_associations_report": sql(_REPORT, *_OBSERVED, f"tot AS ({_TOTALS})", _TOP),
+    "agg29_replay": sql(_TOTALS, *_OBSERVED),
     "agg30_by_source": sql("SELECT source, count(*) AS observations, count(DISTINCT person) AS persons FROM un GROUP BY source", *_OBSERVED),
     "srt7_strongest_associations": sql(f"SELECT {_U} FROM un ORDER BY round(round(strength, 9) * round(confidence, 9), 9) DESC, person, window_end, cluster, id LIMIT 20", *_OBSERVED),
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import display, history, night_fit, pattern_rows
 from ..operators.patterns import window_counts
 from ..operators.windows import KEY
-from ..scratch import kept
+from ..scratch import kept, scratch_dir
+from ..streaming import nightly
 from .oracle import sql, upto
 from .queries import _patterns, _rounded, _rounds, _shared
 
@@ -48,6 +51,22 @@ def srt6_top_candidates(spark: SparkSession, d: str) -> DataFrame:
     return night_fit.ranked(night_fit.fits(*_compared(spark, d))).where("place <= 3").select("person", "day", "place", "cluster", "score")
 
 
+def str1_streamed_fits(spark: SparkSession, d: str) -> DataFrame:
+    """Fits of all nights as a stream gives them that reads days and snapshots file by file until both are read."""
+    days, members = _shared(spark, d)
+    published, days = _patterns(spark, d, days, members), _profiled(days)
+    shared = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = {"nights": days, "snapshots": nightly.snapshots(days, members, published)}
+    for name, rows in source.items():
+        rows.write.parquet(f"{shared}/{name}")
+    streams = [spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{shared}/{name}") for name, rows in source.items()]
+    out = nightly.scores(*streams).withColumn("person", F.col("person").cast("long")).drop("quality", "emergence", "rank", "cores")
+    with nightly.keyed_state(spark):
+        query = out.writeStream.format("parquet").option("checkpointLocation", f"{shared}/checkpoint").option("path", f"{shared}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _rounded(spark.read.schema(out.schema).parquet(f"{shared}/out"), [*_DIMENSIONS, "coverage", "raw", "reliability"], 7)
+
+
 def agg32_past_nights(spark: SparkSession, d: str) -> DataFrame:
     return res5_resonance(spark, d).select("person", "day", "past_nights")
 
@@ -258,12 +277,13 @@ ls AS (SELECT y3.person, y3.day, y3.cluster, y3.hour, actual, low, high, bed, wa
 _TO_MEMBERS = (*upto("members"), _CORES)
 
 QUERIES = {f.__name__: f for f in (
-    res1_landscape, res4_fits, res5_resonance, srt6_top_candidates, agg32_past_nights, prj10_pattern_rows, srt2_evidence, set1_variation, srt4_history,
+    res1_landscape, res4_fits, res5_resonance, srt6_top_candidates, str1_streamed_fits, agg32_past_nights, prj10_pattern_rows, srt2_evidence, set1_variation, srt4_history,
     viz1_stage_band, viz2_pattern_density, viz3_landscape, viz4_landscape_density, viz5_overlaps, viz6_calendar, viz8_overview, prj14_daily,
 )}
 ORACLES = {
     "res1_landscape": sql("SELECT person, window_end, day, cluster, round(landscape, 7) AS landscape FROM la", *upto("members"), _SHAPES, _LANDS),
     "res4_fits": sql("SELECT person, window_end, day, cluster, confidence, score, " + _rounds([*_DIMENSIONS, "coverage", "raw", "reliability"], 7) + " FROM fits", *_NIGHTS),
+    "str1_streamed_fits": sql("SELECT person, window_end, day, cluster, confidence, score, " + _rounds([*_DIMENSIONS, "coverage", "raw", "reliability"], 7) + " FROM fits", *_NIGHTS),
     "res5_resonance": sql("SELECT * FROM re", *_NIGHTS, _BEST),
     "srt6_top_candidates": sql("SELECT person, day, place, cluster, score FROM fr WHERE place <= 3", *_NIGHTS),
     "agg32_past_nights": sql("SELECT person, day, coalesce(count_if(valid) OVER (PARTITION BY person ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS past_nights FROM days", *upto("days")),

@@ -7,6 +7,8 @@ a day the last one wins.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,16 +93,33 @@ def persons(rows: DataFrame) -> DataFrame:
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """Day rows of an exported envelope: participants, each with its days. Missing members are null."""
+    """Day rows of an exported envelope, one file or a folder of files: participants, each with its days. Missing members are null."""
     whole = spark.read.schema(f"schemaVersion string, participants array<struct<id: string, label: string, coverage: double, days: array<struct<{ENVELOPE_DAY}>>>>").json(path, multiLine=True)
     people = whole.select("schemaVersion", F.explode("participants").alias("p"))
     rows = people.select("schemaVersion", F.col("p.id").alias("person"), F.explode("p.days").alias("d")).select("schemaVersion", "person", "d.*")
     return rows.withColumn("day", F.to_date("date")).withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
+def envelopes(days: DataFrame, version: str = "1") -> DataFrame:
+    """(person, content): for each person an envelope of one participant as JSON, its days in order of their dates.
+
+    Columns of a day that ENVELOPE_DAY names go out, missing ones as nulls that are left out; coverage is the rounded percentage of valid days.
+    """
+    wanted = [part.split(":")[0].strip() for part in re.split(r", (?![^<]*>)", ENVELOPE_DAY)]
+    have = days.withColumn("date", F.date_format("day", "yyyy-MM-dd"))
+    have = have.withColumn("id", F.concat_ws("-", F.col("person").cast("string"), "date")) if "id" not in days.columns else have
+    day = F.struct(*(F.col(c) for c in ["date", *(c for c in wanted if c != "date")] if c in have.columns))
+    people = have.groupBy("person").agg(F.sort_array(F.collect_list(day)).alias("days"), F.round(100 * F.avg(F.col("valid").cast("double"))).alias("coverage"))
+    own = F.struct(F.col("person").cast("string").alias("id"), F.concat(F.lit("Person "), F.col("person").cast("string")).alias("label"), "coverage", "days")
+    return people.select("person", F.to_json(F.struct(F.lit(version).alias("schemaVersion"), F.array(own).alias("participants"))).alias("content"))
+
+
 def write_envelope(days: DataFrame, validation: DataFrame, path: str) -> None:
-    """Day rows as JSON, a folder a person, and one JSON file of validation figures beside them."""
-    write_days(days, f"{path}/participants", "json")
+    """Envelopes that read_envelope() reads, a file a person, and one JSON file of validation figures beside their folder.
+
+    A person's days are one aggregation, so they are one row; persons are written in parallel.
+    """
+    envelopes(days).select("content").write.mode("overwrite").option("maxRecordsPerFile", 1).text(f"{path}/participants")
     validation.coalesce(1).write.mode("overwrite").json(f"{path}/validation")
 
 

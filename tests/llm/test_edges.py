@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.llm import decontaminate, host_rules, language_id, packing, url_filter
 
@@ -81,9 +82,32 @@ def test_url_filter_held_out_names(spark, split):
     model = url_filter.fit(split[0].select("url", "blocked"))
     held = split[1].selectExpr("url", "blocked", "monotonically_increasing_id() AS page_id").collect()
     judged = {r.page_id: r for r in url_filter.judge(spark.createDataFrame([(r.page_id, r.url) for r in held], "page_id long, url string"), model, rules=()).collect()}
-    right = sum((judged[r.page_id].verdict == "block") == bool(r.blocked) for r in held) / len(held)
-    share = sum(bool(r.blocked) for r in held) / len(held)
-    assert right > max(share, 1 - share), (right, share)  # names are unseen, so only parts of them help; 0.70 was measured
+    hits = sum(judged[r.page_id].verdict == "block" and bool(r.blocked) for r in held)
+    said, there = sum(r.verdict == "block" for r in judged.values()), sum(bool(r.blocked) for r in held)
+    # Names are unseen, so only parts of them help; 89 of 98 found and 2 of 178 wrong were measured.
+    assert hits / said >= 0.9 and hits / there >= 0.8, (hits, said, there)
+
+
+def test_grams_are_the_distinct_hashed_pieces_of_three_to_five_characters(spark):
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    urls = ["http://Ab.org/x?q", "http://a", "http://é.x/日本🙂\n/ab", "", "a://"]
+    host, path = url_filter.host_and_path(F.col("url"))
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", host.alias("h"), path.alias("p"), url_filter.grams(host, path).alias("g")).collect()
+    for r in got:
+        s = f"^{r.h}{r.p.translate(str.maketrans(url_filter.UPPER, url_filter.LOWER))}$"
+        want = {signed(xxhash.xxh64(s[i : i + n].encode(), 42).intdigest()) % url_filter.BUCKETS for n in url_filter.GRAMS for i in range(len(s) - n + 1)}
+        assert set(r.g) == want and len(r.g) == len(want), r.url
+
+
+def test_a_url_of_a_million_characters(spark):
+    import time
+
+    began = time.time()
+    pages = spark.createDataFrame([(1, "http://x.org/" + "abcdefghij" * 100_000)], "page_id long, url string")
+    row = url_filter.judge(pages, ([0.0] * url_filter.BUCKETS, -1.0)).first()
+    assert row.verdict == "allow" and len(row.path) == 1_000_001 and time.time() - began < 60
 
 
 def test_url_edges(spark):

@@ -64,10 +64,19 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """Distinct hashed n-grams, as places among the weights."""
-    s = F.concat(F.lit("^"), host, F.translate(path, UPPER, LOWER), F.lit("$"))
-    every = [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.substr(s, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in GRAMS]
-    return F.array_distinct(F.concat(*every))
+    """Distinct hashed n-grams, as places among the weights.
+
+    The characters are cut apart once, so the work grows with the length of the url, however long it is.
+    """
+    s = F.regexp_extract_all(F.concat(F.lit("^"), host, F.translate(path, UPPER, LOWER), F.lit("$")), F.lit("(?s)."), F.lit(0))
+    places = lambda chars, n: F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    gram = lambda chars, i, n: F.pmod(F.xxhash64(F.concat(*(F.get(chars, i + k) for k in range(n)))), F.lit(BUCKETS)).cast("int")
+    every = lambda chars: F.concat(*(F.transform(places(chars, n), _at(gram, chars, n)) for n in GRAMS))
+    return F.array_distinct(F.flatten(F.transform(F.array(s), every)))
+
+
+def _at(gram, chars: Column, n: int):
+    return lambda i: gram(chars, i, n)
 
 
 def _margin(idx: Column, weights: list[float], bias: float) -> Column:
@@ -127,4 +136,5 @@ def judge(pages: DataFrame, model: tuple[list[float], float], id_col: str = "pag
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url, as judge() states them for nulls, ties, repeats and long urls; an empty table gives no rows."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), fit(labelled_urls(spark)))

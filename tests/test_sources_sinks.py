@@ -60,7 +60,7 @@ def test_an_envelope_reads_back_as_it_was_written(spark, tmp_path):
     days = [{"id": f"{p}-{i}", "date": f"2024-01-{i + 1:02d}", "valid": i != 1, **({} if i == 1 else {"bed": 23.5 + i, "nap": False, "stages": {"deep": 0.2, "light": 0.5, "rem": 0.2, "wake": 0.1}, "profile": [0.0, 1.5]})} for p in ("p1",) for i in range(4)]
     (tmp_path / "e.json").write_text(json.dumps({"schemaVersion": "1", "participants": [{"id": p, "label": p, "coverage": 75, "days": days} for p in ("p1", "p2", "p10")]}))
     rows = archive.read_envelope(spark, f"{tmp_path}/e.json")
-    archive.write_envelope(rows, spark.createDataFrame([(3,)], "persons long"), f"{tmp_path}/out")
+    archive.export_envelopes(rows, spark.createDataFrame([(3,)], "persons long"), f"{tmp_path}/out")
     back = archive.read_envelope(spark, f"{tmp_path}/out/participants")
     assert back.schema == rows.schema
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))

@@ -138,13 +138,18 @@ def reason() -> Column:
     return F.when(F.col("state") == "different", F.concat(F.lit("closest_"), strongest)).when(F.col("state") == "mixed", "between").otherwise(familiar)
 
 
+def past_nights() -> Column:
+    """How many valid days of the person came before a day."""
+    return F.coalesce(F.count_if("valid").over(Window.partitionBy("person").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
 def resonance(days: DataFrame, patterns: DataFrame, refs: DataFrame, landscape: DataFrame) -> DataFrame:
     """A row for each day: unavailable (not valid, or no profile), learning (nothing to compare with) or the state of best().
 
     days holds profile. past_nights counts the valid days before.
     """
     found = best(fits(days, patterns, refs, landscape))
-    past = F.coalesce(F.count_if("valid").over(Window.partitionBy("person").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    past = past_nights()
     rows = days.select("person", "day", (F.col("valid") & (F.coalesce(F.size("profile"), F.lit(0)) > 0)).alias("available"), past.alias("past_nights"))
     rows = rows.join(found, ["person", "day"], "left")
     has = F.col("available")

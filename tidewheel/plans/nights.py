@@ -11,6 +11,7 @@ from ..operators import display, history, night_fit, pattern_rows
 from ..operators.patterns import window_counts
 from ..operators.windows import KEY
 from ..scratch import kept, scratch_dir
+from ..sources import adapters
 from ..streaming import nightly
 from .oracle import sql, upto
 from .queries import _patterns, _rounded, _rounds, _shared
@@ -68,7 +69,7 @@ def str1_streamed_fits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg32_past_nights(spark: SparkSession, d: str) -> DataFrame:
-    return res5_resonance(spark, d).select("person", "day", "past_nights")
+    return adapters.days(spark, d).select("person", "day", night_fit.past_nights().alias("past_nights"))
 
 
 _ROW_NUMBERS = ["nap_share", "band_left", "band_width", *(f"{s}_{p}" for s in pattern_rows.STAGES for p in ("p15", "p50", "p85")), *(f"{x}_{e}" for x in ("start", "wake", "duration") for e in ("low", "high"))]

@@ -114,7 +114,7 @@ def envelopes(days: DataFrame, version: str = "1") -> DataFrame:
     return people.select("person", F.to_json(F.struct(F.lit(version).alias("schemaVersion"), F.array(own).alias("participants"))).alias("content"))
 
 
-def write_envelope(days: DataFrame, validation: DataFrame, path: str) -> None:
+def export_envelopes(days: DataFrame, validation: DataFrame, path: str) -> None:
     """Envelopes that read_envelope() reads, a file a person, and one JSON file of validation figures beside their folder.
 
     A person's days are one aggregation, so they are one row; persons are written in parallel.
@@ -123,6 +123,12 @@ def write_envelope(days: DataFrame, validation: DataFrame, path: str) -> None:
     validation.coalesce(1).write.mode("overwrite").json(f"{path}/validation")
 
 
+def write_envelope(days: DataFrame, validation: DataFrame, path: str) -> None:
+    """Day rows as JSON lines, a folder a person, and one JSON file of validation figures beside them."""
+    write_days(days, f"{path}/participants", "json")
+    validation.coalesce(1).write.mode("overwrite").json(f"{path}/validation")
+
+
 def resting(spark: SparkSession, root: str, below: str = "fitbit/resting_heart_rate.json") -> DataFrame:
     """(person, day, resting_bpm): values from 30 to 120, two digits."""
     rows = read_json(spark, root, below, RESTING).select("person", "ord", moment(F.col("dateTime")).cast("date").alias("day"), F.col("value.value").try_cast("double").alias("x"))

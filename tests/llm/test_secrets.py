@@ -59,3 +59,45 @@ def test_edges(spark, model):
     got = S.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans"), model=model).collect()
     assert sorted((r.doc_id or 0, len(r.spans)) for r in got) == [(0, 1), (1, 0), (1, 0), (1, 0), (2, 1), (2, 1)]
     assert S.scan(spark.createDataFrame([], "doc_id long, text string"), model=model).collect() == []
+
+
+CONTEXTS = ("{}", "/home/people/projects/archive/{}/index", "http://host/static/images/gallery/{}/page", "access_identifier={}", "session_manager_{}_backup")
+
+
+@pytest.mark.parametrize("context", CONTEXTS)
+def test_random_keys_joined_to_ordinary_text_are_found(model, context):
+    import random
+    import string
+
+    rng = random.Random(11)
+    for n in (20, 24, 32, 40):
+        found = 0
+        for _ in range(100):
+            key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+            text = context.format(key)
+            at = text.index(key)
+            base = S.base_spans(text)
+            found += any(a <= at and e >= at + n for a, _, e in base + S.markov_spans(text, base, model))
+        assert found >= 90, (context, n, found)
+
+
+def test_paths_and_names_without_keys_have_no_spans(model):
+    for text in ("/home/people/projects/archive/2024/index/settings_manager.backup", "http://host/static/images/gallery/landscape-overview/page", "access_identifier=development_environment", "international-classification-of-diseases"):
+        assert S.markov_spans(text, S.base_spans(text), model) == []
+
+
+def test_many_keys_of_a_very_long_run_are_found_in_one_pass(model):
+    import random
+    import string
+    import time
+
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32)) for _ in range(2000)]
+    text = "/projects/archive/documents/language/settings/library/collection/".join(["", *keys, ""])
+    began = time.time()
+    spans = S.markov_spans(text, [], model)
+    assert time.time() - began < 20
+    covered = np.zeros(len(text), bool)
+    for a, _, e in spans:
+        covered[a:e] = True
+    assert sum(covered[text.index(k) : text.index(k) + 32].all() for k in keys[:200]) >= 195

@@ -3,7 +3,7 @@
 Two first-order character models are trained from labelled samples, one on random strings and one on what is
 written on purpose: identifiers, paths, long words, numbers, ruled lines. A run of key characters of MIN_RUN or more,
 or what base spans leave of one, is reported as ``markov`` if its mean log-likelihood ratio reaches a threshold that falls with its
-length. Nothing but the ratio decides.
+length. Of a run that does not, as of a key in a path, the stretches are reported whose ratios alone add up to as much. Beside that least length nothing but the ratio decides.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ MIN_RUN = 16
 KEY_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: What parts the words of paths, addresses and names; a stretch within a run is widened to the next of them.
+MARKS = "/_=+-"
+WORD = re.compile("[^/_=+-]+")
 #: A run of n characters is random from a mean log ratio (natural logarithm, a character) of MIN_RATIO + MORE / n on.
 MIN_RATIO, MORE = 0.45, 8.0
 
@@ -148,13 +151,52 @@ def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> Iterator[
         yield start, end
 
 
+def stretches(run: str, model: np.ndarray, least: float = MIN_RATIO) -> list[tuple[int, int]]:
+    """Stretches of a run whose log ratios exceed `least` a character by MORE in sum, each widened to the marks around it, in one pass.
+
+    A sum starts anew where it falls below 0. A stretch ends at its peak, once the sum has fallen MORE below it. Where a widened stretch is under MIN_RUN or no longer
+    reaches MORE, the words in it that do by themselves count; so a word with a few rare letters goes.
+    """
+    codes = _CODE[np.frombuffer(run.encode("latin-1"), np.uint8)]
+    gains = model[np.concatenate(([0], codes[:-1])), codes] - least
+    sums = np.concatenate(([0], np.cumsum(gains)))
+    if (sums - np.minimum.accumulate(sums)).max() < MORE:
+        return []
+    found, start, end, total, peak = [], 0, 0, 0.0, 0.0
+    for i, gain in enumerate([*gains.tolist(), -np.inf]):
+        total += gain
+        if total > peak:
+            peak, end = total, i + 1
+        if total < 0 or peak - total >= MORE:
+            if peak >= MORE:
+                found.append((start, end))
+            start, total, peak = i + 1, 0.0, 0.0
+    wide: list[tuple[int, int]] = []
+    for a, e in found:
+        floor = wide[-1][1] if wide else 0
+        while a > floor and run[a - 1] not in MARKS:
+            a -= 1
+        while e < len(run) and run[e] not in MARKS:
+            e += 1
+        if a < floor:  # within the word that the stretch before was widened to
+            a = floor
+        words = [(a, e), *((a + m.start(), a + m.end()) for m in WORD.finditer(run[a:e]))]
+        enough = [(x, y) for x, y in words if y - x >= MIN_RUN and sums[y] - sums[x] >= MORE]
+        wide += enough[:1] if enough and enough[0] == (a, e) else enough
+    return wide
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], model: np.ndarray, least: float = MIN_RATIO) -> list[tuple[int, int, int]]:
-    """Runs, or what base spans leave of them, that the models call random."""
+    """Runs, or what base spans leave of them, that the models call random; of others their random stretches."""
     found = []
     for m in KEY_RUN.finditer(text):
         for a, e in outside(m.start(), m.end(), base):
-            if e - a >= MIN_RUN and ratio(text[a:e], model) >= least + MORE / (e - a):
+            if e - a < MIN_RUN:
+                continue
+            if ratio(text[a:e], model) >= least + MORE / (e - a):
                 found.append((a, 3, e))
+            else:
+                found += [(a + x, 3, a + y) for x, y in stretches(text[a:e], model, least)]
     return found
 
 

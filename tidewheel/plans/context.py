@@ -76,7 +76,7 @@ def fn17_interpolated(spark: SparkSession, d: str) -> DataFrame:
     series = e.select((F.col("user_id") % 16).alias("person"), F.col("ts").cast("date").alias("day"), second.alias("at"), "value")
     asked = kept(adapters.nights(spark, d).select("person", F.col("night").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(28))).alias("i")), "asked")
     points = asked.withColumn("at", F.col("i").cast("long") * 3085)
-    return _rounded(asof.interpolated(points, series, ["person", "day"]).select("person", "day", F.col("i").cast("long").alias("i"), "value"), ["value"], 7)
+    return _rounded(asof.interpolated(points, series, ["person", "day"]).select("person", "day", F.col("i").cast("long").alias("i"), "value"), ["value"], 10)
 
 
 def his1_history(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ ORACLES = {
     "srt5_leads": sql("SELECT cp.person, cp.window_end, cp.cluster, id, source, statement FROM cp LEFT JOIN le USING (person, window_end, cluster)", *_EVIDENCE, _LEADS),
     "clu3_silhouette": sql("SELECT person, window_end, days, clusters, CASE WHEN clusters > 1 THEN round(score, 7) END AS silhouette FROM sl", *upto("labelled"), _PAIRED),
     "clu4_agreement": sql("SELECT person, window_end, n, round(CASE WHEN most = expected THEN 1 ELSE (both_same - expected) / (most - expected) END, 7)::DOUBLE AS agreement FROM rx", *upto("labelled"), _RAND),
-    "fn17_interpolated": sql("SELECT person, day, i, round(CASE WHEN lv IS NULL THEN rv WHEN rv IS NULL THEN lv ELSE lv * (1 - (sec - ls) / (rs - ls)) + rv * ((sec - ls) / (rs - ls)) END, 7) AS value FROM nb2", _AT),
+    "fn17_interpolated": sql("SELECT person, day, i, round(CASE WHEN lv IS NULL THEN rv WHEN rv IS NULL THEN lv ELSE lv * (1 - (sec - ls) / (rs - ls)) + rv * ((sec - ls) / (rs - ls)) END, 10) AS value FROM nb2", _AT),
     "his1_history": sql("""SELECT person, selected_end, k, window_end, greatest(first_day, window_end - 41) AS period_start, cluster, rank, status, emergence
         FROM (SELECT d.person, d.day AS selected_end, k::BIGINT AS k, (d.day - 42 * k::INT) AS window_end, first_day FROM days d JOIN (SELECT person, min(day) AS first_day FROM days GROUP BY person) f ON d.person = f.person, (SELECT unnest([1, 2, 3]) AS k)) a JOIN pb USING (person, window_end) WHERE shown AND window_end >= first_day""", *upto("published")),
     "rpl1_windows": sql("SELECT person, window_end, valid_days, core, boundary, unassigned, coalesce(candidates, 0) AS candidates, coalesce(visible, 0) AS visible, coalesce(candidates, 0) - coalesce(visible, 0) AS hidden FROM wm LEFT JOIN wp USING (person, window_end)", *upto("published"), _REPLAY),

@@ -57,6 +57,49 @@ def test_as_all_pairs_from_few_candidates(spark, monkeypatch):
     assert sum(seen) < 5 * len(docs)
 
 
+def template(n):
+    """n texts of one template of 400 words with 40 slots, each with 20 of 40 fixed alternatives; hardly any is near another."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    docs = []
+    for i in range(n):
+        own = list(base)
+        for slot in rng.sample(range(40), 20):
+            own[slot * 10 + 4] = f"alternative{slot}"
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+def test_texts_of_one_template(spark, monkeypatch):
+    """No difference is rare: same components as all pairs, by crowds whose keys and pairs stay in the thousands a text (91,000 rows a text before)."""
+    docs, seen = template(300), []
+    met, finer, crowded = near_dedup._met, near_dedup._finer, near_dedup._crowded
+
+    def counted(rows):
+        seen.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_dedup, "_met", lambda *a: counted(met(*a)))
+    monkeypatch.setattr(near_dedup, "_finer", lambda *a: counted(finer(*a)))
+    monkeypatch.setattr(near_dedup, "_crowded", lambda *a: counted(crowded(*a)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(docs)
+    assert len(seen) == 4 and sum(seen) < 5000 * len(docs)
+
+
+def test_finer_keys_find_pairs_at_the_threshold():
+    """At each fineness a pair of similarity 0.75 shares a key, and one of 0.3 hardly ever."""
+    rng = random.Random(3)
+    places = {level: near_dedup.drawn(near_dedup.finer_rows(level)) for level in (1, 4, 6)}
+    for _ in range(40):
+        shingles = near_dedup.mixed(near_dedup.np.array(rng.sample(range(1 << 40), 1700), near_dedup.np.uint64))
+        low = [near_dedup.minhashes(s, near_dedup._POOL_A, near_dedup._POOL_B) for s in (shingles[:700], shingles[100:800], shingles[323:1023])]
+        for level, at in places.items():
+            keys = [set(near_dedup.finer_keys(x, at, level).tolist()) for x in low]
+            assert keys[0] & keys[1]
+            assert level < 4 or len(keys[0] & keys[2]) < 3
+
+
 def test_null_ids_repeats_clashing_columns_long_text(spark):
     text = " ".join(f"x{i}" for i in range(60_000))
     rows = [(1, text, "s"), (2, text + " y", "s"), (2, text + " y", "s"), (None, text, "s"), (5, "z " * 100_000, None), (6, "z " * 7, None), (7, None, None)]

@@ -14,6 +14,10 @@ left apart; none of them forms the pairs of a group:
    therefore shows only the rarest of its differences, as many as such an overlap can't avoid (a prefix filter);
    differences that no other set of that leader has are shown to nobody. Neither independent edits of one text
    nor a passage that many texts hold make pairs.
+4. Where more than APART classes outside the largest component show one difference, as texts filled from one template
+   with few alternatives do, no pairs are formed by it. Such classes are banded anew, each leader's by itself, with as many
+   MinHash values a key as leave a class a fraction of a chance partner, and as many keys as find a pair at the threshold.
+   The keys of n classes grow as n^1.56, not as n^2. An eighth of the keys goes first, as what it joins need not meet again.
 
 Every candidate is confirmed on full sets, so links are exact. A pair at the threshold shares
 no bucket with probability (1 - 0.75^ROWS)^BANDS, 4e-6; more similar pairs less.
@@ -39,9 +43,19 @@ BITS = 2048
 PERCENT = 75
 #: Sketches below this estimate are weeded: five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.63
+#: Shingles of recent texts that a worker keeps, 8 bytes each and their texts.
+KEPT = 1_000_000
+#: Classes outside the largest component that may meet all others of a group by one difference.
+APART = 64
+#: Finer keys draw their values from so many; classes of a template are taken to be as similar as CHANCE.
+POOL, CHANCE = 2048, 0.6
+#: A pair at the threshold shares no finer key with probability exp(-SURE), 2e-6 (some 1e-5 as keys draw from one pool).
+SURE = 13.0
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
+_POOL_A = _RNG.integers(0, 1 << 32, POOL, np.uint32) | np.uint32(1)
+_POOL_B = _RNG.integers(0, 1 << 32, POOL, np.uint32)
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 _PLACE = np.arange(PERMUTATIONS, dtype=np.uint64) << np.uint64(32)
@@ -59,14 +73,33 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mixed(s))
 
 
-def minhashes(s: np.ndarray) -> np.ndarray:
-    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
+def minhashes(s: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     x = (s >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, (x[at : at + 2048, None] * _A + _B).min(axis=0), out=low)
+    step = (2048 * PERMUTATIONS) // len(a)
+    for at in range(0, len(x), step):
+        np.minimum(low, (x[at : at + step, None] * a + b).min(axis=0), out=low)
     return low
 
 
+def finer_rows(level: int) -> int:
+    """MinHash values a key so that 4^level classes of similarity CHANCE leave a class an eighth of a chance partner in each bucket."""
+    return max(ROWS, int(np.ceil(np.log(8.0 * 4.0**level) / -np.log(CHANCE))))
+
+
+def drawn(rows: int) -> np.ndarray:
+    """The places in the pool that the finer keys of `rows` values are made of: a row for each key."""
+    keys = int(np.ceil(SURE / (PERCENT / 100) ** rows))
+    return np.random.Generator(np.random.PCG64(rows)).integers(0, POOL, (keys, rows))
+
+
+def finer_keys(low: np.ndarray, places: np.ndarray, level: int) -> np.ndarray:
+    key = mixed(np.arange(1, len(places) + 1, dtype=np.uint64) + np.uint64(level << 32))
+    for k in range(places.shape[1]):
+        key = mixed(key + low[places[:, k]].astype(np.uint64) * _MULTIPLIERS[k % len(_MULTIPLIERS)])
+    return key
+
+
 def band_keys(low: np.ndarray) -> np.ndarray:
     v = low.reshape(BANDS, ROWS // 2, 2).astype(np.uint64)
     key = _BAND
@@ -135,16 +168,19 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(a, b, set of a, set of b) of rows with texts. Sets of a few texts are kept, as leaders come again and again."""
-    hashes, kept = WordHashes(), {}
+    """(a, b, set of a, set of b) of rows with texts. Sets are kept up to KEPT shingles, as leaders come again and again."""
+    hashes, kept, held = WordHashes(), {}, 0
     for batch in batches:
         for a, b, *both in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
             sets = []
             for text in both:
                 if (s := kept.get(text)) is None:
-                    if len(kept) > 200:
+                    s = shingle_set(text, hashes)
+                    if held + len(s) > KEPT:
                         kept.clear()
-                    kept[text] = s = shingle_set(text, hashes)
+                        held = 0
+                    kept[text] = s
+                    held += len(s)
                 sets.append(s)
             yield a, b, *sets
 
@@ -244,19 +280,64 @@ def _shown(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def _met(shown: DataFrame, side: Callable[[str], DataFrame], near: Column) -> DataFrame:
+def _groups(shown: DataFrame) -> DataFrame:
+    """shown with at (leader and difference), main (the largest component there) and apart (classes outside it), where several components meet."""
+    many = shown.groupBy("leader", "h", "root").agg(F.count("*").alias("n")).groupBy("leader", "h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"))
+    few = many.where("roots > 1").select(F.struct("leader", "h").alias("at"), "main", "apart")
+    return written(salted_join(shown.withColumn("at", F.struct("leader", "h")), few, "at", "class_id"), "groups")
+
+
+def _met(groups: DataFrame, side: Callable[[str], DataFrame], near: Column) -> DataFrame:
     """(a, b): classes of different components that show one difference to one leader, where near holds.
 
-    In each group one side leaves out the largest component, so that its classes don't meet each other.
+    In each group one side leaves out the largest component and has at most APART classes, so that rows grow with shown differences.
     """
-    many = shown.groupBy("leader", "h", "root").agg(F.count("*").alias("n")).groupBy("leader", "h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    groups = written(shown.join(many.where("roots > 1").select("leader", "h", "main"), ["leader", "h"]), "groups")
-    half = lambda x, rows: rows.select("leader", "h", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("inside").alias(f"inside_{x}"), F.col("short").alias(f"short_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("need").alias(f"need_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}")).join(side(x), x)
+    half = lambda x, rows: rows.select("at", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("inside").alias(f"inside_{x}"), F.col("short").alias(f"short_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("need").alias(f"need_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}")).join(side(x), x)
     allowed = (F.col("inside_a") != F.col("inside_b")) | (F.col("short_a") & F.col("short_b"))
     # At the first difference that both show, what follows it must hold the rest of the overlap.
     allowed = allowed & (14 * (1 + F.least("rest_a", "rest_b")) >= F.col("need_a") + F.col("need_b"))
     once = F.col("main_b") | (F.col("root_a") < F.col("root_b"))
-    return half("a", groups.where("root <> main")).join(half("b", groups), ["leader", "h"]).where((F.col("root_a") != F.col("root_b")) & once & allowed & near).select("a", "b").distinct()
+    cold = groups.where(F.col("apart") <= APART)
+    both = salted_join(half("b", cold), half("a", cold.where("root <> main")), "at", "b", cold)
+    return both.where((F.col("root_a") != F.col("root_b")) & once & allowed & near).select("a", "b").distinct()
+
+
+def _finer(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, class_id, first) for the classes (leader, class_id) of crowds: keys as fine as the crowd of a leader needs.
+
+    Classes of one leader share a fineness, and most of a class's leaders ask for the same. first marks an eighth of the keys. A written table.
+    """
+    sizes = crowd.groupBy("leader").agg(F.count("*").alias("n"))
+    level = F.ceil(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0)) - 1e-9)
+    levels = salted_join(crowd, sizes, "leader", "class_id").groupBy("class_id").agg(F.collect_set(level).alias("levels"))
+    sized = levels.join(texts.withColumnRenamed("doc_id", "class_id"), "class_id").select("class_id", "levels", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, places = WordHashes(), {}
+        for batch in batches:
+            for class_id, levels, text in zip(*(batch.column(c).to_pylist() for c in ("class_id", "levels", "text")), strict=True):
+                low = minhashes(shingle_set(text, hashes), _POOL_A, _POOL_B)
+                for level in levels:
+                    if level not in places:
+                        places[level] = drawn(finer_rows(level))
+                    keys = finer_keys(low, places[level], level).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), class_id)), pa.array(np.arange(len(keys)) % 8 == 0)], ["key", "class_id", "first"])
+
+    return written(by_batch(sized, run, "key long, class_id long, first boolean"), "finer")
+
+
+def _crowded(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): classes of different components that share a finer key; one side leaves out the bucket's largest component."""
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    held = salted_join(keys, shared, "key", "class_id").select("key", "class_id")
+    rooted = written(held.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), "rooted")
+    many = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("key", "main")
+    open_rows = written(salted_join(rooted, many, "key", "class_id"), "crowds")
+    half = lambda x, rows: rows.select("key", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}"))
+    both = salted_join(half("b", open_rows), half("a", open_rows.where("root <> main")), "key", "b", open_rows)
+    pairs = written(both.where((F.col("root_a") != F.col("root_b")) & (F.col("main_b") | (F.col("root_a") < F.col("root_b")))).select("a", "b").distinct(), "pairs")
+    drop_written(rooted, open_rows)
+    return pairs
 
 
 def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -302,8 +383,15 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found(weeded(second)):
         open_rows = _open(open_rows, roots)
     shown = _shown(open_rows, texts)
-    found(written(_met(shown, side, near), "pairs"))
-    drop_written(texts, shared, lead, open_rows, shown)
+    groups = _groups(shown)
+    found(written(_met(groups, side, near), "pairs"))
+    crowd = written(groups.where(F.col("apart") > APART).select("leader", "class_id").distinct(), "crowd")
+    if not crowd.isEmpty():
+        keys = _finer(crowd, texts)
+        for part in (F.col("first"), ~F.col("first")):
+            found(weeded(_crowded(keys.where(part).select("key", "class_id"), roots)))
+        drop_written(keys)
+    drop_written(texts, shared, lead, open_rows, shown, groups, crowd)
     return rows, links, roots
 
 

@@ -15,7 +15,7 @@ left apart; none of them forms the pairs of a group:
    differences that no other set of that leader has are shown to nobody. Neither independent edits of one text
    nor a passage that many texts hold make pairs.
 4. Where more than APART classes outside the largest component show one difference, as texts filled from one template
-   with few alternatives do, no pairs are formed by it. Such classes are banded anew, each leader's by itself, with as many
+   with few alternatives do, and their pairs outnumber what follows, no pairs are formed by it. Such classes are banded anew with as many
    MinHash values a key as leave a class a fraction of a chance partner, and as many keys as find a pair at the threshold.
    The keys of n classes grow as n^1.56, not as n^2. An eighth of the keys goes first, as what it joins need not meet again.
 
@@ -280,24 +280,36 @@ def _shown(open_rows: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _level(n: Column) -> Column:
+    """The power of 4 that n classes need."""
+    return F.ceil(F.log(n.cast("double")) / F.log(F.lit(4.0)) - 1e-9)
+
+
 def _groups(shown: DataFrame) -> DataFrame:
-    """shown with at (leader and difference), main (the largest component there) and apart (classes outside it), where several components meet."""
+    """shown with at (leader and difference), main (the largest component there) and apart (classes outside it), where several components meet.
+
+    crowd: more than APART classes are outside, and over its leader such groups have more pairs than finer keys.
+    """
     many = shown.groupBy("leader", "h", "root").agg(F.count("*").alias("n")).groupBy("leader", "h").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("apart"))
     few = many.where("roots > 1").select(F.struct("leader", "h").alias("at"), "main", "apart")
-    return written(salted_join(shown.withColumn("at", F.struct("leader", "h")), few, "at", "class_id"), "groups")
+    held = written(salted_join(shown.withColumn("at", F.struct("leader", "h")), few, "at", "class_id"), "groups")
+    by = held.where(F.col("apart") > APART).groupBy("leader").agg(F.sum("apart").alias("pairs"), F.count_distinct("class_id").alias("n"))
+    keys = SURE / F.pow(F.lit(PERCENT / 100), F.ceil(F.log(8 * F.pow(F.lit(4.0), _level(F.col("n")))) / -np.log(CHANCE)))
+    crowds = by.where(F.col("pairs") > F.col("n") * keys).select("leader", F.lit(True).alias("crowd"))
+    return held.join(crowds, "leader", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)) & (F.col("apart") > APART))
 
 
 def _met(groups: DataFrame, side: Callable[[str], DataFrame], near: Column) -> DataFrame:
     """(a, b): classes of different components that show one difference to one leader, where near holds.
 
-    In each group one side leaves out the largest component and has at most APART classes, so that rows grow with shown differences.
+    In each group one side leaves out the largest component. Crowds are left to finer keys.
     """
     half = lambda x, rows: rows.select("at", F.col("class_id").alias(x), F.col("root").alias(f"root_{x}"), F.col("inside").alias(f"inside_{x}"), F.col("short").alias(f"short_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("need").alias(f"need_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}")).join(side(x), x)
     allowed = (F.col("inside_a") != F.col("inside_b")) | (F.col("short_a") & F.col("short_b"))
     # At the first difference that both show, what follows it must hold the rest of the overlap.
     allowed = allowed & (14 * (1 + F.least("rest_a", "rest_b")) >= F.col("need_a") + F.col("need_b"))
     once = F.col("main_b") | (F.col("root_a") < F.col("root_b"))
-    cold = groups.where(F.col("apart") <= APART)
+    cold = groups.where(~F.col("crowd"))
     both = salted_join(half("b", cold), half("a", cold.where("root <> main")), "at", "b", cold)
     return both.where((F.col("root_a") != F.col("root_b")) & once & allowed & near).select("a", "b").distinct()
 
@@ -308,8 +320,7 @@ def _finer(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     Classes of one leader share a fineness, and most of a class's leaders ask for the same. first marks an eighth of the keys. A written table.
     """
     sizes = crowd.groupBy("leader").agg(F.count("*").alias("n"))
-    level = F.ceil(F.log(F.col("n").cast("double")) / F.log(F.lit(4.0)) - 1e-9)
-    levels = salted_join(crowd, sizes, "leader", "class_id").groupBy("class_id").agg(F.collect_set(level).alias("levels"))
+    levels = salted_join(crowd, sizes, "leader", "class_id").groupBy("class_id").agg(F.collect_set(_level(F.col("n"))).alias("levels"))
     sized = levels.join(texts.withColumnRenamed("doc_id", "class_id"), "class_id").select("class_id", "levels", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,9 +394,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if found(weeded(second)):
         open_rows = _open(open_rows, roots)
     shown = _shown(open_rows, texts)
-    groups = _groups(shown)
+    groups = written(_groups(shown), "groups")
     found(written(_met(groups, side, near), "pairs"))
-    crowd = written(groups.where(F.col("apart") > APART).select("leader", "class_id").distinct(), "crowd")
+    crowd = written(groups.where("crowd").select("leader", "class_id").distinct(), "crowd")
     if not crowd.isEmpty():
         keys = _finer(crowd, texts)
         for part in (F.col("first"), ~F.col("first")):

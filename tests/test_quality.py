@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewheel.functions import scalar
 from tidewheel.functions.scalar import bpm_range
 from tidewheel.operators import asof, cluster_quality, clustering, insights
 from tidewheel.operators.windows import FEATURES
@@ -83,3 +85,10 @@ def test_leads_take_the_insight_then_the_strongest_association(spark):
 def test_bpm_ranges(spark):
     rows = spark.createDataFrame([(0, 50.0, 60.0), (None, None, None), (3, 49.5, 50.4), (3, 49.4, 55.5)], "n int, low double, high double")
     assert [r[0] for r in rows.select(bpm_range(F.col("n"), F.col("low"), F.col("high"))).collect()] == ["not enough data", "not enough data", "50 bpm", "49–56 bpm"]
+
+
+def test_halves_are_rounded_after_scaling(spark):
+    x = [7.33125 * 0.24374999999999997, 1.7869921874999998, -1.7869921874999998, 0.1234567894, 2.5, -0.0000000005, None, float("inf")]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(scalar.rounded(F.col("x"), 9).alias("y")).collect()]
+    duck = [duckdb.execute("SELECT round(?::DOUBLE, 9)", [v]).fetchone()[0] for v in x]
+    assert got == duck and got[1] == 1.786992188

@@ -17,7 +17,9 @@ _MEASURES = ["bed", "wake", "duration", "in_bed", "nap_hours", "quality", "deep"
 
 
 def _rounded(df: DataFrame, columns: list[str], digits: int = 9) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """df with these columns rounded; doubles as SQL engines do that scale them first."""
+    double = {f.name for f in df.schema if f.dataType.simpleString() == "double"}
+    return df.withColumns({c: fn.rounded(F.col(c), digits) if c in double else F.round(c, digits) for c in columns})
 
 
 def _rounds(columns: list[str], digits: int = 9) -> str:

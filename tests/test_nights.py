@@ -139,3 +139,31 @@ def test_envelope_round_trip(spark, tmp_path):
     assert [(r.person, str(r.day), r.valid, r.bed, r.profile) for r in rows.orderBy("day").collect()] == [("p1", "2024-01-01", True, 24.0, [0.0, 2.0]), ("p1", "2024-01-02", False, None, None)]
     archive.write_envelope(rows, spark.createDataFrame([(2,)], "persons long"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/participants")).count() == 2 and spark.read.json(str(tmp_path / "out/validation")).first().persons == 2
+
+
+def test_opening_of_crowded_nights(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng, night = random.Random(5), dt.datetime(2024, 1, 2)
+    rows = []
+    for person in range(3):
+        for i in range(40 if person < 2 else 3):
+            at = night + dt.timedelta(seconds=rng.randrange(-1200, 7000))
+            rows.append((person, night.date(), len(rows), at, rng.choice([0, 30, 60, 600, 1800]), rng.choice(["wake", "light", "deep", "other", ""]), rng.random() < 0.3))
+    got = sleep_days.opening(df := spark.createDataFrame(rows, "person long, night date, event_id long, seg_start timestamp_ntz, seconds int, level string, short boolean"))
+    item = F.struct("seg_start", "event_id", F.struct(sleep_days.seconds(F.col("seg_start")).alias("s"), (sleep_days.seconds(F.col("seg_start")) + F.col("seconds")).alias("e"), "level").alias("x"))
+    pick = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, item))), lambda y: y["x"])
+    whole = df.groupBy("person", "night").agg(pick(~F.col("short")).alias("data"), pick(F.col("short")).alias("short")).withColumn("start", sleep_days.night_start(F.col("night")))
+    want = whole.select("person", "night", sleep_days.first_minutes(F.col("data"), F.col("short"), F.col("start")).alias("x")).select("person", "night", "x.*")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()} and len({r.disruption for r in want.collect()}) > 1
+    depths = whole.select("person", "night", F.posexplode(sleep_days.profile(F.col("data"), F.col("short"), F.col("start"), F.col("start") + 8 * 3600)))
+    assert {tuple(r) for r in sleep_days.profiles(df).collect()} == {tuple(r) for r in depths.collect()}
+
+
+def test_no_night_is_gathered_in_one_array(spark):
+    from tidewheel.plans import QUERIES
+
+    for name in ("agg8_first_minutes", "join17_profile"):
+        assert "collect_list" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

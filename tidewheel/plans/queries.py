@@ -142,19 +142,13 @@ def join2_exercise(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(ingest.exercise_before(_nights(spark, d), adapters.exercise(spark, d)), ["minutes", "recent_minutes", "intensity_minutes"])
 
 
-def _staged(spark: SparkSession, d: str) -> DataFrame:
-    own = sleep_days.timelines(adapters.segments(spark, d)).withColumn("start", sleep_days.seconds(F.col("night").cast("timestamp_ntz")))
-    return own.withColumn("end", F.col("start") + 8 * 3600)
-
-
 def join17_profile(spark: SparkSession, d: str) -> DataFrame:
     """Depth at 29 instants of nights whose stages are events."""
-    rows = _staged(spark, d).select("person", "night", F.posexplode(sleep_days.profile(F.col("data"), F.col("short"), F.col("start"), F.col("end"))).alias("i", "depth"))
-    return rows.withColumn("i", F.col("i").cast("long"))
+    return sleep_days.profiles(adapters.segments(spark, d))
 
 
 def agg8_first_minutes(spark: SparkSession, d: str) -> DataFrame:
-    return _staged(spark, d).select("person", "night", sleep_days.first_minutes(F.col("data"), F.col("short"), F.col("start")).alias("x")).select("person", "night", "x.*")
+    return sleep_days.opening(adapters.segments(spark, d))
 
 
 def prj3_night_dates(spark: SparkSession, d: str) -> DataFrame:

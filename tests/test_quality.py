@@ -46,6 +46,19 @@ def test_values_between_neighbours_and_beyond_the_ends(spark):
     assert {r.value_of: r.value for r in got.collect()} == {1: 10, 2: 10, 3: 15, 4: 20, 5: 15, 6: 0, 7: 15, 8: 4, 9: 0}
 
 
+def test_neighbours_come_from_growing_frames_and_agree_with_numpy(spark):
+    rng = np.random.default_rng(4)
+    at, asked = np.sort(rng.integers(0, 500, 200)), rng.integers(-20, 520, 150)
+    known = [("k", float(a), float(v)) for a, v in zip(at, rng.random(200), strict=True)]
+    df = asof.interpolated(spark.createDataFrame([("k", float(a), i) for i, a in enumerate(asked.tolist())], "k string, at double, i int"), spark.createDataFrame(known, "k string, at double, value double"), ["k"])
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.i: r.value for r in df.collect()}
+    for i, t in enumerate(asked.tolist()):
+        left, right = max(((a, v) for _, a, v in known if a < t), default=None), min(((a, v) for _, a, v in known if a >= t), default=None)
+        mix = (t - left[0]) / (right[0] - left[0]) if left and right else 0
+        assert got[i] == pytest.approx(left[1] * (1 - mix) + right[1] * mix if left and right else (left or right)[1], abs=1e-12)
+
+
 def nights(spark, high):
     """14 work nights, six of the pattern, which show both signals; `high` of those stand high in noise."""
     start = dt.date(2024, 1, 1)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def interpolated(points: DataFrame, series: DataFrame, by: list[str], at: str = "at", value: str = "value") -> DataFrame:
     """points (by, at, ...) with value, linear between the neighbours in series (by, at, value); the ends go on, a key without a series gets 0.
 
-    Points and series are united and sorted by key and instant; a frame up to a row has the neighbour before, one from it on has that after. An instant that the series
-    has takes its value; of several values at one instant the least comes first. Rows of the series without an instant or value are passed over.
+    Points and series are united and sorted by key and instant; a frame up to a row has the neighbour before, and in the reverse order that after. Both frames grow by a
+    row at a time, where one that ends with the key would be read anew for each row. An instant that the series has takes its value; of several values at one instant the least comes first. Rows of the series without an instant or value are passed over.
     """
     rest = [c for c in points.columns if c not in (*by, at)]
     none = F.lit(None).cast("struct<at: double, value: double>")
@@ -19,7 +19,8 @@ def interpolated(points: DataFrame, series: DataFrame, by: list[str], at: str =
     known = known.select(*by, "_at", F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), F.struct(F.col("_at").alias("at"), F.col("_value").alias("value")).alias("_known"), F.lit(1).alias("_kind"), "_value")
     order = Window.partitionBy(*by).orderBy("_at", "_kind", "_value")
     left = F.last("_known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("_known", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*by).orderBy(F.desc("_at"), F.desc("_kind"), F.desc("_value"))
+    right = F.last("_known", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = asked.unionByName(known).select(*by, "_at", "_row", "_kind", left.alias("l"), right.alias("r")).where("_kind = 0")
     mix = (F.col("_at") - F.col("l.at")) / F.greatest(F.lit(1e-6), F.col("r.at") - F.col("l.at"))
     between = F.when(F.col("l").isNull(), F.col("r.value")).when(F.col("r").isNull(), F.col("l.value")).otherwise(F.col("l.value") * (1 - mix) + F.col("r.value") * mix)

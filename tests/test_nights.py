@@ -167,3 +167,30 @@ def test_no_night_is_gathered_in_one_array(spark):
 
     for name in ("agg8_first_minutes", "join17_profile"):
         assert "collect_list" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlapping_nights_own_their_samples_and_counts_alone_are_shuffled(spark):
+    from tidewheel.operators import ingest
+
+    t = dt.datetime(2024, 1, 1)
+    at = lambda h: t + dt.timedelta(hours=h)
+    spans = [("a", 0, 10), ("a", 4, 6), ("a", 8, 14), ("a", 13.5, 15.25), ("b", 1, 3)]
+    nights = spark.createDataFrame([(p, t.date() + dt.timedelta(k), at(s), at(e)) for k, (p, s, e) in enumerate(spans)], "person string, night date, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    rows = [(p, i, at(i * 0.01), 40 + i * 7 % 61, i % 4) for p in "ab" for i in range(1600)]
+    samples = spark.createDataFrame(rows, "person string, event_id long, ts timestamp_ntz, bpm int, confidence int")
+    want: dict = {}
+    for p, i, ts, bpm, sure in rows:
+        hit = sorted((s, k) for k, (q, s, e) in enumerate(spans) if q == p and at(s) <= ts < at(e))
+        if sure and hit:
+            want.setdefault((p, t.date() + dt.timedelta(hit[0][1])), []).append((i, ts, bpm, sure))
+    joined = ingest.samples_in_nights(samples, nights)
+    assert sorted((r.person, r.night, r.event_id) for r in joined.collect()) == sorted((*k, i) for k, v in want.items() for i, *_ in v)
+    found = ingest.heart_metrics(joined, 100, 0.5)
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString() and "row_number" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        v = want.pop((r.person, r.night))
+        bpm = sorted(x[2] for x in v)
+        assert (r.n, r.confident) == (len(v), pytest.approx(sum(x[3] >= 2 for x in v) / len(v)))
+        enough = len(v) >= 100 and r.coverage >= 0.5
+        assert (r.median_bpm, r.low_bpm) == ((bpm[-(-len(v) // 2) - 1], bpm[-(-len(v) // 10) - 1]) if enough else (None, None))
+    assert not want

@@ -8,28 +8,49 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clamp
 
 
+def owned(nights: DataFrame) -> DataFrame:
+    """nights with own_from: of nights of a person that overlap, an instant belongs to the one that began first; each owns what follows the ends of all before it.
+
+    Nights that own nothing go. (person, start_ts, night) orders a person's nights.
+    """
+    before = Window.partitionBy("person").orderBy("start_ts", "night").rowsBetween(Window.unboundedPreceding, -1)
+    return nights.withColumn("own_from", F.greatest("start_ts", F.max("end_ts").over(before))).where("own_from < end_ts")
+
+
 def samples_in_nights(samples: DataFrame, nights: DataFrame) -> DataFrame:
     """Interval join: each usable sample to the open night, start <= ts < end, that began first.
 
-    Nights are spread over the hours that they touch and meet samples by an equality of (person, hour).
+    Nights are made disjoint, spread over the hours that they touch and meet samples by an equality of (person, hour), so a sample meets one night and is not
+    compared with others.
     """
     usable = samples.where("bpm BETWEEN 30 AND 220 AND confidence >= 1").withColumn("hour", F.date_trunc("hour", "ts"))
-    spread = nights.withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "start_ts"), F.date_trunc("hour", "end_ts"), F.expr("interval 1 hour"))))
-    met = usable.join(spread, ["person", "hour"]).where("ts >= start_ts AND ts < end_ts")
+    spread = owned(nights).withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "own_from"), F.date_trunc("hour", "end_ts"), F.expr("interval 1 hour"))))
+    return usable.join(spread, ["person", "hour"]).where("ts >= own_from AND ts < end_ts").drop("hour", "own_from")
+
+
+def once(joined: DataFrame) -> DataFrame:
+    """One row a person and event_id, the one of the night that began first, where samples may repeat ids."""
     first = F.row_number().over(Window.partitionBy("person", "event_id").orderBy("start_ts", "night"))
-    return met.withColumn("r", first).where("r = 1").drop("r", "hour")
+    return joined.withColumn("r", first).where("r = 1").drop("r")
 
 
 def heart_metrics(joined: DataFrame, min_samples: int = 120, min_coverage: float = 0.5) -> DataFrame:
-    """Per night: samples, minute coverage, share of confident samples, and median and low bpm where there are enough."""
+    """Per night: samples, minute coverage, share of confident samples, and median and low bpm (the first that half, and a tenth, do not exceed) where there are enough.
+
+    Samples are counted by bpm and by minute where they lie; these counts, not samples, are shuffled.
+    """
     minutes = (F.unix_timestamp(F.col("end_ts").cast("timestamp")) - F.unix_timestamp(F.col("start_ts").cast("timestamp"))) / 60
-    g = joined.groupBy("person", "night").agg(
-        F.count("*").alias("n"), F.countDistinct(F.date_trunc("minute", "ts")).alias("seen"), F.max(minutes).alias("minutes"), F.avg((F.col("confidence") >= 2).cast("double")).alias("confident"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY bpm)").alias("p50"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY bpm)").alias("p10"),
+    rows = joined.select("person", "night", "bpm", F.date_trunc("minute", "ts").alias("minute"), minutes.alias("minutes"), (F.col("confidence") >= 2).cast("long").alias("sure"))
+    counts = rows.groupingSets([["person", "night", "bpm"], ["person", "night", "minute"]], "person", "night", "bpm", "minute").agg(F.count("*").alias("n"), F.sum("sure").alias("sure"), F.max("minutes").alias("minutes"), F.grouping("bpm").alias("by_minute"))
+    by_bpm = F.col("by_minute") == 0
+    below = F.sum("n").over(Window.partitionBy("person", "night", "by_minute").orderBy("bpm", "minute"))  # a row a bpm or a minute, at most a night's
+    g = counts.withColumn("below", below).withColumn("all", F.sum(F.when(by_bpm, F.col("n"))).over(Window.partitionBy("person", "night"))).groupBy("person", "night").agg(
+        F.first("all").alias("n"), F.count_if(~by_bpm).alias("seen"), F.max("minutes").alias("minutes"), F.sum(F.when(by_bpm, F.col("sure"))).alias("sure"),
+        *(F.min(F.when(by_bpm & (F.col("below") * 100 >= F.col("all") * p), F.col("bpm"))).alias(f"p{p}") for p in (50, 10)),
     )
     coverage = clamp(F.col("seen") / F.greatest(F.lit(1), "minutes"))
     enough = (F.col("n") >= min_samples) & (coverage >= min_coverage)
-    return g.select("person", "night", "n", coverage.alias("coverage"), "confident", F.when(enough, F.col("p50")).alias("median_bpm"), F.when(enough, F.col("p10")).alias("low_bpm"))
+    return g.select("person", "night", "n", coverage.alias("coverage"), (F.col("sure") / F.col("n")).alias("confident"), F.when(enough, F.col("p50")).alias("median_bpm"), F.when(enough, F.col("p10")).alias("low_bpm"))
 
 
 def settling(joined: DataFrame, horizon: int = 90, frame: int = 20) -> DataFrame:

@@ -118,13 +118,13 @@ def wnd1_clustered_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nights(spark: SparkSession, d: str) -> DataFrame:
-    n = adapters.nights(spark, d)
+    n = kept(adapters.nights(spark, d), "nights")  # of known size, so that few nights go to the samples and not the samples to them
     start = F.col("night").cast("timestamp_ntz")
     return n.select("person", "night", start.alias("start_ts"), (start + F.expr("interval 8 hours")).alias("end_ts"))
 
 
 def join1_samples_in_nights(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d)).select("person", "event_id", "night", "bpm")
+    return ingest.once(ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d))).select("person", "event_id", "night", "bpm")
 
 
 def agg4_heart_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ def agg4_heart_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg7_settling(spark: SparkSession, d: str) -> DataFrame:
-    joined = ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d))
+    joined = ingest.once(ingest.samples_in_nights(adapters.samples(spark, d), _nights(spark, d)))
     return _rounded(ingest.settling(joined).withColumn("settling_minutes", F.col("settling_minutes").cast("double")), ["first_coverage", "opening_delta", "high_share"])
 
 

@@ -125,9 +125,9 @@ FROM {events}
 """
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str, **more: str) -> DataFrame:
+def _sql(spark: SparkSession, sf_dir: str, text: str, own: dict[str, DataFrame] | None = None, **more: str) -> DataFrame:
     names = [n for n in ("events", "orders", "customer", "nation") if "{" + n + "}" in text]
-    return spark.sql(text.format(**{n: "{" + n + "}" for n in names}, **more), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(text.format(**{n: "{" + n + "}" for n in names}, **more), **{n: own[n] if own and n in own else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, DENSE_SAMPLES.replace("{seconds}", "make_dt_interval(0, 0, 0, i * 45)").replace("{each}", "LATERAL VIEW explode(sequence(0, 79)) AS i"))
+    """Events count once a person and id, before they become samples; this also spreads them evenly."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "ts", "user_id", "value", "user_id % 16 AS person").dropDuplicates(["person", "event_id"])
+    return _sql(spark, sf_dir, DENSE_SAMPLES.replace("{seconds}", "make_dt_interval(0, 0, 0, i * 45)").replace("{each}", "LATERAL VIEW explode(sequence(0, 79)) AS i"), {"events": events})
 
 
 def nights(spark: SparkSession, sf_dir: str) -> DataFrame:

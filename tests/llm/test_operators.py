@@ -249,3 +249,36 @@ def test_decontamination_finds_hot_and_common_items(spark):
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(every, "item_id long, text string")).collect()}
     assert {(i, 30) for i in range(0, 151, 3)} <= expected and len(expected) > 90
     assert got == expected
+
+
+def test_latent_products_retrieve_what_counts_would_and_little_else():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([5, 14, 30, 60])))) for k in range(40)]
+    texts = [" ".join(rng.choices(vocabulary + ["other"] * 400, k=300)) for _ in range(60)]
+    for k in range(0, 40, 2):  # every third word of a leak is another
+        words = [w if i % 3 else "replaced" for i, w in enumerate(items[k][1].split())]
+        texts[k] = " ".join([texts[k][:200], *words, texts[k][200:]])
+    texts[1] = " ".join(["w1"] * 50 + [items[3][1]] + ["w2"] * 50)
+    hashes = decontaminate.WordHashes()
+    ids = [decontaminate.word_ids(decontaminate.plain_words(t), hashes) for t in texts]
+    space = decontaminate.Space(items, np.ones(decontaminate.BUCKETS), len(ids))
+    n = len(space.words)
+    rows = np.zeros((len(space.rows), n))
+    for j, (at, x) in enumerate(space.rows):
+        rows[j, at] = x
+    latent = decontaminate.Latent(space, np.linalg.svd(rows, full_matrices=False)[2].T.astype(np.float32))
+    want = set()
+    for d, x in enumerate(ids):
+        place = space.place[x & np.uint32(decontaminate.BUCKETS - 1)]
+        for size in space.sizes:
+            for begin in range(0, max(1, len(x) - size // 2), size // 2):
+                held = place[max(0, begin - size // 4) : begin + size + size // 4]
+                held = held[held >= 0]
+                for j in range(len(space.items)):
+                    if space.size_of[j] == size and space.has[held, j].sum() >= space.need[j] and space.times[np.unique(held), j].sum() >= space.need[j]:
+                        want.add((d, begin, size, j))
+    got = {(d, begin, size, int(j)) for d, begin, size, _, found in decontaminate.retrieved(ids, space, latent) for j in found}
+    assert got == want and want
+    latent.least[:] = np.iinfo(latent.kind).max  # nothing is found but through these products
+    assert not list(decontaminate.retrieved(ids, space, latent))

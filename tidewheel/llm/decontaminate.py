@@ -2,12 +2,11 @@
 
 1. Texts become 32-bit word hashes, a table that all later steps read. Document frequencies are counted on the
    way. They only weigh words, by 1 to 2: no word is too common to find an item by.
-2. Documents are cut into overlapping passages of the sizes that the benchmark's items need. A passage stays
-   if it holds as many words of some item as a match has to share with it, whatever their order.
-3. A randomised SVD of the TF-IDF rows of items and passages, by power iterations whose sums Spark adds up. The
-   space is widened by what it misses of the items, so that it holds every item whole.
-4. Cosines in the latent space give the candidates of each passage, all above a threshold that lies under the
-   cosine of any match.
+2. A randomised SVD of the TF-IDF rows of items and documents over the benchmark's words, by power iterations whose
+   sums Spark adds up. The space is widened by what it misses of the items, so that it holds every item whole.
+3. Documents are cut into overlapping passages of the sizes that the benchmark's items need. Each passage is embedded
+   in the latent space, where its products with the items retrieve its candidates: from the least on that a match can have.
+4. Candidates must share as many words as a match, whatever their order, and have a cosine above a threshold.
 5. Longest common subsequences of words and of the item's answer confirm a candidate, so paraphrases that
    replace or drop words are found and passages that merely share a subject are not.
 """
@@ -36,6 +35,10 @@ LEAST_IDF = 0.5
 #: With weights of 1 to 2 and words that occur once, a share of 0.6 of an item's words gives a cosine of 0.107 at
 #: least: 2 of 3 words of weight 1, all other words of item and 16-word passage of weight 2.
 MIN_COSINE = 0.1
+#: Longest passage whose products are kept in 16 bits, and what a product may be off by, in their units.
+WIDEST, NOISE = 512, 1e-3
+#: Numbers of one dense block of documents' rows.
+DENSE = 1 << 20
 #: Shares of the item's and of the answer's words in the longest common subsequence.
 MIN_LCS, MIN_ANSWER = 0.6, 0.5
 
@@ -141,11 +144,32 @@ class Space:
         return at[own], (x[own] / norm).astype(np.float32)
 
 
-def near_passages(docs: list[np.ndarray], space: Space) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
-    """(document's place, start, size, end, items) of the passages which, with the words around, hold `need` words of those items.
-
-    Two counts bound the common subsequence from above, so none that is long enough is missed: the passage's words
-    that the item has, and the item's words that the passage has. Documents are laid out in a row, at multiples of
+class Latent:
+    """The latent space of a block: items in it, and what one occurrence of each word adds to a passage's products with them."""
+
+    def __init__(self, space: Space, right: np.ndarray):
+        self.right = right
+        own = np.zeros((len(space.items), right.shape[1]))
+        least = np.zeros(len(space.items))
+        for j, (at, x) in enumerate(space.rows):
+            own[j] = x @ right[at]
+            share = np.repeat(x * space.idf[space.words[at]], space.times[at, j])
+            least[j] = np.sort(share)[: space.need[j]].sum()
+        self.unit = (own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        # A passage's vector is the sum of its words' vectors; products are linear, so they are taken once for each word, as whole numbers rounded up: sums are exact and may wrap.
+        self.kind, most = (np.uint16, 1 << 16) if space.sizes[-1] <= WIDEST else (np.uint32, 1 << 32)
+        terms = (space.idf[space.words][:, None] * right) @ own.T
+        scale = (most // (2 * space.sizes[-1])) / np.maximum(terms.max(axis=0), 1e-9)
+        self.terms = np.ceil(np.maximum(terms * scale - NOISE, 0)).astype(self.kind)
+        self.least = np.maximum(np.floor(least * scale) - 1, 1).astype(self.kind)
+
+
+def retrieved(docs: list[np.ndarray], space: Space, latent: Latent) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
+    """(document's place, start, size, end, items): passages, and the items that they reach in the latent space.
+
+    The products of a passage's latent vector, with the words around, and the items of its size decide: an item counts from the least product on
+    that a match can have, that of its lightest `need` words. The space holds the items whole, so none is missed. What is retrieved is then counted: the passage's
+    words that the item has, and the item's words that the passage has, must both be `need`. Documents are laid out in a row, at multiples of
     all steps and so far apart that no passage meets two.
     """
     unit = int(np.lcm.reduce([z // 2 for z in space.sizes]))
@@ -155,7 +179,6 @@ def near_passages(docs: list[np.ndarray], space: Space) -> Iterator[tuple[int, i
     for ids, o in zip(docs, offset.tolist(), strict=True):
         row[o : o + len(ids)] = space.place[ids & np.uint32(BUCKETS - 1)]
     span = max(SPAN, 4 * space.sizes[-1])
-    kind = np.uint16 if space.sizes[-1] <= SPAN else np.uint32  # sums may wrap, as differences stay below the type's range
     for low in range(0, n, span):
         first, last = max(0, low - space.sizes[-1]), min(n, low + span + 2 * space.sizes[-1])
         place = row[first:last]
@@ -163,85 +186,75 @@ def near_passages(docs: list[np.ndarray], space: Space) -> Iterator[tuple[int, i
         place, at = place[at], at + first
         if len(at) < space.need.min():
             continue
-        held = np.zeros((len(at) + 1, len(space.items)), kind)
-        np.cumsum(space.has[place], axis=0, dtype=kind, out=held[1:])
+        sums = np.zeros((len(at) + 1, len(space.items)), latent.kind)
+        np.cumsum(latent.terms[place], axis=0, dtype=latent.kind, out=sums[1:])
         for size in space.sizes:
             own, step = space.of_size[size], size // 2
             start = np.arange(-(-low // step) * step, min(low + span, n), step)
             a, e = np.searchsorted(at, start - size // 4), np.searchsorted(at, start + size + size // 4)
-            some = np.flatnonzero(e - a >= space.least[size])
+            some = np.flatnonzero(e > a)
             if not len(some):
                 continue
-            sums = held[:, own]
-            near = (sums[e[some]] - sums[a[some]]) >= space.need[own].astype(kind)
+            near = sums[e[some], own] - sums[a[some], own] >= latent.least[own]
             window, item = np.divmod(np.flatnonzero(near), near.shape[1])
-            for k in sorted(set(window.tolist())):
-                w, items = some[k], item[window == k] + own.start
+            if not len(window):
+                continue
+            window, item = some[window], item + own.start
+            length = e[window] - a[window]
+            begin = np.cumsum(length) - length
+            words = place[np.arange(begin[-1] + length[-1]) + np.repeat(a[window] - begin, length)]
+            held = np.add.reduceat(space.has[words, np.repeat(item, length)], begin, dtype=np.int64) >= space.need[item]
+            pair = np.repeat(np.cumsum(held) - 1, length)[np.repeat(held, length)]
+            window, item = window[held], item[held]
+            if not len(window):
+                continue
+            pair, word = np.divmod(np.unique(pair * len(space.words) + words[np.repeat(held, length)]), len(space.words))  # each word once
+            held = np.bincount(pair, space.times[word, item[pair]], len(item)) >= space.need[item]
+            for w in np.unique(window[held]).tolist():
+                items = item[held & (window == w)]
                 doc = int(np.searchsorted(offset, start[w], "right")) - 1
-                begin, length = int(start[w] - offset[doc]), len(docs[doc])
-                if begin >= max(1, length - step):
-                    continue
-                items = items[space.times[np.unique(place[a[w] : e[w]])][:, items].sum(axis=0) >= space.need[items]]
-                if len(items):
-                    yield doc, begin, size, min(begin + size, length), items
-
-
-def passages(hashed: DataFrame, space: Space) -> DataFrame:
-    """(doc_id, start, size, at, x, words, items): passages that may hold items, their sparse rows, the words around, and those items."""
-    own = hashed.sparkSession.sparkContext.broadcast(space)  # BUCKETS numbers and a block of items
-    names = ["doc_id", "start", "size", "at", "x", "words", "items"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = own.value
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        for b in batches:
-            out: list[tuple] = []
-            names_of, texts = b.column("doc_id").to_pylist(), [np.frombuffer(data, np.uint32) for data in b.column("ids").to_pylist()]
-            for doc, a, size, e, items in near_passages(texts, s):
-                ids = texts[doc]
-                at, x = s.row(ids[a:e] & np.uint32(BUCKETS - 1))
-                out.append((names_of[doc], a, size, at.tobytes(), x.tobytes(), ids[max(0, a - size // 4) : e + size // 4].tobytes(), items.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
+                at_word, n_words = int(start[w] - offset[doc]), len(docs[doc])
+                if at_word < max(1, n_words - step):
+                    yield doc, at_word, size, min(at_word + size, n_words), items
 
-    return by_batch(hashed.where("doc_id IS NOT NULL").select("doc_id", "ids"), run, "doc_id long, start long, size int, at binary, x binary, words binary, items binary")
 
-
-def _times(rows: DataFrame, right: np.ndarray) -> np.ndarray:
-    """A' (A right) for the sparse rows A, added up over all partitions: one row of sums for each word."""
-    own = rows.sparkSession.sparkContext.broadcast(right)
+def _times(hashed: DataFrame, space: Space, right: np.ndarray) -> np.ndarray:
+    """A' (A right) for the TF-IDF rows A of all documents over the benchmark's words, added up over all partitions: one row of sums for each word."""
+    own = hashed.sparkSession.sparkContext.broadcast((space.place, space.idf[space.words].astype(np.float32), right.astype(np.float32)))
     n, k = right.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, y, some = own.value, np.zeros((n, k)), False
+        place, idf, r = own.value
+        y = np.zeros((n, k))
         for b in batches:
-            places = b.column("at").to_pylist()
-            n_of = np.fromiter(map(len, places), np.int64, len(places)) // 4
-            i, v = np.frombuffer(b"".join(places), np.int32), np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).astype(np.float64)
-            if not len(i):
-                continue
-            full = np.flatnonzero(n_of)
-            first = (np.cumsum(n_of) - n_of)[full]
-            product = np.add.reduceat(v[:, None] * r[i], first)  # a row of A right for each passage
-            back = v[:, None] * np.repeat(product, n_of[full], axis=0)
-            order = np.argsort(i, kind="stable")
-            cut = np.flatnonzero(np.append(True, np.diff(i[order]) > 0))
-            y[i[order][cut]] += np.add.reduceat(back[order], cut)
-            some = True
-        at = np.flatnonzero(y.any(axis=1)) if some else np.zeros(0, np.int64)
+            texts = b.column("ids").to_pylist()
+            step = max(1, DENSE // n)
+            for low in range(0, len(texts), step):
+                part = [place[np.frombuffer(t, np.uint32) & np.uint32(BUCKETS - 1)] for t in texts[low : low + step]]
+                key = np.repeat(np.arange(len(part), dtype=np.int64) * n, [len(x) for x in part]) + np.concatenate(part)
+                key = key[np.concatenate(part) >= 0]
+                tf = np.bincount(key, minlength=len(part) * n)
+                some = np.flatnonzero(tf)
+                doc, word = np.divmod(some, n)
+                v = (1 + np.log(tf[some].astype(np.float32))) * idf[word]
+                x = np.zeros((len(part), n), np.float32)
+                x[doc, word] = v / np.sqrt(np.bincount(doc, v * v, len(part)))[doc]
+                y += x.T @ (x @ r)
+        at = np.flatnonzero(y.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(y[at, j]) for j in range(k))], ["word", *(f"y{j}" for j in range(k))])
 
     schema = "word long, " + ", ".join(f"y{j} double" for j in range(k))
-    t = by_batch(rows.select("at", "x"), run, schema).groupBy("word").agg(*(F.sum(f"y{j}").alias(f"y{j}") for j in range(k))).toArrow()
+    t = by_batch(hashed.where("doc_id IS NOT NULL").select("ids"), run, schema).groupBy("word").agg(*(F.sum(f"y{j}").alias(f"y{j}") for j in range(k))).toArrow()
     out = np.zeros((n, k))
     if t.num_rows:
         out[t.column("word").to_numpy()] = np.column_stack([t.column(f"y{j}").to_numpy() for j in range(k)])
     return out
 
 
-def latent_space(rows: DataFrame, space: Space, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors of items and passages stacked, by randomised subspace iteration, and the items' residuals.
+def latent_space(hashed: DataFrame, space: Space, n_docs: int, rank: int = RANK) -> np.ndarray:
+    """Right singular vectors of items and documents stacked, by randomised subspace iteration, and the items' residuals.
 
-    The items' rows are weighted to the mass of all passages, so that a few hundred items are not lost among them.
+    The items' rows are weighted to the mass of all documents, so that a few hundred items are not lost among them.
     What the singular vectors miss of them follows as further directions, len(items) at most.
     """
     n = len(space.words)
@@ -249,12 +262,12 @@ def latent_space(rows: DataFrame, space: Space, rank: int = RANK) -> np.ndarray:
     items = np.zeros((len(space.rows), n))
     for j, (at, x) in enumerate(space.rows):
         items[j, at] = x
-    weight = max(1.0, rows.count() / max(1, len(items)))
+    weight = max(1.0, n_docs / max(1, len(items)))
     q = np.linalg.qr(np.random.default_rng(17).standard_normal((n, k)))[0]
     for _ in range(POWERS):
-        y = _times(rows, q) + weight * (items.T @ (items @ q))
+        y = _times(hashed, space, q) + weight * (items.T @ (items @ q))
         q = np.linalg.qr(y)[0]
-    small = q.T @ (_times(rows, q) + weight * (items.T @ (items @ q)))
+    small = q.T @ (_times(hashed, space, q) + weight * (items.T @ (items @ q)))
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(values)[::-1][:rank]
     right = q @ vectors[:, order]
@@ -263,35 +276,33 @@ def latent_space(rows: DataFrame, space: Space, rank: int = RANK) -> np.ndarray:
     return np.hstack([right, more[lengths > 1e-6].T]).astype(np.float32)
 
 
-def matches(rows: DataFrame, space: Space, right: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> DataFrame:
-    """(doc_id, item_id, start, size, cosine, lcs_share, answer_share) of the candidates that the subsequences confirm."""
-    items = np.zeros((len(space.items), right.shape[1]), np.float32)
-    for j, (at, x) in enumerate(space.rows):
-        items[j] = x @ right[at]
-    norms = np.linalg.norm(items, axis=1, keepdims=True)
-    own = rows.sparkSession.sparkContext.broadcast((right, items / np.maximum(norms, 1e-9), [(i, len(w), bits_of(w.tolist()), len(a), bits_of(a.tolist())) for i, w, a in space.items]))
+def matches(hashed: DataFrame, space: Space, right: np.ndarray, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER) -> DataFrame:
+    """(doc_id, item_id, start, size, cosine, lcs_share, answer_share) of the retrieved passages that the subsequences confirm."""
+    texts = [(i, len(w), bits_of(w.tolist()), len(a), bits_of(a.tolist())) for i, w, a in space.items]
+    shared = hashed.sparkSession.sparkContext.broadcast((space, Latent(space, right), texts))  # BUCKETS numbers and a block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, vectors, texts = own.value
+        s, latent, texts = shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
         for b in batches:
             out: list[tuple] = []
-            for doc, start, size, at, x, words, near in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "size", "at", "x", "words", "items")), strict=True):
-                near = np.frombuffer(near, np.int32)
-                latent = np.frombuffer(x, np.float32) @ v[np.frombuffer(at, np.int32)]
-                cosine = vectors[near] @ (latent / max(float(np.linalg.norm(latent)), 1e-9))
+            names, docs = b.column("doc_id").to_pylist(), [np.frombuffer(data, np.uint32) for data in b.column("ids").to_pylist()]
+            for doc, start, size, end, near in retrieved(docs, s, latent):
+                at, x = s.row(docs[doc][start:end] & np.uint32(BUCKETS - 1))
+                vector = x @ latent.right[at]
+                cosine = latent.unit[near] @ (vector / max(float(np.linalg.norm(vector)), 1e-9))
                 around = None
                 for k in np.flatnonzero(cosine >= min_cosine).tolist():
                     item, n, bits, n_answer, answer = texts[near[k]]
-                    around = np.frombuffer(words, np.uint32).tolist() if around is None else around
+                    around = docs[doc][max(0, start - size // 4) : end + size // 4].tolist() if around is None else around
                     share = lcs(bits, n, around) / n
                     if share >= min_lcs:
                         own_answer = lcs(answer, n_answer, around) / n_answer if n_answer else 1.0
                         if own_answer >= min_answer:
-                            out.append((doc, item, start, size, float(cosine[k]), share, own_answer))
+                            out.append((names[doc], item, start, size, float(cosine[k]), share, own_answer))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["doc_id", "item_id", "start", "size", "cosine", "lcs_share", "answer_share"])
 
-    return by_batch(rows, run, "doc_id long, item_id long, start long, size int, cosine double, lcs_share double, answer_share double")
+    return by_batch(hashed.where("doc_id IS NOT NULL").select("doc_id", "ids"), run, "doc_id long, item_id long, start long, size int, cosine double, lcs_share double, answer_share double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -316,9 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         space = Space(pairs, df, n)
         if not space.items:
             continue
-        rows = written(passages(hashed, space), "passages")
-        hits = written(matches(rows, space, latent_space(rows, space)), "matches")
-        drop_written(rows)
+        hits = written(matches(hashed, space, latent_space(hashed, space, n)), "matches")
         found = found.unionAll(hits)
     drop_written(hashed)
     best = F.max_by(F.struct("start", "size", "cosine", "lcs_share", "answer_share"), F.struct("lcs_share", "cosine", -F.col("start"), -F.col("size"))).alias("m")

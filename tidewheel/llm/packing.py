@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Rows of one rank group, about; larger groups of equal length are split by a hash.
 GROUP_ROWS = 4_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,15 +46,20 @@ _LETTERS = byte_letters()
 
 
 class Ids:
-    """Token ids of texts as bytes (little-endian unsigned 32-bit), word by word with a bounded memory of words.
+    """Token ids of texts as bytes (little-endian unsigned 32-bit), piece by piece with a bounded memory of pieces.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words.
-    New words of a batch are encoded together, with a special token between them.
+    The tokenizer lower-cases, drops white space and cuts a text into runs of letters, single digits, endings like 's and runs of marks; it never joins
+    across a cut. Texts of Latin-1 characters are cut the same way here and a new piece goes to the model as it is, so a word has one entry whatever its case and
+    the marks after it. Other texts are cut at spaces. Their new words are encoded together, with a special token between them.
     """
 
     MARK = "<|endoftext|>"
-    #: Words that normalising only lower-cases and that are cut between their letters and the marks after them.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#$%&*()|]*)")
+    #: Control characters, rare spaces and all beyond Latin-1.
+    OTHER = re.compile("[^\t\n\r -~\xa1-\xff]")
+    #: What may open a special token.
+    SPECIAL = "<|"
+    #: The tokenizer's cut of lower-cased Latin-1.
+    PIECE = re.compile("[{0}]+|'(?:[stmd]|re|ve|ll)|[{1}]|[^\t\n\r {0}{1}]+".format("a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"))
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
@@ -62,29 +68,35 @@ class Ids:
         self.mark = self.model.token_to_id(self.MARK)
         self.most = most
         self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
 
-    def stem(self, s: str) -> bytes:
-        """Ids of one run of letters or of marks, which the model takes as it is."""
-        found = self.stems.get(s)
-        if found is None:
-            if len(self.stems) >= self.most:
-                self.stems = {"": b""}
-            self.stems[s] = found = np.array([t.id for t in self.model.model.tokenize("".join(map(_LETTERS.__getitem__, s.encode())))], "<u4").tobytes()
-        return found
+    def odd(self, text: str) -> bool:
+        return self.SPECIAL in text or self.OTHER.search(text) is not None
+
+    def cut(self, text: str | None) -> list[str]:
+        """What a text's ids are the ids of, one after another."""
+        if not text:
+            return []
+        return text.replace("\n", " ").split(" ") if self.odd(text) else self.PIECE.findall(text.lower())
+
+    def piece(self, s: str) -> bytes:
+        """Ids of one piece of a cut text, which the model takes as it is."""
+        return np.array([t.id for t in self.model.model.tokenize(s if s.isascii() else "".join(map(_LETTERS.__getitem__, s.encode())))], "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        plain = []
-        for w in words:
-            if m := self.PLAIN.fullmatch(w):
-                self.known[w] = self.stem(m[1].lower()) + self.stem(m[2])
-            elif "<|" not in w:
-                plain.append(w)
+        joined = []
         for w in words:
-            if "<|" in w:
+            if not self.odd(w):
+                own = self.PIECE.findall(w.lower())
+                for p in own:
+                    if p not in self.known:
+                        self.known[p] = self.piece(p)
+                self.known[w] = b"".join(map(self.known.__getitem__, own))
+            elif self.SPECIAL in w:
                 self.known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+            else:
+                joined.append(w)
+        for at in range(0, len(joined), 2000):
+            part = joined[at : at + 2000]
             ids = np.array(self.model.encode(self.MARK.join(part), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             begin = 0
@@ -94,7 +106,7 @@ class Ids:
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            words = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 64]]
+            words = [self.cut(t) for t in texts[at : at + 64]]
             new = set().union(*words).difference(self.known)
             if len(self.known) + len(new) > self.most:
                 self.known = {"": b""}
@@ -104,13 +116,19 @@ class Ids:
                 yield b"".join(map(self.known.__getitem__, ws))
 
 
+@lru_cache(maxsize=1)
+def _ids(path: str) -> Ids:
+    """A worker's memory of pieces, over all its tasks."""
+    return Ids(path)
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full sequences and a rest. A null text is the end id alone."""
     path = path or tokenizer_path()
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path)
+        ids = _ids(path)
         for b in batches:
             out: list[tuple] = []
             for doc, own in zip(b.column("doc_id").to_pylist(), ids.of(b.column("text").to_pylist()), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_batch, drop_folder, id_and_text, scratch_dir, table, written
-from .packing import byte_letters, tokenizer_path
+from .packing import Ids, byte_letters, tokenizer_path
 
 SEQUENCE = 2048
 #: Sequences of one record batch.
@@ -32,40 +32,33 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Rows of one batch of a document index.
 INDEX_ROWS = 65_536
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 400_000
+#: Pieces whose ids a worker remembers.
+CACHED_WORDS = 800_000
 
 
 class WordIds:
-    """Ids of a piece of text, as bytes, by the piece: encoded once, remembered in bounded memory.
+    """Ids of a text, as bytes, by the piece: encoded once, remembered in bounded memory.
 
-    The tokenizer first cuts a text, and never joins ids across such a cut. A single space between two other characters is one, and so is a
-    single line feed; a space goes with the word after it. A piece is written as the word itself where a space stands before it, after a line
-    feed where that does, and after START where nothing does. Texts with other white space or with special tokens are encoded whole.
-    Where no entry of the vocabulary that such words can give has a space behind another character, new words are encoded many at once, one after another in one string.
+    The tokenizer first cuts a text, and never joins ids across such a cut: into words, numbers and runs of marks, each with the space before it, endings like 's and
+    other white space. Texts of Latin-1 characters are cut the same way here and a new piece goes to the model as it is, so a word has one entry whatever marks follow.
+    Other texts are cut at single spaces and at one or two line feeds, if they have no other white space; the rest and texts with special tokens are encoded whole.
+    A piece's ids are those of the piece as a text.
     """
 
-    START = "\x1f"
+    OTHER = Ids.OTHER
     OTHER_SPACE = re.compile("[^\\S \n]|[\x1c-\x1f\x85\u180e]")
-    #: Letters, then marks: the tokenizer cuts between them.
-    PLAIN = re.compile("([\n\x1f]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*()|]*)")
-    #: Words of one string.
-    TOGETHER = 500
+    #: The tokenizer's cut of Latin-1.
+    PIECE = re.compile(" ?[{0}]+|'(?:[stmd]|re|ve|ll)| ?[{1}]+| ?[^{2}{0}{1}]+|[{2}]+(?![^{2}])|[{2}]+".format("A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t\n\r "))
+    #: The cut of other texts.
+    SPACED = re.compile(" ?[^ \n]+|\n")
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.bare, self.letters, self.most = Tokenizer(self.model.model), byte_letters(), most
-        self.space = self.letters[ord(" ")]
+        self.letters, self.most = byte_letters(), most
         self.type = np.dtype("<u2" if self.model.get_vocab_size() <= 2**16 else "<u4")
-        vocabulary = self.model.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for t, i in vocabulary.items() if t.startswith(self.space)]] = True
-        own = {*self.space, *map(chr, range(128)), *"".join(self.shown(chr(c)) for c in range(0xC0, 0x100))}  # all that words of letters are written with
-        self.together = 1 if any(self.space in t.lstrip(self.space) and own.issuperset(t) for t in vocabulary) else self.TOGETHER
-        self.known: dict[str, bytes | None] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.type).tobytes()
@@ -73,42 +66,23 @@ class WordIds:
     def encoded(self, text: str) -> bytes:
         return self.packed(self.model.encode(text, add_special_tokens=False).ids)
 
-    def shown(self, word: str) -> str:
-        """A word as the vocabulary writes it."""
-        return word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-
-    def learn_words(self, words: list[str]) -> None:
-        """Ids of words of letters after a space."""
-        for at in range(0, len(words), self.together):
-            part = words[at : at + self.together]
-            ids = self.bare.encode("".join([self.space + self.shown(w) for w in part]), add_special_tokens=False).ids
-            found = np.array(ids, self.type)
-            cuts = (np.flatnonzero(self.opens[found]) * self.type.itemsize).tolist()
-            whole = found.tobytes()
-            self.runs.update(zip(part, map(whole.__getitem__, map(slice, cuts, [*cuts[1:], len(whole)])), strict=True))
+    def piece(self, s: str) -> bytes:
+        """Ids of one piece of a Latin-1 text, written as the vocabulary writes it."""
+        shown = s.replace(" ", self.letters[32]) if s.isascii() and s.isprintable() else "".join(map(self.letters.__getitem__, s.encode()))
+        return self.packed([t.id for t in self.model.model.tokenize(shown)])
 
     def learn(self, pieces: set[str]) -> None:
-        plain, marked = [], set()
-        for piece in pieces:
-            m = self.PLAIN.fullmatch(piece)
-            if m and not m[1]:
-                plain.append((piece, m[2], m[3]))
-                marked.add(m[3])
+        for s in pieces:
+            if self.PIECE.fullmatch(s):
+                self.known[s] = self.piece(s)
+            elif self.OTHER.search(s):
+                self.known[s] = self.encoded(s)
             else:
-                self.known[piece] = self.other(piece)
-        if len(self.runs) + len(plain) > self.most:
-            self.runs.clear()
-        self.learn_words(list({w for _, w, _ in plain}.difference(self.runs)))
-        marks = {m: self.encoded(m) for m in marked}
-        for piece, word, mark in plain:
-            self.known[piece] = self.runs[word] + marks[mark]
-
-    def other(self, piece: str) -> bytes | None:
-        """Ids of any piece; None if it has white space that asks for the whole text."""
-        text = piece.removeprefix(self.START)
-        if not text or self.OTHER_SPACE.search(text):
-            return None
-        return self.encoded(text if piece[0] in "\n\x1f" else " " + text)
+                own = self.PIECE.findall(s)
+                for p in own:
+                    if p not in self.known:
+                        self.known[p] = self.piece(p)
+                self.known[s] = b"".join(map(self.known.__getitem__, own))
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
@@ -120,16 +94,17 @@ class WordIds:
                 new = set().union(*cut)
             self.learn(new)
             for text, pieces in zip(part, cut, strict=True):
-                try:
-                    yield b"".join(map(self.known.__getitem__, pieces)) if pieces or not text else self.encoded(text)
-                except TypeError:  # of a piece without ids
-                    yield self.encoded(text)
+                yield b"".join(map(self.known.__getitem__, pieces)) if pieces or not text else self.encoded(text)
 
     def pieces(self, text: str | None) -> list[str]:
         """The pieces of a text; none if it is empty or has to be encoded whole."""
-        if not text or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or text[0] in " \n" or text[-1] in " \n":
+        if not text or "<|" in text:
+            return []
+        if not self.OTHER.search(text):
+            return self.PIECE.findall(text)
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[0] in " \n" or text[-1] in " \n" or self.OTHER_SPACE.search(text):
             return []
-        return f"{self.START}{text}".replace("\n", " \n").split(" ")
+        return self.SPACED.findall(text)
 
 
 @lru_cache(maxsize=1)

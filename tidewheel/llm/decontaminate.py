@@ -161,9 +161,20 @@ class Latent:
         terms = (space.idf[space.words][:, None] * right) @ own.T
         scale = (most // (2 * space.sizes[-1])) / np.maximum(terms.max(axis=0), 1e-9)
         self.terms = np.ceil(np.maximum(terms * scale - NOISE, 0)).astype(self.kind)
+        #: The same for the items of each size, and last what a word adds that no item has.
+        self.of_size = {z: np.vstack([self.terms[:, o], np.zeros((1, o.stop - o.start), self.kind)]) for z, o in space.of_size.items()}
+        self.has_of_size = {z: np.vstack([space.has[:, o], np.zeros((1, o.stop - o.start), np.uint8)]).astype(np.min_scalar_type(2 * z)) for z, o in space.of_size.items()}
         self.least = np.maximum(np.floor(least * scale) - 1, 1).astype(self.kind)
 
 
+def added(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums of a table's rows, one for each column of words."""
+    out = table.take(words[0], axis=0)
+    for more in words[1:]:
+        out += table.take(more, axis=0)
+    return out
+
+
 def retrieved(docs: list[np.ndarray], space: Space, latent: Latent) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(document's place, start, size, end, items): passages, and the items that they reach in the latent space.
 
@@ -175,41 +186,50 @@ def retrieved(docs: list[np.ndarray], space: Space, latent: Latent) -> Iterator[
     unit = int(np.lcm.reduce([z // 2 for z in space.sizes]))
     room = [-(-(len(ids) + 2 * space.sizes[-1]) // unit) * unit for ids in docs]
     n, offset = sum(room), np.cumsum([0, *room])[:-1]
-    row = np.full(n, -1, np.int32)
+    none, edge = len(space.words), space.sizes[-1]
+    row = np.full(n + 4 * edge, none, np.intp)  # position 0 is at `edge`
     for ids, o in zip(docs, offset.tolist(), strict=True):
-        row[o : o + len(ids)] = space.place[ids & np.uint32(BUCKETS - 1)]
-    span = max(SPAN, 4 * space.sizes[-1])
+        own = space.place[ids & np.uint32(BUCKETS - 1)]
+        row[edge + o : edge + o + len(ids)] = np.where(own < 0, none, own)
+    span = max(SPAN, 4 * edge)
     for low in range(0, n, span):
-        first, last = max(0, low - space.sizes[-1]), min(n, low + span + 2 * space.sizes[-1])
-        place = row[first:last]
-        at = np.flatnonzero(place >= 0)
+        first, last = max(0, low - edge), min(n, low + span + 2 * edge)
+        place = row[edge + first : edge + last]
+        at = np.flatnonzero(place < none)
         place, at = place[at], at + first
         if len(at) < space.need.min():
             continue
-        sums = np.zeros((len(at) + 1, len(space.items)), latent.kind)
-        np.cumsum(latent.terms[place], axis=0, dtype=latent.kind, out=sums[1:])
+        before = None
         for size in space.sizes:
-            own, step = space.of_size[size], size // 2
+            own, step, quarter = space.of_size[size], size // 2, size // 4
             start = np.arange(-(-low // step) * step, min(low + span, n), step)
-            a, e = np.searchsorted(at, start - size // 4), np.searchsorted(at, start + size + size // 4)
-            some = np.flatnonzero(e > a)
-            if not len(some):
+            if not len(start):
                 continue
-            near = sums[e[some], own] - sums[a[some], own] >= latent.least[own]
+            # A passage with the words around is six quarters of its size. The products of each quarter are added up once, for all quarters at a time.
+            begin, many = edge + int(start[0]) - quarter, 2 * len(start) + 4
+            words = np.ascontiguousarray(row[begin : begin + many * quarter].reshape(many, quarter).T)
+            sums = added(latent.of_size[size], words)
+            halves = sums[1:-1:2] + sums[2::2]
+            near = sums[:-5:2] + halves[:-1] + halves[1:] + sums[5::2] >= latent.least[own]
             window, item = np.divmod(np.flatnonzero(near), near.shape[1])
             if not len(window):
                 continue
-            window, item = some[window], item + own.start
-            length = e[window] - a[window]
-            begin = np.cumsum(length) - length
-            words = place[np.arange(begin[-1] + length[-1]) + np.repeat(a[window] - begin, length)]
-            held = np.add.reduceat(space.has[words, np.repeat(item, length)], begin, dtype=np.int64) >= space.need[item]
-            pair = np.repeat(np.cumsum(held) - 1, length)[np.repeat(held, length)]
-            window, item = window[held], item[held]
+            counts = added(latent.has_of_size[size], words)
+            held = sum(counts[2 * window + k, item] for k in range(6)) >= space.need[item + own.start]
+            window, item = window[held], item[held] + own.start
             if not len(window):
                 continue
-            pair, word = np.divmod(np.unique(pair * len(space.words) + words[np.repeat(held, length)]), len(space.words))  # each word once
-            held = np.bincount(pair, space.times[word, item[pair]], len(item)) >= space.need[item]
+            if before is None:
+                before = np.full(len(place), -1)  # the place before of the same word
+                order = np.argsort(place, kind="stable")
+                again = np.flatnonzero(place[order[1:]] == place[order[:-1]])
+                before[order[again + 1]] = order[again]
+            a, e = np.searchsorted(at, start - quarter)[window], np.searchsorted(at, start + size + quarter)[window]
+            length = e - a
+            begin = np.cumsum(length) - length
+            each = np.arange(begin[-1] + length[-1]) + np.repeat(a - begin, length)
+            times = np.where(before[each] < np.repeat(a, length), space.times[place[each], np.repeat(item, length)], 0)  # each word once
+            held = np.add.reduceat(times, begin, dtype=np.int64) >= space.need[item]
             for w in np.unique(window[held]).tolist():
                 items = item[held & (window == w)]
                 doc = int(np.searchsorted(offset, start[w], "right")) - 1

@@ -65,14 +65,16 @@ HOT_ROWS = 200
 def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, counted: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Inner join of many with few, few having one row (or a few) for a key, where one key may hold most rows of many.
 
-    The rows of hot keys are dealt by a hash of column `by` over as many tasks as they need, and what few has for
+    Rows are counted by key first. Where no key is hot, this is a plain join, without a list to broadcast. Else the rows of hot keys are dealt by a hash of column `by` over as many tasks as they need, and what few has for
     them goes to each. Hot keys are under a thousand whatever the input, so their list is broadcast. counted is what the
     keys are counted on (many, if not given): a written table, as it is read once more. sizes: (on, n), a written table of
     all keys that many and few share, where that is known.
     """
     n = (many if counted is None else counted).groupBy(on).agg(F.count("*").alias("n")) if sizes is None else sizes
-    total = (many if counted is None else counted).count() if sizes is None else sizes.agg(F.sum("n")).first()[0] or 0
-    most = max(HOT_ROWS, total // 1000)
+    total, largest = n.agg(F.sum("n"), F.max("n")).first()
+    most = max(HOT_ROWS, (total or 0) // 1000)
+    if (largest or 0) <= most:
+        return many.join(few, on)
     hot = F.broadcast(n.where(F.col("n") > most).select(F.col(on), F.ceil(F.col("n") / most).cast("int").alias("_parts")))
     dealt = many.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     copies = few.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
